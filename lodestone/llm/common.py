@@ -46,3 +46,14 @@ def partitions(spark: SparkSession) -> int:
 
 def int_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def kept_in_worker(key: object, make) -> object:
+    """make()'s result, once for each Python worker however many tasks it runs."""
+    import sys
+    import types
+
+    module = sys.modules.setdefault("_lodestone_worker", types.ModuleType("_lodestone_worker"))
+    if key not in module.__dict__:
+        module.__dict__[key] = make()
+    return module.__dict__[key]

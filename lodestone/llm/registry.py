@@ -1,5 +1,5 @@
 """The modules whose queries ``__spark_entry__.py`` registers."""
 
-from lodestone.llm import sharding
+from lodestone.llm import packing, sharding
 
-MODULES = [sharding]
+MODULES = [sharding, packing]
