@@ -1,5 +1,5 @@
 """The modules whose queries ``__spark_entry__.py`` registers."""
 
-from lodestone.llm import packing, sharding
+from lodestone.llm import packing, pii, sharding
 
-MODULES = [sharding, packing]
+MODULES = [sharding, pii, packing]
