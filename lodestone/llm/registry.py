@@ -1,5 +1,5 @@
 """The modules whose queries ``__spark_entry__.py`` registers."""
 
-from lodestone.llm import packing, pii, sharding
+from lodestone.llm import packing, pii, sharding, warc
 
-MODULES = [sharding, pii, packing]
+MODULES = [sharding, pii, warc, packing]
