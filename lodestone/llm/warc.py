@@ -4,7 +4,7 @@ Writing: of pages with equal payloads the one with the smallest id becomes a ``r
 the others ``revisit`` records that refer to it.  A response holds an HTTP message whose body is in
 chunked transfer coding; one longer than ``segment`` bytes is split into a first record with
 ``WARC-Segment-Number: 1`` and ``continuation`` records, which name the first as their origin.
-Archives are plain WARC/1.1 files of a bounded size, written by Spark's text writer, so they land in
+Archives are gzipped WARC/1.1 files of a bounded size, written by Spark's text writer, so they land in
 whatever store the path names.
 
 Reading: files are parsed by the records' lengths.  Continuations are grouped by their origin,
@@ -159,7 +159,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
             yield pd.DataFrame({"value": [b"".join(held)[:-2].decode()]})
 
     rows = with_roles(pages, key, url, payload, least).mapInPandas(write, "value string")
-    rows.write.option("lineSep", "\r\n").option("maxRecordsPerFile", 8).text(path)
+    rows.write.option("lineSep", "\r\n").option("maxRecordsPerFile", 8).option("compression", "gzip").text(path)
 
 
 _COLUMNS = ("record", "record_type", "refers", "payload_bytes", "payload_digest", "payload")
@@ -180,10 +180,12 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
     revisits these are the response's."""
 
     def parse(batches):
+        import gzip
+
         for batch in batches:
             for content in batch["content"]:
                 rows = []
-                for head, block in parsed(content):
+                for head, block in parsed(gzip.decompress(content)):
                     record, kind = _bare(head["warc-record-id"]), head["warc-type"]
                     number = head.get("warc-segment-number")
                     if kind == "revisit":
@@ -215,7 +217,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
             out["payload_bytes"] = out["payload_bytes"].astype("Int64")
             yield out
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     rows = files.mapInPandas(parse, f"{_SCHEMA}, number int, total long, stated string, block binary")
     part = F.when(F.col("number").isNotNull(), F.struct("number", "total", "stated", "block"))
     whole = rows.groupBy("record").agg(*[F.max(c).alias(c) for c in _COLUMNS[1:]], F.sort_array(F.collect_list(part)).alias("parts"))
