@@ -1,5 +1,5 @@
 """The modules whose queries ``__spark_entry__.py`` registers."""
 
-from lodestone.llm import packing, pii, sharding, warc
+from lodestone.llm import packing, pii, sharding, toxicity, warc
 
-MODULES = [sharding, pii, warc, packing]
+MODULES = [sharding, toxicity, pii, warc, packing]
