@@ -95,6 +95,9 @@ def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
         for batch in batches:
             for t in batch["text"]:
                 seen.update({f for w in words(t) for f in described(w)})
+                if len(seen) > 200_000:
+                    yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
+                    seen.clear()
         yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
 
     rows = {r: sampled.where(F.col("role") == r).select("text") for r in "pu"}
@@ -210,7 +213,7 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "
                         found.update(fs)
                 z = bias + math.fsum(own[f] for f in found)
                 out[i] = 1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if z > -700 else 0.0
-            if len(seen) > 1_000_000:
+            if len(seen) > 100_000:
                 seen.clear()
             yield pd.Series(out)
 
