@@ -1,5 +1,5 @@
 """The modules whose queries ``__spark_entry__.py`` registers."""
 
-from lodestone.llm import overlap, packing, pii, sharding, toxicity, warc
+from lodestone.llm import overlap, packing, pii, sharding, toxicity, urls, warc
 
-MODULES = [sharding, toxicity, pii, overlap, warc, packing]
+MODULES = [sharding, toxicity, pii, urls, overlap, warc, packing]
