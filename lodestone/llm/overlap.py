@@ -39,7 +39,7 @@ from lodestone.llm.components import components
 WORDS, PERCENT = 5, 80
 LEADERS, ROUNDS, HOT = 6, 3, 512
 #: Bytes of text that are hashed at a time.
-PART = 4 << 20
+PART = 1 << 20
 
 _M1, _M2, _R = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -228,22 +228,33 @@ def _joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     counts = np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4")
     tokens = unpacked(b"".join(r[4] for r in rows), 5)
     which, first, back = np.unique(ids, return_index=True, return_inverse=True)
-    return which, sizes[first], np.repeat(back, counts), tokens
+    return which, sizes[first], np.repeat(back.astype(np.int64), counts), tokens
 
 
 def _shared(batches: Iterator[pa.RecordBatch], blocks: int):
     """Of each block the columns that several rows have, dealt by row."""
     held = yield from _gathered(batches, "dest")
-    for block, rows in held.items():
+    while held:
+        block, rows = held.popitem()
         ids, sizes, row, tokens = _joined(rows)
+        del rows
         if len(ids) >= 1 << 24:
             raise ValueError("more than 2**24 rows in a block of columns; use more shuffle partitions")
-        cells = np.unique((tokens << np.uint64(24)) | row.astype(np.uint64))
-        column = cells >> np.uint64(24)
-        bounds = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1], [True]]))
-        degree = np.repeat(np.diff(bounds), np.diff(bounds))
-        keep = degree > 1
-        cells, degree = cells[keep], np.minimum(degree[keep], 65535)
+        cells = tokens
+        cells <<= np.uint64(24)
+        cells |= row.view(np.uint64)
+        del tokens, row
+        cells.sort()
+        new = np.ones(len(cells), dtype=bool)
+        np.not_equal(cells[1:], cells[:-1], out=new[1:])
+        cells = cells[new]
+        del new
+        start = np.ones(len(cells) + 1, dtype=bool)
+        np.greater(cells[1:] ^ cells[:-1], np.uint64(0xFFFFFF), out=start[1:-1])
+        bounds = np.flatnonzero(start)
+        degree = np.diff(bounds)
+        shared = np.repeat(degree > 1, degree)
+        cells, degree = cells[shared], np.repeat(np.minimum(degree, 65535)[degree > 1], degree[degree > 1])
         if not len(cells):
             continue
         row = (cells & np.uint64(0xFFFFFF)).astype(np.int64)
