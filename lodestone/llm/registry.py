@@ -1,5 +1,5 @@
 """The modules whose queries ``__spark_entry__.py`` registers."""
 
-from lodestone.llm import overlap, packing, pii, sharding, topk, toxicity, urls, warc
+from lodestone.llm import neardup, overlap, packing, pii, sharding, topk, toxicity, urls, warc
 
-MODULES = [sharding, topk, toxicity, pii, urls, overlap, warc, topk, packing]
+MODULES = [sharding, topk, toxicity, pii, urls, overlap, neardup, warc, topk, packing]
