@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
 
 
+def roots(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest number that each of n nodes reaches by pairs of nodes, within one task."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        for a, b in found:
+            least = np.minimum(root[a], root[b])
+            for x in (root[a], root[b], a, b):
+                np.minimum.at(root, x, least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: for each id that an edge (a, b: long) between different ids names, the
     smallest id that it reaches.  Rounds grow with the logarithm of the number of ids."""

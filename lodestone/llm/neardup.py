@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions, picked, table, written
-from lodestone.llm.components import components
+from lodestone.llm.components import components, roots
 
 THRESHOLD = 0.95
 #: Leading axes of the grid, the sample that gives the axes, vectors in an interval and in a piece.
@@ -169,22 +169,6 @@ def _recursed(a: tuple, b: tuple, eps: float, t: float, same: bool):
             yield from _recursed(a, half, eps, t, False)
 
 
-def _roots(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest number that each of n nodes reaches."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        for a, b in found:
-            least = np.minimum(root[a], root[b])
-            np.minimum.at(root, root[a], least)
-            np.minimum.at(root, root[b], least)
-            np.minimum.at(root, a, least)
-            np.minimum.at(root, b, least)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _joined(batches: Iterator[pa.RecordBatch], known: dict[int, np.ndarray], t: float):
     """node, links, root for each vector with links within a pair of intervals."""
     eps = float(np.sqrt(2 - 2 * t))
@@ -207,7 +191,7 @@ def _joined(batches: Iterator[pa.RecordBatch], known: dict[int, np.ndarray], t:
                 np.add.at(links, a, count[b])
                 np.add.at(links, b, count[a])
                 found.append((a, b))
-            root = _roots(len(node), found)
+            root = roots(len(node), found)
             hit = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[root[hit]])], names=["node", "links", "root"])
 

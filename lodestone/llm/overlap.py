@@ -12,9 +12,11 @@ need the product of the matrix with its transpose: the overlap counts.  It is ne
    split by salt, and the leaders meet again under other keys.  So a group of near copies of any size takes work in
    proportion to it and gives one edge a row.
 4. For whatever the keys missed, the exact bound: with columns ordered by how many rows they have,
-   two linked rows share one of their first n - ceil(t*n) + 1 columns.  Blocks of these columns
-   accumulate the rows' pairs, without those already in one class or of sizes too far apart, and
-   the pairs' overlaps are counted over all columns.
+   two linked rows share one of their first n - ceil(t*n) + 1 columns.  Rows with the same most
+   frequent column lie together in blocks of about ROWS.  The columns of those beginnings tell which
+   blocks of rows may hold linked ones of different classes and of sizes near enough; only pairs of
+   blocks are listed, never pairs of rows.  Their product is accumulated column block by column
+   block, and each gives a spanning tree of its links.
 
 Classes are then the components of all edges found, by alternating stars.
 
@@ -34,10 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import partitions, picked, table, written
-from lodestone.llm.components import components
+from lodestone.llm.components import components, roots
 
 WORDS, PERCENT = 5, 80
 LEADERS, ROUNDS, HOT = 6, 3, 512
+#: Rows in a block, and columns that its product takes at a time.
+ROWS, COLUMNS = 256, 4096
 #: Bytes of text that are hashed at a time.
 PART = 1 << 20
 
@@ -263,8 +267,8 @@ def _shared(batches: Iterator[pa.RecordBatch], blocks: int):
         yield _dealt(ids[row] % blocks, row, (cells >> np.uint64(24))[order], degree[order], ids, sizes, block)
 
 
-_SETS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64()))])
-_SETS_DDL = "kind int, key long, n long, set long, tokens binary, keys array<long>"
+_SETS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64())), ("family", pa.int64())])
+_SETS_DDL = "kind int, key long, n long, set long, tokens binary, keys array<long>, family long"
 
 
 def _survivors(batches: Iterator[pa.RecordBatch], blocks: int, percent: int):
@@ -290,8 +294,9 @@ def _survivors(batches: Iterator[pa.RecordBatch], blocks: int, percent: int):
         order = np.lexsort((tokens, degrees, row))
         row, tokens = row[order], tokens[order]
         bounds = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else [0]
-        out: dict[str, list] = {k: [] for k in ("n", "set", "tokens", "keys")}
+        out: dict[str, list] = {k: [] for k in ("n", "set", "tokens", "keys", "family")}
         for a, b in zip(bounds[:-1], bounds[1:]):
+            out["family"].append(int(tokens[b - 1]))
             out["set"].append(int(ids[row[a]]))
             out["n"].append(int(sizes[row[a]]))
             out["tokens"].append(packed(tokens[a:b], 6))
@@ -343,8 +348,8 @@ def _leader_rounds(sets: DataFrame, percent: int) -> DataFrame:
     return edges
 
 
-_PREFIX_DDL = "dest int, ids binary, sizes binary, classes binary, counts binary, tokens binary"
-_PREFIX = pa.schema([("dest", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+_POSTINGS_DDL = "dest int, blocks binary, sizes binary, classes binary, tokens binary"
+_POSTINGS = pa.schema([("dest", pa.int32()), ("blocks", pa.binary()), ("sizes", pa.binary()), ("classes", pa.binary()), ("tokens", pa.binary())])
 
 
 def _prefix(data: bytes, n: int, percent: int) -> bytes:
@@ -353,103 +358,157 @@ def _prefix(data: bytes, n: int, percent: int) -> bytes:
     return data[: 6 * max(0, n - int(least_common(n, percent)) + 1 - alone)]
 
 
-def _prefix_blocks(batches: Iterator[pa.RecordBatch], blocks: int):
+def _postings(batches: Iterator[pa.RecordBatch], dests: int):
+    """The beginnings of rows, dealt by column."""
     for batch in batches:
-        ids, sizes, classes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("set", "n", "class"))
+        blocks, sizes, classes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "n", "class"))
         parts = [unpacked(d, 6) for d in batch.column("prefix").to_pylist()]
         if not parts:
             continue
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         tokens = np.concatenate(parts)
-        dest = (tokens % np.uint64(blocks)).astype(np.int64)
+        dest = (tokens % np.uint64(dests)).astype(np.int64)
         order = np.argsort(dest, kind="stable")
-        bounds = np.searchsorted(dest[order], np.arange(blocks + 1))
-        out: dict[str, list] = {f.name: [] for f in _PREFIX}
+        bounds = np.searchsorted(dest[order], np.arange(dests + 1))
+        out: dict[str, list] = {f.name: [] for f in _POSTINGS}
         for d in np.flatnonzero(np.diff(bounds)):
             own = order[bounds[d] : bounds[d + 1]]
-            r = row[own]
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            which = r[first]
             out["dest"].append(int(d))
-            out["ids"].append(ids[which].astype("<i8").tobytes())
-            out["sizes"].append(sizes[which].astype("<u4").tobytes())
-            out["classes"].append(classes[which].astype("<i8").tobytes())
-            out["counts"].append(np.diff(np.concatenate([first, [len(r)]])).astype("<u4").tobytes())
+            out["blocks"].append(blocks[row[own]].astype("<i8").tobytes())
+            out["sizes"].append(sizes[row[own]].astype("<u4").tobytes())
+            out["classes"].append(classes[row[own]].astype("<i8").tobytes())
             out["tokens"].append(packed(tokens[own], 6))
-        yield _batch(_PREFIX, len(out["dest"]), **out)
+        yield _batch(_POSTINGS, len(out["dest"]), **out)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], percent: int):
-    """Of each block the pairs of rows that share a column, are in different classes and near
-    enough in size."""
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int):
+    """The pairs of blocks with rows that share a column of their beginnings, are in different
+    classes and near enough in size."""
     held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for r in zip(*(batch.column(f.name).to_pylist() for f in _PREFIX)):
+        for r in zip(*(batch.column(f.name).to_pylist() for f in _POSTINGS)):
             held.setdefault(r[0], []).append(r[1:])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for rows in held.values():
-        ids, sizes, classes = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in ((0, "<i8"), (1, "<u4"), (2, "<i8")))
-        row = np.repeat(np.arange(len(ids)), np.frombuffer(b"".join(r[3] for r in rows), dtype="<u4"))
-        tokens = unpacked(b"".join(r[4] for r in rows), 6)
-        order = np.lexsort((sizes[row], tokens))
-        row, tokens = row[order], tokens[order]
-        bounds = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(row) else np.zeros(1, dtype=np.int64)
-        found: list[np.ndarray] = []
-        waiting = 0
-
-        def flush():
-            cells = np.unique(np.concatenate(found))
-            return _batch(schema, len(cells), a=ids[cells >> np.int64(32)], b=ids[cells & np.int64(0xFFFFFFFF)])
-
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            own = row[a:b]
-            if b - a < 2 or (classes[own] == classes[own[0]]).all():
+    while held:
+        _, rows = held.popitem()
+        blocks, sizes, classes = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in ((0, "<i8"), (1, "<u4"), (2, "<i8")))
+        tokens = unpacked(b"".join(r[3] for r in rows), 6)
+        order = np.lexsort((blocks, tokens))
+        blocks, sizes, classes, tokens = blocks[order], sizes[order].astype(np.int64), classes[order], tokens[order]
+        bounds = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, dtype=np.int64)
+        found: set[tuple[int, int]] = set()
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi - lo < 2 or (classes[lo:hi] == classes[lo]).all():
                 continue
-            n = sizes[own].astype(np.int64)  # rising
-            last = np.searchsorted(n, n * 100 // percent, side="right")
-            for i in range(b - a - 1):
-                others = own[i + 1 : last[i]]
-                others = others[classes[others] != classes[own[i]]]
-                if len(others):
-                    low, high = np.minimum(own[i], others), np.maximum(own[i], others)
-                    found.append((low << np.int64(32)) | high)
-                    waiting += len(others)
-            if waiting > 1_000_000:
-                yield flush()
-                found, waiting = [], 0
+            first = lo + np.flatnonzero(np.concatenate([[True], blocks[lo + 1 : hi] != blocks[lo : hi - 1]]))
+            own, c = blocks[first], classes[lo:hi]
+            small, large = np.minimum.reduceat(sizes[lo:hi], first - lo), np.maximum.reduceat(sizes[lo:hi], first - lo)
+            low, high = np.minimum.reduceat(c, first - lo), np.maximum.reduceat(c, first - lo)
+            for i in range(len(own)):
+                near = (100 * large[i:] >= percent * small[i]) & (100 * large[i] >= percent * small[i:])
+                apart = (low[i:] != low[i]) | (high[i:] != high[i]) | (low[i] != high[i])
+                found.update((int(own[i]), int(b)) for b in own[i:][near & apart])
+            if len(found) > 500_000:
+                yield _batch(schema, len(found), a=[x for x, _ in found], b=[y for _, y in found])
+                found = set()
         if found:
-            yield flush()
+            yield _batch(schema, len(found), a=[x for x, _ in found], b=[y for _, y in found])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], percent: int):
-    """The pairs whose overlap, counted over all columns, links them."""
-    for batch in batches:
-        keep = []
-        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
-            common = len(np.intersect1d(unpacked(x, 6), unpacked(y, 6), assume_unique=True))
-            keep.append(bool(linked(common, n, m, percent)))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+_BLOCKS_DDL = "block long, sets binary, sizes binary, counts binary, tokens binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("sets", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
 
 
-def _other_edges(sets: DataFrame, edges: DataFrame, blocks: int, percent: int) -> DataFrame:
+def _blocked(batches: Iterator[pa.RecordBatch]):
+    """Packs the rows of each block, which come one after another."""
+    block, held = None, []
+
+    def out():
+        s, n, t = zip(*held)
+        return _batch(_BLOCKS, 1, block=[block], sets=[np.array(s, dtype="<i8").tobytes()], sizes=[np.array(n, dtype="<u4").tobytes()], counts=[np.array([len(x) // 6 for x in t], dtype="<u4").tobytes()], tokens=[b"".join(t)])
+
+    for batch in batches:
+        for b, s, n, t in zip(*(batch.column(c).to_pylist() for c in ("block", "set", "n", "tokens"))):
+            if b != block and held:
+                yield out()
+                held = []
+            block = b
+            held.append((s, n, t))
+    if held:
+        yield out()
+
+
+def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The product of two blocks; each is the rows' numbers and the tokens of its cells."""
+    height, width = int(a[0].max(initial=-1)) + 1, int(b[0].max(initial=-1)) + 1
+    total = np.zeros((height, width), dtype=np.float32)
+    shared = np.intersect1d(a[1], b[1])
+    cells = []
+    for row, tokens in (a, b):
+        at = np.minimum(np.searchsorted(shared, tokens), max(0, len(shared) - 1))
+        hit = shared[at] == tokens if len(shared) else np.zeros(len(tokens), dtype=bool)
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((row[hit][order], at[hit][order]))
+    for lo in range(0, len(shared), COLUMNS):
+        part = []
+        for (row, at), size in zip(cells, (height, width)):
+            i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+            m = np.zeros((size, min(COLUMNS, len(shared) - lo)), dtype=np.float32)
+            m[row[i:j], at[i:j] - lo] = 1
+            part.append(m)
+        total += part[0] @ part[1].T
+    return total.astype(np.int64)
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch], percent: int):
+    """A spanning tree of the links within or between two blocks, as edges to roots."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            sides = []
+            for x in "ab" if r["sets_b"] is not None else "a":
+                counts = np.frombuffer(r[f"counts_{x}"], dtype="<u4")
+                cells = np.repeat(np.arange(len(counts)), counts), unpacked(r[f"tokens_{x}"], 6)
+                sides.append((np.frombuffer(r[f"sets_{x}"], dtype="<i8"), np.frombuffer(r[f"sizes_{x}"], dtype="<u4").astype(np.int64), cells))
+            one, two = sides[0], sides[-1]
+            hit = linked(overlaps(one[2], two[2]), one[1][:, None], two[1][None, :], percent)
+            if len(sides) == 1:
+                i, j = np.nonzero(np.triu(hit, 1))
+                sets = one[0]
+            else:
+                i, j = np.nonzero(hit)
+                j = j + len(one[0])
+                sets = np.concatenate([one[0], two[0]])
+            root = roots(len(sets), [(i, j)])
+            own = np.flatnonzero(root != np.arange(len(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array(sets[root[own]])], names=["a", "b"])
+
+
+def _other_edges(sets: DataFrame, edges: DataFrame, dests: int, percent: int) -> DataFrame:
     """Edges between classes that the leaders have not joined."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             found = [_prefix(d, n, percent) for d, n in zip(b.column("tokens").to_pylist(), b.column("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("set"), b.column("n"), pa.array(found, pa.binary())], names=["set", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("set"), b.column("n"), b.column("family"), pa.array(found, pa.binary())], names=["set", "n", "family", "prefix"])
 
     classes = components(edges).withColumnRenamed("id", "set")
-    own = sets.select("set", "n", "tokens").mapInArrow(prefixes, "set long, n long, prefix binary").join(classes, "set", "left")
-    own = own.select("set", "n", F.coalesce("component", "set").alias("class"), "prefix")
-    dealt = own.mapInArrow(lambda b: _prefix_blocks(b, blocks), _PREFIX_DDL).repartition("dest")
-    pairs = written(dealt.mapInArrow(lambda b: _pairs(b, percent), "a long, b long").distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    some = written(sets.select("set", "n", "tokens").join(named, "set", "left_semi"))
-    one = some.select(F.col("set").alias("a"), "n", F.col("tokens").alias("x"))
-    two = some.select(F.col("set").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y")
-    return both.mapInArrow(lambda b: _counted(b, percent), "a long, b long")
+    large = written(sets.groupBy("family").agg(F.count(F.lit(1)).alias("n_family")).where(F.col("n_family") > ROWS))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64("set"), F.coalesce(F.ceil(F.col("n_family") / ROWS), F.lit(1)))
+        return rows.join(large, "family", "left").withColumn("block", F.xxhash64("family", part)).drop("n_family")
+
+    begun = sets.select("set", "n", "family", "tokens").mapInArrow(prefixes, "set long, n long, family long, prefix binary")
+    begun = placed(begun.join(classes, "set", "left")).select("block", "n", F.coalesce("component", "set").alias("class"), "prefix")
+    dealt = begun.mapInArrow(lambda b: _postings(b, dests), _POSTINGS_DDL).repartition("dest")
+    pairs = written(dealt.mapInArrow(lambda b: _block_pairs(b, percent), "a long, b long").distinct())
+    named = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()
+    own = placed(sets.select("set", "n", "family", "tokens")).select("block", "set", "n", "tokens").join(named, "block", "left_semi")
+    blocks = written(own.repartition("block").sortWithinPartitions("block", "set").mapInArrow(_blocked, _BLOCKS_DDL))
+    side = lambda x: blocks.select(F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in blocks.columns[1:]])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select(*[f"{c}_a" for c in blocks.columns[1:]], *[F.when(F.col("a") != F.col("b"), F.col(f"{c}_b")).alias(f"{c}_b") for c in blocks.columns[1:]])
+    return both.mapInArrow(lambda b: _multiplied(b, percent), "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -460,7 +519,7 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     dealt = _incidence(own, width, blocks).repartition(blocks, "dest")
     dealt = dealt.mapInArrow(lambda b: _shared(b, blocks), _ROWS_DDL).repartition(blocks, "dest")
     kinds = written(dealt.mapInArrow(lambda b: _survivors(b, blocks, percent), _SETS_DDL))
-    rows, sets = kinds.where("kind = 0").select("key", "n", "set"), kinds.where("kind = 1").select("set", "n", "tokens", "keys")
+    rows, sets = kinds.where("kind = 0").select("key", "n", "set"), kinds.where("kind = 1").select("set", "n", "tokens", "keys", "family")
     edges = _leader_rounds(sets, percent)
     edges = written(edges.unionByName(_other_edges(sets, edges, blocks, percent)))
     of_set = components(edges).withColumnRenamed("id", "set")
