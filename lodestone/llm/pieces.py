@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import kept_in_worker, picked, table
 
 MODEL = "piece_bpe_32k.model"
-SCALE, COST, SEED = 1e-4, 4.0, 7
+SCALE, COST, SEED = 1e-4, 2.0, 7
 #: Characters that are encoded together.
 PART = 1 << 20
 _BLANK, _LITERAL = 0x2581, 0x110001  # the sign for a blank, and what stands for that sign in a text
