@@ -98,7 +98,8 @@ def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
                 if len(seen) > 200_000:
                     yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
 
     rows = {r: sampled.where(F.col("role") == r).select("text") for r in "pu"}
     n = {r: max(1, rows[r].count()) for r in "pu"}
