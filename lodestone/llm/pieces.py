@@ -44,6 +44,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
+    if n > 2 * PART:
+        return _new_powers(n)
+    one, other = kept_in_worker(("powers", PART), lambda: _new_powers(2 * PART))
+    return one[:n], other[:n]
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for step in (_R, pow(_R, -1, 1 << 64)):
         p = np.ones(1, dtype=np.uint64)
@@ -158,6 +165,7 @@ class Lattice:
         chunk = np.repeat(np.arange(len(starts)), lengths)
         left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))  # characters to the chunk's end
         node = np.arange(len(codes)) + chunk
+        chunk_of_node = np.repeat(np.arange(len(starts)), lengths + 1)
         self.first, self.last = starts + np.arange(len(starts)), starts + lengths + np.arange(len(starts))
         total, inverse = _prefixes(codes)
         a, b, ids, weight = [], [], [], []
@@ -186,36 +194,42 @@ class Lattice:
         ids.append((-1 - of).astype(np.int32))
         weight.append(np.array([-2 * v.cost * len(s) for s in self.spelt])[of] if len(rest) else np.zeros(0))
         a, b, ids, weight = map(np.concatenate, (a, b, ids, weight))
-        order = np.argsort(b << 16 | b - a)  # pieces have fewer than 2**16 characters
-        self.start, self.end, self.ids, weight = a[order], b[order], ids[order], weight[order]
-        self._filter(weight, node, lengths)
+        position = b - self.first[chunk_of_node[b]]
+        self._filter(position, a, b, ids, weight)
 
-    def _filter(self, weight: np.ndarray, node: np.ndarray, lengths: np.ndarray) -> None:
+    def _filter(self, position: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> None:
         """Forward sums, position by position in all chunks, and each edge's share at its end."""
-        n = int(self.last[-1]) + 1 if len(self.last) else 0
-        position = np.zeros(n, dtype=np.int64)
-        position[node + 1] = np.arange(len(node)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
-        forward = np.zeros(n)
-        own = position[self.end]
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(1, int(own.max(initial=0)) + 2))
-        share = np.zeros(len(weight))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            e = order[lo:hi]
-            end = self.end[e]
-            first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-            x = forward[self.start[e]] + weight[e]
+        # By position in the chunk, then by end: edges of one end lie together.
+        bits = int(b.max(initial=1)).bit_length()
+        if bits + int(position.max(initial=1)).bit_length() <= 52:
+            order = np.argsort(position << (bits + 11) | b << 11 | np.minimum(b - a, 2047))
+        else:
+            order = np.lexsort((b - a, b, position))
+        self.start, end, self.ids, weight, position = a[order], b[order], ids[order], weight[order], position[order]
+        new = np.ones(len(end), dtype=bool)
+        np.not_equal(end[1:], end[:-1], out=new[1:])
+        heads = np.flatnonzero(new)  # the first edge of each end
+        sizes = np.diff(np.append(heads, len(end)))
+        forward = np.zeros(int(self.last[-1]) + 1 if len(self.last) else 0)
+        self.edge = np.zeros(len(forward), dtype=np.int64)
+        self.edge[end[heads]] = heads
+        level = position[heads]
+        cuts = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1], [True]])) if len(level) else [0]
+        share = np.empty(len(weight))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            lo, hi = heads[i], heads[j - 1] + sizes[j - 1]
+            first, size = heads[i:j] - lo, sizes[i:j]
+            x = forward[self.start[lo:hi]] + weight[lo:hi]
             top = np.maximum.reduceat(x, first)
-            size = np.diff(np.append(first, len(e)))
             p = np.exp(x - np.repeat(top, size))
             total = np.add.reduceat(p, first)
-            forward[end[first]] = top + np.log(total)
+            forward[end[heads[i:j]]] = top + np.log(total)
             p = np.cumsum(p / np.repeat(total, size))
             p -= np.repeat(np.concatenate([[0.0], p[first[1:] - 1]]), size)
-            p[np.append(first[1:], len(e)) - 1] = 1.0  # the last edge takes what rounding leaves
-            share[e] = p
-        #: Of each edge the share of it and of those before it at the same end; of each node its first edge.
-        self.share, self.edge = share, np.searchsorted(self.end, np.arange(n))
+            p[first + size - 1] = 1.0  # the last edge takes what rounding leaves
+            share[lo:hi] = p
+        #: Of each edge the share of it and of those before it at the same end.
+        self.share = share
 
     def sample(self, chunk: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges of all occurrences in reading order, how many each has); chunk: its chunk's
@@ -259,8 +273,10 @@ def encode(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int = SEED)
     total, inverse = _prefixes(codes)
     h = _hashes(total, inverse, starts, lengths) ^ lengths.astype(np.uint64)
     _, first, chunk = np.unique(h, return_index=True, return_inverse=True)
-    own = np.concatenate([codes[starts[f] : starts[f] + lengths[f]] for f in first])
-    lattice = Lattice(own, np.cumsum(lengths[first]) - lengths[first], v)
+    size_of = lengths[first]
+    begin_of = np.cumsum(size_of) - size_of
+    own = codes[np.arange(int(size_of.sum())) + np.repeat(starts[first] - begin_of, size_of)]
+    lattice = Lattice(own, begin_of, v)
     doc = np.searchsorted(begin + size, starts, side="right")
     number = np.arange(len(starts)) - np.searchsorted(doc, doc)
     state = mix(mix(keys.astype(np.uint64) + np.uint64(seed) * np.uint64(0xA0761D6478BD642F % (1 << 63)))[doc] + number.astype(np.uint64) * np.uint64(_R))
