@@ -1,3 +1,8 @@
 """Registered queries, one module for each family of operators."""
 
-MODULES: list = []
+from lodestone.plans import scanning
+from lodestone.plans.scanning import flagship
+
+MODULES: list = [scanning]
+
+__all__ = ["MODULES", "flagship"]
