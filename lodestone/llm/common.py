@@ -57,3 +57,28 @@ def kept_in_worker(key: object, make) -> object:
     if key not in module.__dict__:
         module.__dict__[key] = make()
     return module.__dict__[key]
+
+
+def release() -> None:
+    """Gives memory that a kernel no longer uses back to the system: Spark keeps Python workers for
+    later tasks, and what they hold counts against the executor."""
+    import contextlib
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(kernel):
+    """The kernel, with memory released when its partition is done."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run

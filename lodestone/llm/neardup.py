@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions, picked, table, written
+from lodestone.llm.common import partitions, picked, table, tidied, written
 from lodestone.llm.components import components, roots
 
 THRESHOLD = 0.95
@@ -200,7 +200,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """key, n_links, component_id, kept: one row for each vector."""
     eps = float(np.sqrt(2 - 2 * threshold))
     own = picked(vectors, key=vectors[key].cast("long"), v=vectors[vector].cast("array<double>"))
-    rows = written(own.mapInArrow(_classed, "key long, v array<double>, class binary"))
+    rows = written(own.mapInArrow(tidied(_classed), "key long, v array<double>, class binary"))
     good = rows.where("class IS NOT NULL AND key IS NOT NULL")
     node = F.conv(F.substring(F.hex("class"), 1, 15), 16, 10).cast("long").alias("node")
     classes = good.groupBy("class").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("count"), F.first("v").alias("v"))
@@ -208,7 +208,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     known = axes(classes)
     placed = written(classes.mapInArrow(lambda b: _placed(b, known, eps), "node long, count long, v array<double>, place double"))
     order = placed.repartitionByRange(partitions(vectors.sparkSession), "place", "node").sortWithinPartitions("place", "node")
-    blocks = written(order.select("node", "count", "v").mapInArrow(lambda b: _cut(b, known, BLOCK), _BLOCKS_DDL))
+    blocks = written(order.select("node", "count", "v").mapInArrow(tidied(lambda b: _cut(b, known, BLOCK)), _BLOCKS_DDL))
 
     # Intervals that may meet: cells of the two leading axes that touch, then boxes.
     cell = lambda s, i: F.coalesce(F.floor(F.try_element_at(s, F.lit(i)) / eps).cast("int"), F.lit(0))
@@ -225,7 +225,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     right = blocks.select(F.col("block").alias("b"), F.col("nodes").alias("nodes_b"), F.col("counts").alias("counts_b"), F.col("vectors").alias("vectors_b"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.select("n", "a", "b", "nodes_a", "counts_a", "vectors_a", *[F.when(F.col("a") != F.col("b"), F.col(c)).alias(c) for c in ("nodes_b", "counts_b", "vectors_b")])
-    found = written(both.mapInArrow(lambda b: _joined(b, known, threshold), "node long, links long, root long"))
+    found = written(both.mapInArrow(tidied(lambda b: _joined(b, known, threshold)), "node long, links long, root long"))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import partitions, picked, table, written
+from lodestone.llm.common import partitions, picked, table, tidied, written
 from lodestone.llm.components import components, roots
 
 WORDS, PERCENT = 5, 80
@@ -209,7 +209,7 @@ def _incidence(docs: DataFrame, width: int, blocks: int) -> DataFrame:
                     yield _dealt(dest, row, tokens >> np.uint64(24), None, ids[first], sizes[first], None)
                 at = end
 
-    return docs.mapInArrow(emit, _ROWS_DDL)
+    return docs.mapInArrow(tidied(emit), _ROWS_DDL)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], by: str):
@@ -341,7 +341,7 @@ def _leader_rounds(sets: DataFrame, percent: int) -> DataFrame:
         own = own.join(hot, "group", "left")
         salt = F.pmod(F.xxhash64("set"), F.coalesce(F.ceil(F.col("n_group") / HOT), F.lit(1)))
         own = own.select("group", salt.alias("salt"), "set", "n", "tokens", "keys").repartition("group", "salt").sortWithinPartitions("group", "salt", "set")
-        led = written(own.mapInArrow(lambda b: _led(b, percent), "set long, n long, tokens binary, keys array<long>, leader long"))
+        led = written(own.mapInArrow(tidied(lambda b: _led(b, percent)), "set long, n long, tokens binary, keys array<long>, leader long"))
         found = led.where("leader IS NOT NULL").select(F.col("set").alias("a"), F.col("leader").alias("b"))
         edges = found if edges is None else edges.unionByName(found)
         rest = led.where("leader IS NULL").drop("leader")
@@ -500,15 +500,15 @@ def _other_edges(sets: DataFrame, edges: DataFrame, dests: int, percent: int) ->
 
     begun = sets.select("set", "n", "family", "tokens").mapInArrow(prefixes, "set long, n long, family long, prefix binary")
     begun = placed(begun.join(classes, "set", "left")).select("block", "n", F.coalesce("component", "set").alias("class"), "prefix")
-    dealt = begun.mapInArrow(lambda b: _postings(b, dests), _POSTINGS_DDL).repartition("dest")
-    pairs = written(dealt.mapInArrow(lambda b: _block_pairs(b, percent), "a long, b long").distinct())
+    dealt = begun.mapInArrow(tidied(lambda b: _postings(b, dests)), _POSTINGS_DDL).repartition("dest")
+    pairs = written(dealt.mapInArrow(tidied(lambda b: _block_pairs(b, percent)), "a long, b long").distinct())
     named = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()
     own = placed(sets.select("set", "n", "family", "tokens")).select("block", "set", "n", "tokens").join(named, "block", "left_semi")
-    blocks = written(own.repartition("block").sortWithinPartitions("block", "set").mapInArrow(_blocked, _BLOCKS_DDL))
+    blocks = written(own.repartition("block").sortWithinPartitions("block", "set").mapInArrow(tidied(_blocked), _BLOCKS_DDL))
     side = lambda x: blocks.select(F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in blocks.columns[1:]])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.select(*[f"{c}_a" for c in blocks.columns[1:]], *[F.when(F.col("a") != F.col("b"), F.col(f"{c}_b")).alias(f"{c}_b") for c in blocks.columns[1:]])
-    return both.mapInArrow(lambda b: _multiplied(b, percent), "a long, b long")
+    return both.mapInArrow(tidied(lambda b: _multiplied(b, percent)), "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -517,8 +517,8 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     blocks = partitions(docs.sparkSession)
     own = picked(docs, key=docs[key].cast("long"), text=F.coalesce(docs[text], F.lit("")))
     dealt = _incidence(own, width, blocks).repartition(blocks, "dest")
-    dealt = dealt.mapInArrow(lambda b: _shared(b, blocks), _ROWS_DDL).repartition(blocks, "dest")
-    kinds = written(dealt.mapInArrow(lambda b: _survivors(b, blocks, percent), _SETS_DDL))
+    dealt = dealt.mapInArrow(tidied(lambda b: _shared(b, blocks)), _ROWS_DDL).repartition(blocks, "dest")
+    kinds = written(dealt.mapInArrow(tidied(lambda b: _survivors(b, blocks, percent)), _SETS_DDL))
     rows, sets = kinds.where("kind = 0").select("key", "n", "set"), kinds.where("kind = 1").select("set", "n", "tokens", "keys", "family")
     edges = _leader_rounds(sets, percent)
     edges = written(edges.unionByName(_other_edges(sets, edges, blocks, percent)))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept_in_worker, picked, table, written
+from lodestone.llm.common import kept_in_worker, picked, table, tidied, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
 
     names = ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     own = picked(docs, key=docs[key].cast("long"), text=F.coalesce(docs[text], F.lit("")))
-    return own.mapInPandas(cut, "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return own.mapInPandas(tidied(cut), "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 # The plan -------------------------------------------------------------------------------------
@@ -291,7 +291,7 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, ord
             yield batch
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return ranked.mapInPandas(put, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInPandas(tidied(put), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept_in_worker, picked, table
+from lodestone.llm.common import kept_in_worker, picked, table, tidied
 
 MODEL = "piece_bpe_32k.model"
 SCALE, COST, SEED = 1e-4, 2.0, 7
@@ -326,7 +326,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 at = end
 
     own = picked(docs, key=docs[key].cast("long"), text=text)
-    return own.mapInArrow(run, "key long, ids array<int>, lossless boolean").withColumnRenamed("key", key)
+    return own.mapInArrow(tidied(run), "key long, ids array<int>, lossless boolean").withColumnRenamed("key", key)
 
 
 def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:

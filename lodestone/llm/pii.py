@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import picked, table, written
+from lodestone.llm.common import picked, release, table, tidied, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -223,7 +223,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pd.DataFrame({"key": batch["key"].astype("Int64"), "base": base, "found": found})
 
     own = picked(docs, key=docs[key].cast("long"), text=F.coalesce(docs[text], F.lit("")))
-    return own.mapInPandas(find, "key long, base string, found string")
+    return own.mapInPandas(tidied(find), "key long, base string, found string")
 
 
 def fit(scanned: DataFrame) -> dict[str, float]:
@@ -268,7 +268,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
             })
 
     kind = "array<struct<kind:string,start:long,end:long>>"
-    return scanned.mapInPandas(decide, f"key long, base_spans {kind}, spans {kind}").withColumnRenamed("key", key)
+    return scanned.mapInPandas(tidied(decide), f"key long, base_spans {kind}, spans {kind}").withColumnRenamed("key", key)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
@@ -291,6 +291,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str
                     t = "".join(parts) + t[end:] if parts else t
                 out.append(t)
             yield pd.Series(out, dtype=object)
+        release()
 
     from collections.abc import Iterator
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import picked, table, written
+from lodestone.llm.common import picked, table, tidied, written
 
 K, SCALE, EVERY = 5, 256, 50
 #: Cells, the sample that their pivots come from, and vectors in a block.
@@ -212,9 +212,9 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
                     q, c, s = _best(keys[0], x[0], *own, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s.astype(np.int64))], names=["query_id", "key", "score"])
 
-    dealt = rows.mapInArrow(pack, _PACK).repartition("n", "cell", "block")
+    dealt = rows.mapInArrow(tidied(pack), _PACK).repartition("n", "cell", "block")
     dealt = dealt.sortWithinPartitions("n", "cell", "block", F.desc("query"))
-    found = dealt.mapInArrow(solve, "query_id long, key long, score long")
+    found = dealt.mapInArrow(tidied(solve), "query_id long, key long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("key").alias(key), "score")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import picked, table, written
+from lodestone.llm.common import picked, release, table, tidied, written
 
 POSITIVE, UNLABELLED, CALIBRATION = 3000, 9000, 6000
 FEATURES, CLASSIFIERS, STEPS = 50_000, 3, 800
@@ -103,7 +103,7 @@ def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
 
     rows = {r: sampled.where(F.col("role") == r).select("text") for r in "pu"}
     n = {r: max(1, rows[r].count()) for r in "pu"}
-    total = {r: rows[r].mapInPandas(count, "f string, n long").groupBy("f").agg(F.sum("n").alias(r)) for r in "pu"}
+    total = {r: rows[r].mapInPandas(tidied(count), "f string, n long").groupBy("f").agg(F.sum("n").alias(r)) for r in "pu"}
     both = total["p"].where("p >= 3").join(total["u"], "f")
     share = F.col("u") / F.lit(float(n["u"])) / (F.col("p") / F.lit(float(n["p"])) * prior)
     whole = F.lit(float(n["p"] + n["u"]))
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = [sorted({at[f] for w in words(t) for f in described(w) if f in at}) for t in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "role": batch["role"], "label": batch["label"], "found": found})
 
-    rows = sampled.mapInPandas(featurise, "key long, role string, label int, found array<int>").toPandas().sort_values(["role", "key"])
+    rows = sampled.mapInPandas(tidied(featurise), "key long, role string, label int, found array<int>").toPandas().sort_values(["role", "key"])
     sets = {r: [np.asarray(x, dtype=np.int64) for x in rows.loc[rows["role"] == r, "found"]] for r in "puc"}
     y = rows.loc[rows["role"] == "c", "label"].to_numpy(dtype=float)
     if not names or not sets["p"] or not sets["u"]:
@@ -217,6 +217,7 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "
             if len(seen) > 100_000:
                 seen.clear()
             yield pd.Series(out)
+        release()
 
     rate.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn(name, F.pandas_udf(rate, "double")(docs[text]))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import picked, scratch, table, written
+from lodestone.llm.common import picked, scratch, table, tidied, written
 
 SEGMENT, CHUNK, LEAST = 16384, 4096, 0
 #: Bytes of payload that one archive file takes, about; it bounds what a reading task holds.
@@ -158,7 +158,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         if held:
             yield pd.DataFrame({"value": [b"".join(held)[:-2].decode()]})
 
-    rows = with_roles(pages, key, url, payload, least).mapInPandas(write, "value string")
+    rows = with_roles(pages, key, url, payload, least).mapInPandas(tidied(write), "value string")
     rows.write.option("lineSep", "\r\n").option("maxRecordsPerFile", 8).option("compression", "gzip").text(path)
 
 
@@ -218,10 +218,10 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
             yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
-    rows = files.mapInPandas(parse, f"{_SCHEMA}, number int, total long, stated string, block binary")
+    rows = files.mapInPandas(tidied(parse), f"{_SCHEMA}, number int, total long, stated string, block binary")
     part = F.when(F.col("number").isNotNull(), F.struct("number", "total", "stated", "block"))
     whole = rows.groupBy("record").agg(*[F.max(c).alias(c) for c in _COLUMNS[1:]], F.sort_array(F.collect_list(part)).alias("parts"))
-    whole = written(whole.mapInPandas(join, _SCHEMA))
+    whole = written(whole.mapInPandas(tidied(join), _SCHEMA))
     response = whole.where("record_type = 'response'").select(F.col("record").alias("refers"), *_COLUMNS[3:])
     revisit = whole.where("record_type = 'revisit'").select("record", "record_type", "refers").join(response, "refers", "left")
     return whole.where("record_type = 'response'").unionByName(revisit.select(*_COLUMNS))
