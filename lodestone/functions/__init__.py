@@ -34,17 +34,13 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
 
 
-def shingles(text: Column, size: int = 5) -> Column:
-    """The distinct windows of characters, after white space is collapsed; empty if the text is shorter."""
-    t = normalised(text)
-    windows = F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substring(t, i, size))
-    return F.when(F.length(t) >= size, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
-
-
-def windows(items: Column, size: int) -> Column:
-    """All runs of so many neighbours of an array."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(items) - (size - 1)), lambda i: F.slice(items, i, size))
-    return F.when(F.size(items) >= size, runs)
+def shingles(df: DataFrame, text: str, name: str = "shingles", size: int = 5) -> DataFrame:
+    """df with the distinct windows of characters of a text, after white space is collapsed; empty if
+    the text is shorter.  The collapsed text is a column first, as a lambda would make it anew for
+    each window."""
+    own = df.withColumn("__t", normalised(F.col(text)))
+    runs = F.transform(F.sequence(F.lit(1), F.length("__t") - (size - 1)), lambda i: F.substring("__t", i, size))
+    return own.withColumn(name, F.when(F.length("__t") >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))).drop("__t")
 
 
 def hash31(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Registered queries, one module for each family of operators."""
 
-from lodestone.plans import scanning
+from lodestone.plans import cloning, scanning, texts
 from lodestone.plans.scanning import flagship
 
-MODULES: list = [scanning]
+MODULES: list = [scanning, texts, cloning]
 
 __all__ = ["MODULES", "flagship"]
