@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import half_up, normalised, words
+from lodestone.tables import written
 
 # Fixed values of the signature scheme: functions, prime, bands, least similarity, shingle size.
 FUNCTIONS, PRIME, BANDS, LEAST, SHINGLE, TILE = 128, 2147483647, 16, 0.5, 5, 30
@@ -46,7 +47,7 @@ def token_clones(df: DataFrame, key: str, text: str, size: int = TILE) -> DataFr
     """doc_a, doc_b, start_a, start_b, n_tokens: maximal common runs of at least ``size`` words of two
     distinct texts.  Windows of one text alone leave before the join; what remains meets by hash, and
     neighbouring meetings on one diagonal are one run."""
-    each = window_hashes(distinct_texts(df, key, text), "key", "text", size)
+    each = written(window_hashes(distinct_texts(df, key, text), "key", "text", size))
     several = each.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2")
     each = each.join(several, ["h1", "h2"], "left_semi")
     a, b = (each.select("h1", "h2", F.col("key").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")

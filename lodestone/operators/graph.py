@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.schemas import DECLARATION_TYPES
+from lodestone.tables import written
 
 # How far a search goes by its scope, and from how many nodes it starts.
 DEPTH = {"project": 3, "module": 2, "file": 1}
@@ -63,13 +64,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def neighbourhood(start: DataFrame, edges: DataFrame, depth: int = DEPTH["project"]) -> DataFrame:
     """id, depth: all nodes within so many steps of the start nodes, with the fewest steps.  The depth
-    is small and bounded, so the joins are unrolled; each looks only at what is new."""
-    both = undirected(edges)
+    is small and bounded; each step looks only at what is new, and is written, so that no step is
+    computed again."""
+    both = written(undirected(edges))
     reached = start.select("id").distinct().withColumn("depth", F.lit(0).cast("long"))
     frontier = reached.select("id")
     for d in range(1, depth + 1):
         step = both.join(frontier.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("v").alias("id")).distinct()
-        frontier = step.join(reached.select("id"), "id", "left_anti")
+        frontier = written(step.join(reached.select("id"), "id", "left_anti"))
         reached = reached.unionByName(frontier.withColumn("depth", F.lit(d).cast("long")))
     return reached
 
@@ -109,7 +111,7 @@ def call_tree(start: DataFrame, edges: DataFrame, depth: int = 3, kind: str | No
     are walked until the depth ends, as the tree has no other bound."""
     a, b = ("dst", "src") if incoming else ("src", "dst")
     own = edges if kind is None else edges.where(F.col("type") == kind)
-    own = own.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
+    own = written(own.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
     level = start.select(F.col("id").alias("root"), F.col("id").alias("u"), F.array("id").alias("path"))
     out = level.select("root", F.lit(0).cast("long").alias("depth"), "path")
     for d in range(1, depth + 1):
@@ -127,10 +129,11 @@ def dependency_map(edges: DataFrame, kind: str | None = "imports") -> DataFrame:
 def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
     """cycle: simple directed cycles of up to so many nodes, each once, from its smallest node on.
     A walk only visits nodes above the one it began at, so each cycle is found from one start."""
-    own = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    own = written(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
     walk = own.where("v >= u").select(F.col("u").alias("first"), F.array("u").alias("path"), F.col("v").alias("u"))
     out = None
     for _ in range(longest):
+        walk = written(walk)
         closed = walk.where("u = first").select(F.col("path").alias("cycle"))
         out = closed if out is None else out.unionByName(closed)
         walk = walk.where((F.col("u") != F.col("first")) & ~F.array_contains("path", F.col("u")))

@@ -9,6 +9,7 @@ from lodestone.operators import clones, sequences
 from lodestone.operators.rules import TEXT_RULES, count_matches
 from lodestone.plans.common import CORPUS, LINES, corpus, table
 from lodestone.plans.scanning import _ALL
+from lodestone.tables import written
 
 
 def _docs(spark, d):
@@ -42,14 +43,17 @@ def minhash_signatures(spark, d):
 
 
 def lsh_pairs(spark, d):
-    return clones.lsh_pairs(clones.signatures(clones.distinct_texts(_docs(spark, d), "doc_id", "text"), "key", "text"))
+    return clones.lsh_pairs(written(clones.signatures(clones.distinct_texts(_docs(spark, d), "doc_id", "text"), "key", "text")))
 
 
 def jaccard_pairs(spark, d):
     """The pairs of lsh_pairs with their exact similarity."""
-    sets = shingles(clones.distinct_texts(_docs(spark, d), "doc_id", "text"), "text", "s").select("key", "s")
+    pairs = written(lsh_pairs(spark, d))
+    named = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("key")).distinct()
+    texts = _docs(spark, d).withColumnRenamed("doc_id", "key").join(named, "key", "left_semi")
+    sets = written(shingles(texts, "text", "s").select("key", "s"))
     side = lambda x: sets.select(F.col("key").alias(f"doc_{x}"), F.col("s").alias(f"s_{x}"))
-    both = lsh_pairs(spark, d).join(side("a"), "doc_a").join(side("b"), "doc_b")
+    both = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b")
     return both.select("doc_a", "doc_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("n_common"), F.size(F.array_union("s_a", "s_b")).cast("long").alias("n_union"))
 
 

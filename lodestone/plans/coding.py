@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lodestone import api, schemas
@@ -12,6 +10,7 @@ from lodestone.operators.store import GraphStore
 from lodestone.plans.common import corpus, table
 from lodestone.sources import inline, scripts_of_pages
 from lodestone.streaming import current_index, windowed_errors
+from lodestone.tables import scratch
 
 SAMPLES = {
     "src/ui/view.ts": "import { load } from '../data/store';\nimport './style';\n\nexport class View extends Base implements IView {\n  private rows: any = [];\n  draw() { render(this.rows); console.log('drawn'); }\n  save() { throw new Error('not implemented'); }\n  close() {}\n}\n",
