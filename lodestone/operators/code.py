@@ -198,7 +198,7 @@ def open_closed(text: str, clean: str, most: int = 3, gap: int = 3) -> Iterator[
         yield "ocp-type-checks", "info", "architecture", clean.index(checks[0]), f"{len(checks)} checks of types"
 
 
-_NOT_DONE = re.compile(r"throw\s+new\s+(?:Error\s*\(\s*[\"'`](?:not implemented|unsupported|not supported|)[^\"'`]*[\"'`]|NotImplementedError|UnsupportedOperation\w*)", re.I)
+_NOT_DONE = re.compile(r"throw\s+new\s+(?:Error\s*\(\s*[\"'`](?:(?:not implemented|unsupported|not supported)[^\"'`]*)?[\"'`]|NotImplementedError|UnsupportedOperation\w*)", re.I)
 
 
 def liskov(text: str, clean: str) -> Iterator[Finding]:

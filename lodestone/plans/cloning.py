@@ -9,11 +9,11 @@ from lodestone.operators import clones, sequences
 from lodestone.operators.rules import TEXT_RULES, count_matches
 from lodestone.plans.common import CORPUS, LINES, corpus, table
 from lodestone.plans.scanning import _ALL
-from lodestone.tables import written
+from lodestone.tables import spread, written
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def exact_duplicates(spark, d):

@@ -26,7 +26,7 @@ def directory(spark: SparkSession, path: str, repository: str = "default", exten
     own = files.select(F.lit(repository).alias("repository"), relative.alias("path"), "content")
     if excluded:
         own = own.where(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, excluded)) + ")/"))
-    return own.select("repository", "path", language(F.col("path")).alias("lang"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return own.select("repository", "path", language(F.col("path")).alias("lang"), F.decode("content", "UTF-8").alias("content"))
 
 
 def design_files(files: DataFrame) -> DataFrame:

@@ -24,3 +24,9 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, if its files make fewer partitions than there are; else the scan."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan._jdf.queryExecution().toRdd().getNumPartitions() < n else scan
