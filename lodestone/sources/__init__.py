@@ -18,7 +18,8 @@ MORE_EXCLUDED = [*EXCLUDED, ".venv", "__pycache__"]
 
 def directory(spark: SparkSession, path: str, repository: str = "default", extensions: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
     """All files below a path, in any store that Spark reads; names of folders in ``excluded`` are left
-    out, paths are relative to the root."""
+    out, paths are relative to the root.  Spark's readers pass over files of no bytes; nothing could
+    be found in them."""
     extensions, excluded = extensions or EXTENSIONS, EXCLUDED if excluded is None else excluded
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path)
     root = re.sub(r"^[a-z0-9]+:/*", "/", path.rstrip("/"))

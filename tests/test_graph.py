@@ -122,11 +122,11 @@ def test_clones(spark):
 
 
 def test_sources(spark, tmp_path):
-    for p, text in (("a.ts", "é\r\n"), ("node_modules/x.ts", "no"), ("sub/b.py", ""), ("c.txt", "no")):
+    for p, text in (("a.ts", "é\r\n"), ("node_modules/x.ts", "no"), ("sub/b.py", "x"), ("sub/empty.py", ""), ("c.txt", "no")):
         (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / p).write_bytes(text.encode())
     got = {r.path: (r.lang, r.content) for r in directory(spark, str(tmp_path)).collect()}
-    assert got == {"a.ts": ("typescript", "é\r\n"), "sub/b.py": ("python", "")}
+    assert got == {"a.ts": ("typescript", "é\r\n"), "sub/b.py": ("python", "x")}
     base, head = inline(spark, {"a.ts": "1", "b.ts": "2"}), inline(spark, {"a.ts": "1", "b.ts": "3", "c.ts": "4"})
     assert {(r.path, r.base_content) for r in changed(head, base).collect()} == {("b.ts", "2"), ("c.ts", None)}
     paths = spark.createDataFrame([("a/x.log",), ("keep.log",), ("build/y",), ("z",)], "p string")
