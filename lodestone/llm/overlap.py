@@ -337,7 +337,8 @@ def _leader_rounds(sets: DataFrame, percent: int) -> DataFrame:
     rest, edges = sets, None
     for i in range(ROUNDS):
         own = rest.withColumn("group", F.col("keys")[i])
-        hot = own.groupBy("group").agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") > HOT)
+        # A table of its own, so that its size is known and a small one is sent to the rows, not they to it.
+        hot = written(own.groupBy("group").agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") > HOT))
         own = own.join(hot, "group", "left")
         salt = F.pmod(F.xxhash64("set"), F.coalesce(F.ceil(F.col("n_group") / HOT), F.lit(1)))
         own = own.select("group", salt.alias("salt"), "set", "n", "tokens", "keys").repartition("group", "salt").sortWithinPartitions("group", "salt", "set")
