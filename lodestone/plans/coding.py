@@ -114,7 +114,16 @@ def error_windows(spark, d):
 
 _Q = [code_rules, design_rules, extract_facts, code_outline, code_graph_nodes, code_graph_edges, circular_dependencies, metrics_code, squeeze_code, symbol_insights, layer_check, diff_check, component_rules, isolated_files, large_files, stream_index, error_windows]
 QUERIES = {f.__name__: f for f in _Q}
+# The pages' scripts import nothing and name no such symbol, so these are the samples' facts.
 ORACLES = {
+    "circular_dependencies": "SELECT 'src/data/store.ts > src/ui/view.ts' AS cycle",
+    "symbol_insights": """SELECT * FROM (VALUES ('samples', 'src/data/store.ts', 3::BIGINT, 'definition'), ('samples', 'README.md', 1::BIGINT, 'usage'),
+      ('samples', 'README.md', 1::BIGINT, 'mention')) AS t(repository, path, line_no, kind)""",
+    "layer_check": "SELECT 'src/data/store.ts' AS file, 1::BIGINT AS line_no, '../ui/view' AS source, 'data' AS from_layer, 'ui' AS to_layer",
+    "diff_check": "SELECT 'src/data/store.ts' AS file, 2::BIGINT AS line_no, '../ui/view' AS source, 'data' AS from_layer, 'ui' AS to_layer",
+    "component_rules": """SELECT * FROM (VALUES ('src', 'src/ui', 'boundary'), ('src', 'src/data', 'boundary'), ('src/ui', 'lib', 'unknown'),
+      ('src/ui', 'src/data', 'composition')) AS t(source, target, rule)""",
+    "isolated_files": "SELECT 'src/data/store.ts' AS path, 'src' AS parent",
     "large_files": r"SELECT doc_id::VARCHAR AS path, len(string_split_regex(text, '\r?\n'))::BIGINT AS n_lines FROM documents WHERE len(string_split_regex(text, '\r?\n')) > 400",
     "stream_index": "SELECT source AS repository, count(*) AS n_files, count(text) AS n_hashed FROM documents GROUP BY 1",
     "error_windows": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY 1",

@@ -106,6 +106,10 @@ ORACLES = {
       SELECT path, line_no, rule_id, n FROM k WHERE odd AND k NOT IN (SELECT k FROM k WHERE NOT odd)""",
     "report_rank": f"""{_ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY {_RANK}, path, line_no, rule_id) AS rank FROM found)
       SELECT repository, rank, severity, path, line_no, rule_id FROM r WHERE rank <= 3""",
+    "report_markdown": f"""{_ALL}, s AS (SELECT severity AS k, sum(n) AS n FROM found GROUP BY 1), c AS (SELECT category AS k, sum(n) AS n FROM found GROUP BY 1)
+      SELECT '# Findings: ' || (SELECT coalesce(sum(n), 0) FROM found) || chr(10) || chr(10)
+        || '## By severity' || chr(10) || (SELECT coalesce(string_agg('| ' || k || ' | ' || n || ' |', chr(10) ORDER BY n DESC, k), 'none') FROM s) || chr(10) || chr(10)
+        || '## By category' || chr(10) || (SELECT coalesce(string_agg('| ' || k || ' | ' || n || ' |', chr(10) ORDER BY n DESC, k), 'none') FROM c) AS report""",
     "findings_json": f"""{_ALL} SELECT '{{"path":"' || path || '","line_no":' || line_no || ',"rule_id":"' || rule_id || '","severity":"' || severity || '","n":' || n || '}}' AS json FROM found""",
     "principle_summary": f"""{_ALL} SELECT repository, sum(n)::BIGINT AS total, {", ".join(f"coalesce(sum(n) FILTER (severity = '{s}'), 0)::BIGINT AS n_{s}" for s in SEVERITY_WEIGHT)},
       count(*) FILTER (severity = 'critical') = 0 AS passed FROM found GROUP BY 1""",

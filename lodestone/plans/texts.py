@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import lines, token_estimate
+from lodestone.functions import fnv1a, lines, token_estimate
 from lodestone.operators import rewrite, routing
 from lodestone.plans.common import CORPUS, LINES, corpus, table
 
@@ -53,6 +53,16 @@ def plan_blocks(spark, d):
     return routing.blocks(table(spark, d, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text")
 
 
+def document_plan(spark, d):
+    """Documents as written plans: their blocks, each with its score and tier."""
+    blocks = routing.plan_blocks(corpus(spark, d), "path", "content")
+    return routing.route(blocks.select("path", "block", "n_rows", routing.plan_score(F.col("text")).alias("score"))).drop("tier_name", "effort")
+
+
+def name_hashes(spark, d):
+    return table(spark, d, "part").select("p_partkey", fnv1a(F.col("p_name")).alias("hash"))
+
+
 def refactor_batch(spark, d):
     """Two words renamed and one replaced over all documents: the changed ones, with their new hash."""
     before = corpus(spark, d)
@@ -73,7 +83,7 @@ def line_diff(spark, d):
     return rewrite.diff(of(before), of(after), ["repository"])
 
 
-QUERIES = {f.__name__: f for f in (token_estimates, squeeze_pages, plan_score, estimate_complexity, route_tier, effort_estimate, tier_breakdown, subtasks, plan_blocks, refactor_batch, line_diff)}
+QUERIES = {f.__name__: f for f in (token_estimates, squeeze_pages, plan_score, estimate_complexity, route_tier, effort_estimate, tier_breakdown, subtasks, plan_blocks, document_plan, name_hashes, refactor_batch, line_diff)}
 
 _WORDS = r"len(list_filter(string_split_regex({t}, '[ \t\n\r\f]+'), lambda w: w <> ''))"
 _UP = lambda x, s: f"floor(({x}) * {s}::DOUBLE + 0.5::DOUBLE) / {s}::DOUBLE"
@@ -120,6 +130,14 @@ ORACLES = {
         list_transform(string_split_regex(text, '(?i) and then | followed by |[.!?](?:[ \n]|\z)'), lambda p: trim(regexp_replace(p, '[ \t\n\r\f]+', ' ', 'g'))) AS parts FROM {USER}),
       t AS (SELECT conv_id, turn, CASE WHEN len(items) > 0 THEN list_transform(items, lambda p: trim(p)) ELSE list_filter(parts, lambda p: length(p) > 5) END AS titles FROM i)
       SELECT conv_id, turn, o::BIGINT AS ordinal, titles[o] AS title FROM t, unnest(range(1, len(titles) + 1)) AS u(o)""",
+    "document_plan": rf"""WITH {CORPUS}, {LINES},
+      h AS (SELECT *, regexp_matches(line, '^#{{1,6}} ') AS head, regexp_matches(line, '^[ \t]*(?:[-*+]|[0-9]+[.)]) ') AS item FROM lines),
+      u AS (SELECT *, max(head::INT) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS u FROM h),
+      b AS (SELECT path, line_no, line, sum((head OR (item AND u = 0))::INT) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM u),
+      g AS (SELECT path, block, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY line_no) AS text FROM b GROUP BY 1, 2),
+      s AS (SELECT path, block, n_rows, {_score('text')} AS score FROM g) SELECT *, {_TIER} AS tier FROM s""",
+    "name_hashes": """SELECT p_partkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: unicode(substr(p_name, i, 1))::BIGINT)),
+      lambda h, c: xor(h, c) * 16777619 % 4294967296) AS hash FROM part""",
     "plan_blocks": r"""WITH b AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM conversations)
       SELECT conv_id, block, count(*) AS n_rows, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM b GROUP BY 1, 2""",
     "refactor_batch": rf"""WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS path, text, regexp_replace(regexp_replace(text, '{_THE}', '\1ZZZ\2', 'g'), '{_THE}', '\1ZZZ\2', 'g') AS t FROM documents)
