@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.tables import scratch, written  # noqa: F401  the operators import them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is what the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(scratch, "own", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        scratch.own = base
-    return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor
-    loses nothing."""
-    spark = df.sparkSession
-    df.write.parquet(path := scratch(spark))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named columns under the names used inside an operator, so that no other column of
     the caller can clash."""
