@@ -43,11 +43,6 @@ def shingles(df: DataFrame, text: str, name: str = "shingles", size: int = 5) ->
     return own.withColumn(name, F.when(F.length("__t") >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))).drop("__t")
 
 
-def hash31(text: Column) -> Column:
-    """The first 32 bits of md5, which other engines compute alike."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
-
-
 def fnv1a(text: Column) -> Column:
     """FNV-1a over code points, 32 bits."""
     points = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, 1)).cast("long"))
