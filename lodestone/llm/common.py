@@ -22,10 +22,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def int_text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(""))
-
-
 def kept_in_worker(key: object, make) -> object:
     """make()'s result, once for each Python worker however many tasks it runs."""
     import sys
