@@ -275,7 +275,7 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, ord
     starts = counted.select(length, "__group", F.coalesce(before, F.lit(0)).alias("__start"))
     rank = F.row_number().over(Window.partitionBy(length, "__group").orderBy(*(order or items.columns)))
     # Ranking has dealt the rows by these very columns, so the join moves only the counts.
-    ranked = own.withColumn("__rank", rank - 1).join(starts, [length, "__group"])
+    ranked = own.withColumn("__rank", rank - 1).join(starts.hint("merge"), [length, "__group"])
     ranked = ranked.select(*items.columns, (F.col("__rank") + F.col("__start")).alias("__rank"))
     keys = where["length"].to_numpy(np.int64), where["first"].to_numpy(np.int64)
     rest = {c: where[c].to_numpy(np.int64) for c in ("sequence", "each", "offset")}
