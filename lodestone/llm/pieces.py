@@ -68,7 +68,8 @@ def _prefixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-    return mix((total[start + length] - total[start]) * inverse[start])
+    """Of substrings, by their place alone no different; tables take the upper bits of a product."""
+    return (total[start + length] - total[start]) * inverse[start]
 
 
 class Vocabulary:
@@ -105,18 +106,19 @@ class Vocabulary:
 
     @staticmethod
     def _spot(hashes: np.ndarray, table: int) -> np.ndarray:
-        return ((hashes * np.uint64(2 * table * 0x5851F42D + 1)) >> np.uint64(44)).astype(np.int64)
+        return ((hashes * np.uint64((_R + 2 * table * 0x5851F42D) % (1 << 64))) >> np.uint64(44)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each beginning, or -1."""
         out = np.full(len(hashes), -1, dtype=np.int32)
         rest = np.arange(len(hashes))
         for k, table in enumerate(self.tables):
-            h = hashes[rest]
+            h = hashes if k == 0 else hashes[rest]
             i = table[self._spot(h, k)]
-            hit = (i >= 0) & (self.hashes[i] == h)
-            out[rest[hit]] = i[hit]
-            rest = rest[(i >= 0) & ~hit]
+            some = np.flatnonzero(i >= 0)  # most places are empty
+            hit = self.hashes[i[some]] == h[some]
+            out[rest[some[hit]]] = i[some[hit]]
+            rest = rest[some[~hit]]
             if not len(rest):
                 break
         return out
