@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A temporary folder that goes when this process ends."""
+    path = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that the cluster names in ``spark.checkpoint.dir``; only where that is
     unset (tests on one machine) a temporary folder is made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(scratch, "own", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        scratch.own = base
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
