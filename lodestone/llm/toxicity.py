@@ -6,11 +6,13 @@ which hold toxic ones too.  With the class prior p, the risk of calling a text c
 can't, a step is taken against it.  Several classifiers, each with its own part of the unlabelled
 texts, are averaged, and their output is calibrated on labelled rows that none of them saw.
 
-Features are the distinct words of a text and their first 4, 5 and 6 letters.  A feature of toxic
-texts alone is found in p times as large a part of the unlabelled texts as of the positive ones;
-kept are features of at least three positive texts whose share is near that.  Training uses bounded samples (POSITIVE, UNLABELLED, CALIBRATION rows at
-most, the first by a hash of their ids); scoring reads every text whole, needs no shuffle and
-broadcasts at most FEATURES weights.
+Features are the distinct words of a text and their first 4, 5 and 6 letters.  Candidates are the
+features of at least three sampled positive texts; how many texts hold them is counted over all
+documents outside the held-out fold.  Kept are those that positive texts hold more often than the
+documents by more than chance makes likely.  Whether their shares agree with the class prior is not
+asked, as the prior may be wrong.  The gradient steps and the calibration use bounded samples
+(POSITIVE, UNLABELLED, CALIBRATION rows at most, the first by a hash of their ids); counting and scoring
+read every text whole, and broadcast the candidates of the bounded sample and at most FEATURES weights.
 
 Defined cases: null and empty texts get the score of a text without features; null labels and labels
 of unknown documents count for nothing, and of conflicting labels the larger holds; rows with a null
@@ -31,10 +33,7 @@ from lodestone.llm.common import picked, release, table, tidied, written
 
 POSITIVE, UNLABELLED, CALIBRATION = 3000, 9000, 6000
 FEATURES, CLASSIFIERS, STEPS = 50_000, 3, 800
-#: A feature's share of unlabelled texts may be so many times what the prior makes of its share of
-#: positive ones.
-LEAST_SHARE, MOST_SHARE = 0.3, 3.0
-#: And the likelihood ratio statistic of its shares must be so large.
+#: The likelihood ratio statistic of a feature's shares must be so large.
 LEAST_GAIN = 8.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 PREFIXES = (4, 5, 6)
@@ -84,9 +83,57 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     return written(found), float(np.clip((toxic + 1) / (n + 10), 0.005, 0.5))
 
 
-def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
-    """The features whose shares of positive and unlabelled texts agree with the prior and differ
-    most, FEATURES at most, best first."""
+def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tuple[np.ndarray, int]:
+    """How many texts hold each of the named features, and the number of texts, over all documents
+    with an id outside the held-out fold; repeated rows count each."""
+    held = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def count(batches: Iterator[pd.DataFrame]):
+        at, seen = held.value, {}
+        total, texts = np.zeros(len(at), dtype=np.int64), 0
+        for batch in batches:
+            texts += len(batch)
+            for t in batch["text"]:
+                # A feature counts once a text, however many words share it.
+                found: set[int] = set()
+                for w in words(t) if t else ():
+                    fs = seen.get(w)
+                    if fs is None:
+                        fs = seen[w] = tuple(at[f] for f in described(w) if f in at)
+                    if fs:
+                        found.update(fs)
+                total[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
+            if len(seen) > 100_000:
+                seen.clear()
+        some = np.flatnonzero(total)
+        # The number of texts goes under -1.
+        yield pd.DataFrame({"at": np.append(some, -1), "n": np.append(total[some], texts)})
+
+    own = picked(docs, key=docs[key].cast("long"), text=docs[text]).where("key IS NOT NULL")
+    own = own.where(fold(F.col("key")) != HELD_OUT).select("text")
+    out, texts = np.zeros(len(names), dtype=np.int64), 0
+    for r in own.mapInPandas(tidied(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        if r.at < 0:
+            texts = r.n
+        else:
+            out[r.at] = r.n
+    return out, texts
+
+
+def gains(p: np.ndarray, n_p: int, u: np.ndarray, n_u: int) -> np.ndarray:
+    """The likelihood ratio statistic of the shares p/n_p and u/n_u, negative where the first is the
+    smaller one."""
+
+    def part(x: np.ndarray, n: int) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1) * float(n_p + n_u) / ((p + u) * float(n)))
+
+    p, u = np.asarray(p, dtype=float), np.asarray(u, dtype=float)
+    return np.round(2 * (part(p, n_p) + part(u, n_u)), 6) * np.where(p * n_u >= u * n_p, 1, -1)
+
+
+def vocabulary(sampled: DataFrame, docs: DataFrame, key: str, text: str) -> list[str]:
+    """The features that positive texts hold more often than the documents, by more than chance makes
+    likely: FEATURES at most, best first."""
 
     def count(batches: Iterator[pd.DataFrame]):
         from collections import Counter
@@ -101,16 +148,16 @@ def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
         if seen:
             yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
 
-    rows = {r: sampled.where(F.col("role") == r).select("text") for r in "pu"}
-    n = {r: max(1, rows[r].count()) for r in "pu"}
-    total = {r: rows[r].mapInPandas(tidied(count), "f string, n long").groupBy("f").agg(F.sum("n").alias(r)) for r in "pu"}
-    both = total["p"].where("p >= 3").join(total["u"], "f")
-    share = F.col("u") / F.lit(float(n["u"])) / (F.col("p") / F.lit(float(n["p"])) * prior)
-    whole = F.lit(float(n["p"] + n["u"]))
-    gain = lambda r: F.col(r) * F.log(F.col(r) * whole / ((F.col("p") + F.col("u")) * F.lit(float(n[r]))))
-    both = both.withColumn("gain", F.round(2 * (gain("p") + gain("u")), 6))
-    both = both.where((share >= LEAST_SHARE) & (share <= MOST_SHARE) & (F.col("gain") >= LEAST_GAIN))
-    return [r.f for r in both.orderBy(F.desc("gain"), "f").limit(FEATURES).collect()]
+    rows = sampled.where("role = 'p'").select("text")
+    known = rows.mapInPandas(tidied(count), "f string, n long").groupBy("f").agg(F.sum("n").alias("p")).where("p >= 3").collect()
+    if not known:
+        return []
+    names = sorted(r.f for r in known)
+    by = {r.f: r.p for r in known}
+    u, n_u = corpus_counts(docs, names, key, text)
+    gain = gains(np.array([by[f] for f in names]), rows.count(), u, max(1, n_u))
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    return [names[i] for i in best if gain[i] >= LEAST_GAIN]
 
 
 class _Rows:
@@ -170,7 +217,7 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[dict[str, float], float]:
     """(feature weights, bias): the log odds of a text are the bias and its features' weights."""
     sampled, prior = sample(docs, labels, key, text, label)
-    names = vocabulary(sampled, prior)
+    names = vocabulary(sampled, docs, key, text)
     at = {f: i for i, f in enumerate(names)}
 
     def featurise(batches: Iterator[pd.DataFrame]):

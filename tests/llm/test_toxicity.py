@@ -57,3 +57,20 @@ def test_without_positives_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in t.toxicity(docs, none).collect()] == [0.0]
     assert t.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_counts_cover_all_documents(spark, monkeypatch):
+    """A toxic word too rare for the sample of unlabelled texts, and one of a corpus whose labels give
+    a wrong prior, are features all the same."""
+    monkeypatch.setattr(t, "UNLABELLED", 40)
+    random.seed(6)
+    words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join(random.choices(words, k=30) + ["scummy"] * (i % 50 == 0))) for i in range(3000)]
+    labels = [(i, int(i % 50 == 0)) for i in range(3000) if i % 100 == 0 or i % 25 == 1]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    weights, _ = t.fit(docs, known)
+    assert weights["scummy$"] > 0
+    kept = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts, texts = t.corpus_counts(docs.union(docs.limit(0)), ["scummy$", "worta", "none$"], "doc_id", "text")
+    assert texts == len(kept) and counts[0] == sum(i % 50 == 0 for i in kept) and counts[2] == 0
+    assert counts[1] == sum(any(w.startswith("worta") for w in rows[i][1].split()) for i in kept)
