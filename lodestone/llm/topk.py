@@ -10,12 +10,13 @@ score; each copy meets a bounded block of queries, and the blocks' own best k ar
 
 Cells are packed into blocks of at most BLOCK vectors, so no cell, however many rows fall into it, is
 one task's: query blocks are numbered within their cell, and a copy goes to each block by its number.
+Query rows are numbered, so repeated rows of one id are dealt over the blocks and answered each.
 Broadcast are the pivots and the summaries, both of a fixed size.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; only
 vectors of the same length are compared; queries with fewer candidates have fewer rows, and those
-without any none; ties go to the smaller id, among repeated rows of an id each row counts; a row of a
-query's own id is never a candidate of it; null ids take no part.  Scores are exact while they and
+without any none; ties go to the smaller id, among repeated rows of an id each row counts, and each is a
+query with rows of its own; a row of a query's own id is never a candidate of it; null ids take no part.  Scores are exact while they and
 their terms stay below 2**53.
 """
 
@@ -50,11 +51,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _by_length(batch: pa.RecordBatch):
-    """(length, keys, matrix) for each length of vector in a batch."""
+    """(length, rows, keys, matrix) for each length of vector in a batch."""
     lengths = np.diff(batch.column("v").offsets.to_numpy())
     for n in np.unique(lengths):
         rows = batch.filter(pa.array(lengths == n)) if (lengths != n).any() else batch
-        yield int(n), rows.column("key").to_numpy(), _matrix(rows.column("v"))
+        yield int(n), rows, rows.column("key").to_numpy(), _matrix(rows.column("v"))
 
 
 def pivots(rows: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
@@ -85,55 +86,68 @@ def _pivot_of(n: int, known: dict[int, np.ndarray]) -> np.ndarray:
     return known.get(n, np.zeros((1, n)))  # lengths outside the sample have one cell
 
 
+def _nearest(away: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and id of the nearest row of each of the n nearest ids."""
+    order = np.lexsort((keys, away))
+    _, first = np.unique(keys[order], return_index=True)
+    at = order[np.sort(first)[:n]]
+    return away[at], keys[at]
+
+
 def summaries(rows: DataFrame, known: dict[int, np.ndarray], every: int, k: int) -> dict:
-    """(length, cell) -> [rows, largest length, distances of the k + 1 nearest rows, queries, largest
-    distance of a query]; lengths are few, cells PIVOTS at most for each."""
+    """(length, cell) -> [rows, largest length, distances and ids of the nearest rows of the k + 1
+    nearest ids, queries, largest distance of a query]; lengths are few, cells PIVOTS at most for each."""
 
     def summed(batches: Iterator[pa.RecordBatch]):
         held: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for n, keys, x in _by_length(batch):
+            for n, _, keys, x in _by_length(batch):
                 cell, away = _cells(x, _pivot_of(n, known))
                 norm = np.sqrt((x * x).sum(1))
                 for c in np.unique(cell):
                     own = cell == c
                     asks = own & (keys % every == 0)
-                    s = held.setdefault((n, int(c)), [0, 0.0, np.zeros(0), 0, 0.0])
+                    s = held.setdefault((n, int(c)), [0, 0.0, (np.zeros(0), np.zeros(0, dtype=np.int64)), 0, 0.0])
                     s[0] += int(own.sum())
                     s[1] = max(s[1], float(norm[own].max()))
-                    s[2] = np.sort(np.concatenate([s[2], away[own]]))[: k + 1]
+                    s[2] = _nearest(np.concatenate([s[2][0], away[own]]), np.concatenate([s[2][1], keys[own]]), k + 1)
                     s[3] += int(asks.sum())
                     s[4] = max(s[4], float(away[asks].max(initial=0)))
-        yield pa.RecordBatch.from_pylist([{"n": n, "cell": c, "rows": s[0], "norm": s[1], "nearest": s[2].tolist(), "queries": s[3], "radius": s[4]} for (n, c), s in held.items()], schema=schema)
-
-    schema = pa.schema([("n", pa.int32()), ("cell", pa.int32()), ("rows", pa.int64()), ("norm", pa.float64()), ("nearest", pa.list_(pa.float64())), ("queries", pa.int64()), ("radius", pa.float64())])
-    parts = rows.mapInArrow(summed, "n int, cell int, rows long, norm double, nearest array<double>, queries long, radius double")
-    whole = parts.groupBy("n", "cell").agg(F.sum("rows").alias("rows"), F.max("norm").alias("norm"), F.slice(F.sort_array(F.flatten(F.collect_list("nearest"))), 1, k + 1).alias("nearest"), F.sum("queries").alias("queries"), F.max("radius").alias("radius"))
+        yield pa.RecordBatch.from_pylist([{"n": n, "cell": c, "rows": s[0], "norm": s[1], "nearest": [{"away": a, "key": i} for a, i in zip(*(y.tolist() for y in s[2]))], "queries": s[3], "radius": s[4]} for (n, c), s in held.items()], schema=schema)
+
+    schema = pa.schema([("n", pa.int32()), ("cell", pa.int32()), ("rows", pa.int64()), ("norm", pa.float64()), ("nearest", pa.list_(pa.struct([("away", pa.float64()), ("key", pa.int64())]))), ("queries", pa.int64()), ("radius", pa.float64())])
+    parts = rows.mapInArrow(summed, "n int, cell int, rows long, norm double, nearest array<struct<away: double, key: long>>, queries long, radius double")
+    # Of each id the nearest row, of k + 1 ids.
+    first = lambda held, x: F.when((F.size(held) <= k) & ~F.exists(held, lambda y: y.key == x.key), F.concat(held, F.array(x))).otherwise(held)
+    nearest = F.reduce(F.sort_array(F.flatten(F.collect_list("nearest"))), F.array().cast("array<struct<away: double, key: bigint>>"), first)
+    whole = parts.groupBy("n", "cell").agg(F.sum("rows").alias("rows"), F.max("norm").alias("norm"), nearest.alias("nearest"), F.sum("queries").alias("queries"), F.max("radius").alias("radius"))
     return {(r.n, r.cell): r for r in whole.collect()}
 
 
 def least_scores(known: dict[int, np.ndarray], summary: dict, k: int) -> dict[tuple[int, int], float]:
     """For each query cell a score that every query's k-th best answer reaches, or minus infinity.
-    One vector more is counted, as a query is no candidate of its own."""
+    Rows of different ids are counted, and one id more, as rows of a query's own id are no candidates."""
     out = {}
     for (n, cell), s in summary.items():
         if not s.queries:
             continue
         p = _pivot_of(n, known)
-        mine, lows = p[cell], []
+        mine, best = p[cell], {}
         for (m, other), t in summary.items():
             if m == n:
-                a, b = s.radius, np.array(t.nearest)
+                a, b = s.radius, np.array([x.away for x in t.nearest])
                 r = np.linalg.norm(p[other])
-                lows.append(mine @ p[other] - a * r - b * np.linalg.norm(mine) - a * b)
-        lows = np.sort(np.concatenate(lows))[::-1]
+                low = mine @ p[other] - a * r - b * np.linalg.norm(mine) - a * b
+                for x, y in zip(t.nearest, low):
+                    best[x.key] = max(best.get(x.key, float("-inf")), float(y))
+        lows = sorted(best.values(), reverse=True)
         # Rounding of the bound must never cost an answer.
-        out[n, cell] = float(lows[k]) - 1e-6 * (1 + abs(float(lows[k]))) if len(lows) > k else float("-inf")
+        out[n, cell] = lows[k] - 1e-6 * (1 + abs(lows[k])) if len(lows) > k else float("-inf")
     return out
 
 
-_PACK = "n int, cell int, block long, keys binary, vectors binary, query boolean"
-_PACKED = pa.schema([("n", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("vectors", pa.binary()), ("query", pa.bool_())])
+_PACK = "n int, cell int, block long, keys binary, vectors binary, numbers binary, query boolean"
+_PACKED = pa.schema([("n", pa.int32()), ("cell", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("vectors", pa.binary()), ("numbers", pa.binary()), ("query", pa.bool_())])
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -147,7 +161,7 @@ def _vectors(data: bytes, n: int) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, key and score of the best k of each query within a block."""
+    """place of the query, key and score of the best k of each query within a block."""
     scores = q @ x.T
     scores[queries[:, None] == keys[None, :]] = -np.inf
     take = min(k, len(keys))
@@ -158,32 +172,33 @@ def _best(queries: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray, k
     row, col = row[order], col[order]
     nth = np.arange(len(row)) - np.searchsorted(row, row)
     keep = nth < take
-    return queries[row[keep]], keys[col[keep]], scores[row[keep], col[keep]]
+    return row[keep], keys[col[keep]], scores[row[keep], col[keep]]
 
 
 def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, key, score: the k best candidates of every query, which are the rows whose id
-    ``every`` divides."""
-    rows = written(integers(vectors, key, vector, scale))
+    ``every`` divides; k rows for each of repeated rows of an id."""
+    rows = written(integers(vectors, key, vector, scale).withColumn("number", F.monotonically_increasing_id()))
     known = pivots(rows)
     summary = summaries(rows, known, every, k)
     least = least_scores(known, summary, k)
-    #: Query blocks of each cell; a query's block follows from a hash of its id.
+    #: Query blocks of each cell; a query's block follows from a hash of its row's number.
     blocks = {c: -(-summary[c].queries // block) for c in least}
 
     def pack(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for n, keys, x in _by_length(batch):
+            for n, own, keys, x in _by_length(batch):
+                numbers = own.column("number").to_numpy()
                 p = _pivot_of(n, known)
                 cell, _ = _cells(x, p)
                 norm = np.sqrt((x * x).sum(1))
                 out = []
                 for c in np.unique(cell[keys % every == 0]):
                     own = np.flatnonzero((cell == c) & (keys % every == 0))
-                    to = keys[own] // every % blocks[n, int(c)]
+                    to = ((numbers[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[n, int(c)]
                     for b in np.unique(to):
                         at = own[to == b]
-                        out.append({"n": n, "cell": int(c), "block": int(b), "keys": keys[at].astype("<i8").tobytes(), "vectors": _bytes(x[at]), "query": True})
+                        out.append({"n": n, "cell": int(c), "block": int(b), "keys": keys[at].astype("<i8").tobytes(), "vectors": _bytes(x[at]), "numbers": numbers[at].astype("<i8").tobytes(), "query": True})
                 for (m, c), floor in least.items():
                     if m == n:
                         at = np.flatnonzero(x @ p[c] + summary[m, c].radius * norm >= floor)
@@ -197,25 +212,26 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
                 yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
 
     def solve(batches: Iterator[pa.RecordBatch]):
-        group, keys, x = None, [], []
+        group, keys, x, numbers = None, [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if (r["n"], r["cell"], r["block"]) != group:
-                    group, keys, x = (r["n"], r["cell"], r["block"]), [], []
+                    group, keys, x, numbers = (r["n"], r["cell"], r["block"]), [], [], []
                 own = np.frombuffer(r["keys"], dtype="<i8"), _vectors(r["vectors"], r["n"])
                 if r["query"]:  # they come first
                     keys.append(own[0])
                     x.append(own[1])
+                    numbers.append(np.frombuffer(r["numbers"], dtype="<i8"))
                 elif keys:
                     if len(keys) > 1:
-                        keys, x = [np.concatenate(keys)], [np.concatenate(x)]
+                        keys, x, numbers = [np.concatenate(keys)], [np.concatenate(x)], [np.concatenate(numbers)]
                     q, c, s = _best(keys[0], x[0], *own, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s.astype(np.int64))], names=["query_id", "key", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[0][q]), pa.array(keys[0][q]), pa.array(c), pa.array(s.astype(np.int64))], names=["number", "query_id", "key", "score"])
 
     dealt = rows.mapInArrow(tidied(pack), _PACK).repartition("n", "cell", "block")
     dealt = dealt.sortWithinPartitions("n", "cell", "block", F.desc("query"))
-    found = dealt.mapInArrow(tidied(solve), "query_id long, key long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    found = dealt.mapInArrow(tidied(solve), "number long, query_id long, key long, score long")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "key"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("key").alias(key), "score")
 

@@ -82,6 +82,18 @@ def test_top_k_equals_all_scores(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == plain_top(rows, 5, 50)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_repeated_query_rows_are_answered_each(spark, block):
+    rng = np.random.default_rng(7)
+    far = [(50, (20 + rng.normal(size=6)).tolist()) for _ in range(4)]
+    # A third of the rows are one query's, in a cell of their own.
+    many = [(i + 1, rng.normal(size=6).tolist()) for i in range(200)] + [(1000, [9.0] * 6)] * 100
+    for rows in (ODD, family(2) + far, many):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        out = topk.top_k(df, block=block).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == plain_top(rows, 5, 50)
+
+
 def test_bounds_never_lose_and_do_prune(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 16)) * 3
