@@ -19,8 +19,9 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lodestone.llm.common import table
+from lodestone.llm.common import scratch, table
 
 #: Slots of the lookup table: a prime, at least 100 times the number of shards.  The table takes
 #: 16 bytes a slot, 1 MB in all, and does not grow with the data.
@@ -86,9 +87,21 @@ def write_shards(df: DataFrame, key: str, path: str, shards: tuple[str, ...] = S
     out.repartition(F.col("shard"), salt).write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str, schema: StructType, shards: tuple[str, ...] = SHARDS) -> DataFrame:
+    """The rows that write_shards wrote, with slot, shard (from the folder) and shard_name; schema is
+    that of the rows before."""
+    own = [f for f in schema if f.name not in ("slot", "shard", "shard_name")]
+    rows = spark.read.schema(StructType([*own, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
+    names = F.element_at(F.array(*[F.lit(x) for x in shards]), (F.col("id") + 1).cast("int"))
+    named = spark.range(0, len(shards), 1, 1).select(F.col("id").cast("int").alias("shard"), names.alias("shard_name"))
+    return rows.join(F.broadcast(named), "shard").select(*[f"`{f.name}`" for f in own], "slot", "shard", "shard_name")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return assign_shards(docs, "doc_id").select("doc_id", "slot", "shard", "shard_name")
+    """The whole documents are written as shards; the placement is read back from these."""
+    docs = table(spark, sf_dir, "documents")
+    write_shards(docs, "doc_id", path := scratch(spark))
+    return read_shards(spark, path, docs.schema).select("doc_id", "slot", "shard", "shard_name")
 
 
 def _oracle() -> str:

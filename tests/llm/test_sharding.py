@@ -64,3 +64,13 @@ def test_write(spark, tmp_path):
     df = spark.createDataFrame([(i, "t") for i in range(100)], "id long, t string")
     s.write_shards(df, "id", str(tmp_path / "out"), ("a", "b"), splits=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_whole_documents_are_written_and_read_back(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(s, "scratch", lambda spark: str(tmp_path / "shards"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = {r.doc_id: (r.shard, r.shard_name) for r in s.op1_sharding(spark, sf).collect()}
+    back = s.read_shards(spark, str(tmp_path / "shards"), docs.schema)
+    assert back.columns == [*docs.columns, "slot", "shard", "shard_name"]
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert {r.doc_id: (r.shard, r.shard_name) for r in back.collect()} == out
