@@ -85,9 +85,18 @@ def learn_pattern(name: str, pattern: str, **more) -> rules.Rule:
     return rule
 
 
-def circular_dependencies(corpus: DataFrame, longest: int = 8) -> DataFrame:
+def _imported(corpus: DataFrame) -> DataFrame:
     found = graph.resolve_imports(extract.fact_tables(extract.facts(corpus))[0], corpus).where("target IS NOT NULL")
-    return graph.cycles(found.select(F.col("path").alias("src"), F.col("target").alias("dst")), longest)
+    return found.select(F.col("path").alias("src"), F.col("target").alias("dst"))
+
+
+def circular_dependencies(corpus: DataFrame, longest: int = 8) -> DataFrame:
+    return graph.cycles(_imported(corpus), longest)
+
+
+def circular_files(corpus: DataFrame) -> DataFrame:
+    """node, component: every file on a cycle of imports, however long."""
+    return graph.cycle_components(_imported(corpus))
 
 
 def find_clones(corpus: DataFrame, fragment: str, least: float = 0.3, limit: int = 20) -> DataFrame:

@@ -127,7 +127,8 @@ def dependency_map(edges: DataFrame, kind: str | None = "imports") -> DataFrame:
 
 
 def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """cycle: simple directed cycles of up to so many nodes, each once, from its smallest node on.
+    """cycle: simple directed cycles of up to so many nodes, each once, from its smallest node on;
+    cycle_components has the nodes of cycles of any length.
     A walk only visits nodes above the one it began at, so each cycle is found from one start."""
     own = written(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
     walk = own.where("v >= u").select(F.col("u").alias("first"), F.array("u").alias("path"), F.col("v").alias("u"))
@@ -141,6 +142,50 @@ def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
     return out
 
 
+def _settled(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, c: each node's least value after values went along the edges (u, v) until none changed."""
+    while True:
+        come = values.join(edges, values["id"] == edges["u"]).groupBy(F.col("v").alias("id")).agg(F.min("c").alias("d"))
+        step = values.join(come, "id", "left").select("id", F.least("c", "d").alias("c"), (F.col("d") < F.col("c")).alias("less"))
+        step = written(step)
+        values = step.select("id", "c")
+        if not step.where("less").limit(1).count():
+            return values
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """node, component: the nodes that lie on a cycle, of whatever length, with the smallest node of
+    their strongly connected component.  Edges off all cycles are trimmed; each node gets the smallest
+    node that reaches it, and the nodes that reach that one in turn are a component, which leaves.
+    Rounds grow with the length of the longest way."""
+    own = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
+    own = written(own)
+    out, loops = None, own.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    own = written(own.where("u <> v"))
+    n = own.count()
+    while n:
+        ins, outs = own.select(F.col("v").alias("u")).distinct(), own.select(F.col("u").alias("v")).distinct()
+        left = written(own.join(ins, "u", "left_semi").join(outs, "v", "left_semi").select("u", "v"))
+        before, own, n = n, left, left.count()
+        if n < before:
+            continue
+        nodes = own.select(F.col("u").alias("id")).union(own.select("v")).distinct()
+        colour = _settled(nodes.withColumn("c", F.col("id")), own)
+        ends = own.join(colour.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
+        back = written(ends.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Against the edges within a colour, from its smallest node.
+        found = _settled(colour.select("id", F.struct((F.col("id") != F.col("c")).cast("int").alias("far"), "c").alias("c")), back)
+        found = found.where("c.far = 0").select(F.col("id").alias("node"), F.col("c.c").alias("component"))
+        out = found if out is None else out.unionByName(found)
+        gone = found.select("node")
+        own = written(own.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+        n = own.count()
+    if out is None:
+        return loops
+    several = out.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component"))).where("size > 1").drop("size")
+    return several.unionByName(loops.join(several.select("node"), "node", "left_anti"))
+
+
 # Fixed values, in the order in which they are tried.
 SUFFIXES = [
     "", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", "/index.ts", "/index.js", "/index.tsx",

@@ -94,6 +94,10 @@ def cycles(spark, d):
     return graph.cycles(_partners(spark, d), 8).select(F.array_join("cycle", ">").alias("cycle"))
 
 
+def cycle_components(spark, d):
+    return graph.cycle_components(_partners(spark, d))
+
+
 ALLOWED = {0: (1,), 1: (2,), 2: (3,), 3: (4,), 4: (0,)}
 
 
@@ -134,7 +138,7 @@ def graph_upsert(spark, d):
     return upsert(old, new, ["id"])
 
 
-_Q = [page_graph_nodes, page_graph_edges, valid_edges, bfs_subgraph, bfs_edges, find_references, find_definitions, call_tree, dependency_map, cycles, layer_violations, needs_reindex, doc_annotations, graph_upsert]
+_Q = [page_graph_nodes, page_graph_edges, valid_edges, bfs_subgraph, bfs_edges, find_references, find_definitions, call_tree, dependency_map, cycles, cycle_components, layer_violations, needs_reindex, doc_annotations, graph_upsert]
 QUERIES = {f.__name__: f for f in _Q}
 
 _LINKS = """links AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)"""
@@ -173,6 +177,8 @@ ORACLES = {
     "cycles": f"""WITH RECURSIVE {_TRADE}, w AS (SELECT src AS first, [src] AS p, dst AS u FROM partner WHERE dst >= src
       UNION ALL SELECT first, list_append(p, u), dst FROM w JOIN partner ON src = u WHERE u <> first AND NOT list_contains(p, u) AND dst >= first AND len(p) < 8)
       SELECT array_to_string(p, '>') AS cycle FROM w WHERE u = first""",
+    "cycle_components": f"""WITH RECURSIVE {_TRADE}, reach AS (SELECT src AS a, dst AS b FROM partner UNION SELECT a, dst FROM reach JOIN partner ON src = b)
+      SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1""",
     "layer_violations": f"""WITH {_TRADE} SELECT y.n_regionkey::BIGINT AS from_layer, x.n_regionkey::BIGINT AS to_layer, sum(n)::BIGINT AS n
       FROM trade JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b
       WHERE x.n_regionkey <> y.n_regionkey AND x.n_regionkey <> (y.n_regionkey + 1) % 5 GROUP BY 1, 2""",

@@ -128,3 +128,9 @@ def test_tools(spark, tmp_path):
     assert api.analyze(corpus).where("tier = 1").count() == len(SAMPLES)
     assert api.route_code(corpus, strict=True).count() == len(SAMPLES)
     assert api.blueprint_search(corpus).count() >= 0 and api.pattern_catalogue(spark).count() >= 6
+
+
+def test_rings_of_files_of_any_length(spark):
+    corpus = inline(spark, {f"src/f{i}.ts": f"import {{ x }} from './f{(i + 1) % 9}';\n" for i in range(9)})
+    assert api.circular_dependencies(corpus).count() == 0
+    assert sorted(tuple(r) for r in api.circular_files(corpus).collect()) == [(f"src/f{i}.ts", "src/f0.ts") for i in range(9)]

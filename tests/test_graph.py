@@ -141,3 +141,13 @@ def test_streams(spark, tmp_path):
     q = idempotent(stream, "ts", "x").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.x for r in spark.table("once").collect()) == ["a", "b"]
+
+
+def test_components_of_long_cycles(spark):
+    ring = [(f"n{i:02d}", f"n{(i + 1) % 9:02d}") for i in range(9)]
+    more = [("n03", "x"), ("x", "y"), ("y", "z"), ("z", "y"), ("z", "w"), ("s", "s"), ("v", "n00"), ("y", "y"), (None, "q")]
+    edges = spark.createDataFrame(ring + more, "src string, dst string")
+    assert ["n%02d" % i for i in range(9)] not in [r.cycle for r in graph.cycles(edges).collect()]
+    got = sorted(tuple(r) for r in graph.cycle_components(edges).collect())
+    assert got == [*((a, "n00") for a, _ in sorted(ring)), ("s", "s"), ("y", "y"), ("z", "y")]
+    assert graph.cycle_components(edges.limit(0)).count() == 0
