@@ -28,6 +28,14 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")).where("n > 1")
 
 
+def members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, representative: every row with the key that stands for its text in distinct_texts; rows
+    without a text have none.  Only digests are shuffled."""
+    own = df.select(F.col(key).alias("key"), F.sha2(F.col(text), 256).alias("hash"))
+    least = own.where("hash IS NOT NULL").groupBy("hash").agg(F.min("key").alias("representative"))
+    return own.join(least, "hash", "left").select("key", "representative")
+
+
 def window_hashes(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """key, pos (from 0), h1, h2: two hashes of each run of so many words."""
     # The words are a column of their own, so that the lambda below doesn't split the text anew.

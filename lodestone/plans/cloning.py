@@ -20,6 +20,11 @@ def exact_duplicates(spark, d):
     return clones.exact_groups(_docs(spark, d), "doc_id", "text")
 
 
+def clone_members(spark, d):
+    """Every document with the one that stands for it in the queries over distinct texts."""
+    return clones.members(_docs(spark, d), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 def token_windows(spark, d):
     """How many 30-word windows are shared by how many distinct texts."""
     shared = clones.shared_windows(clones.distinct_texts(_docs(spark, d), "doc_id", "text"), "key", "text")
@@ -144,7 +149,7 @@ def vector_topk(spark, d):
     return own.where("vec_id <> 0").select("vec_id", (F.floor(cosine * 1e6 + 0.5) / 1e6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(5)
 
 
-_F = [exact_duplicates, token_windows, clone_pairs, longest_clones, skeleton_groups, minhash_signatures, lsh_pairs, jaccard_pairs, fragment_search, clone_confidence, merged_findings]
+_F = [exact_duplicates, clone_members, token_windows, clone_pairs, longest_clones, skeleton_groups, minhash_signatures, lsh_pairs, jaccard_pairs, fragment_search, clone_confidence, merged_findings]
 _F += [plan_risk, overall_risk, text_search, symbol_usages, error_islands, carry_scope, running_balance, event_props, tumbling, sliding, session, vector_topk]
 QUERIES = {f.__name__: f for f in _F}
 
@@ -195,6 +200,7 @@ _EV = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 
 ORACLES = {
     "exact_duplicates": "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "clone_members": f"WITH {_DISTINCT} SELECT doc_id, key AS representative FROM documents LEFT JOIN dt USING (text)",
     "token_windows": f"{_SHARED}, s AS (SELECT h, count(DISTINCT k) AS n_docs FROM win GROUP BY h HAVING count(DISTINCT k) > 1) SELECT n_docs, count(*) AS n_windows FROM s GROUP BY 1",
     "clone_pairs": f"{_CLONES} SELECT * FROM clones",
     "longest_clones": f"""{_CLONES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b ORDER BY n_tokens DESC, start_a, start_b) AS r FROM clones)

@@ -151,3 +151,9 @@ def test_components_of_long_cycles(spark):
     got = sorted(tuple(r) for r in graph.cycle_components(edges).collect())
     assert got == [*((a, "n00") for a, _ in sorted(ring)), ("s", "s"), ("y", "y"), ("z", "y")]
     assert graph.cycle_components(edges.limit(0)).count() == 0
+
+
+def test_members_name_each_documents_representative(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (5, "a")], "doc_id long, text string")
+    got = {r.key: r.representative for r in clones.members(df, "doc_id", "text").collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 2: 2, 4: None}
