@@ -43,8 +43,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces of all documents in sequences of a fixed length."""
-    return pack_documents(docs)
+    """All pieces of all documents, with their ids and places in sequences of a fixed length."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [

@@ -43,3 +43,17 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_ids_are_those_of_the_redacted_texts(spark, tmp_path):
+    rows = [(1, "write to a@b.example.com or call"), (2, ""), (3, " ".join(f"t{i}" for i in range(3000)))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out, encode = c.run(spark, str(tmp_path)).collect(), packing.encoder()
+    for k, t in rows:
+        for kind, a, b in reversed(pii.base_spans(t)):
+            t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+        pieces = sorted((r.piece, r.length, r.ids) for r in out if r.doc_id == k)
+        assert [x for _, _, ids in pieces for x in ids] == [*encode(t), packing.END_ID]
+        assert all(len(ids) == n for _, n, ids in pieces)
