@@ -1,19 +1,24 @@
 """Operator 4: URL filter by the ratio of two character language models.
 
 Rules over hosts and path prefixes decide first.  URLs that rules allow or block train one smoothed
-variable-order Markov model each: the probability of a character after the two before it backs off
-to that after the one before it, and to that of the character alone, by as much as the longer
-context is rare.  A URL that no rule decides is allowed if its log-likelihood difference for each
-character reaches a threshold, which is calibrated on rule-decided URLs of hosts that the models did
-not see: where two normal curves through the scores of allowed and blocked URLs weigh the same.
-
-All steps are DataFrame operations.  Other characters than SIGNS count as one, so the model has
-len(SIGNS) ** 3 rows whatever the data (79,507; 2 MB), which bounds its broadcast; scoring explodes
-each URL's positions, and sums them again before its one shuffle.
-
-Defined cases: a URL that is null or has no ``://`` has an empty host and path; without both allowed
-and blocked URLs all scores and the threshold are 0, and what no rule decides is allowed; repeated
-rows are judged each; an empty table gives no rows; other columns are not read.
+variable-order Markov model each, over all characters of the whole URL: the probability of a character
+after the ORDER - 1 characters before it backs off to that after one character less, and so on down to
+that of the character alone, by as much as the longer context is rare.  A URL that no rule decides is
+allowed if its log-likelihood difference for each character reaches a threshold, which is calibrated on
+rule-decided URLs of hosts that the models did not see: where two normal curves through the scores of
+allowed and blocked URLs weigh the same.
+
+All steps are DataFrame operations.  The models are tables of the character sequences that the URLs
+hold, counted over all of them, so they grow with the data.  A position of a URL needs one lookup, by
+its window of ORDER characters: the models' difference is worked out once for each distinct window,
+level by level, from the window's own suffixes.  Positions meet windows in an equi-join, which Spark
+turns into a broadcast only if it has seen that the windows are few.
+
+Defined cases: a URL that is null or has no ``://`` has an empty host and path, and a null one counts as
+empty text; without both allowed and blocked URLs all scores and the threshold are 0, and what no rule
+decides is allowed; a URL that a rule decides has a score only if the calibration needs it, else null;
+repeated rows are judged each; long URLs are taken whole, in linear time; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +29,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table, written
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789./_-*^$"
+#: Characters of a window: the one that is rated and its longest context.
+ORDER = 6
 #: Counts that the shorter context's estimate stands for.
 BACKOFF = 2.0
+#: Signs before and after a URL.
+START, END = "\x02", "\x03"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,46 +60,44 @@ def _unseen(host: Column) -> Column:
     return F.substring(F.md5(host.cast("binary")), 1, 1).isin("0", "4", "8", "c")
 
 
-def _grams(host: Column, path: Column) -> Column:
-    text = F.concat(F.lit("^^"), F.regexp_replace(F.translate(F.concat(host, path), _UPPER, _LOWER), "[^a-z0-9./_-]", "*"), F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3))
-
-
-def model(urls: DataFrame) -> DataFrame:
-    """gram, ratio: for three characters the log of how much likelier the last is among accepted
-    URLs than among rejected ones.  urls: host, path, ruled."""
-    seen = urls.where(F.col("ruled").isNotNull() & ~_unseen(F.col("host"))).select("ruled", F.explode(_grams(F.col("host"), F.col("path"))).alias("gram"))
-    counts = seen.groupBy("gram").agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b"))
-    n = len(SIGNS)
-    sign = lambda i: F.lit(SIGNS).substr((F.floor(i) % n + 1).cast("int"), F.lit(1))
-    i = F.col("id")
-    every = urls.sparkSession.range(n**3).select(F.concat(sign(i / (n * n)), sign(i / n), sign(i)).alias("gram"))
-    every = every.join(counts, "gram", "left").select("gram", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in "ab"])
-    every = written(every.withColumns({"x2": F.substring("gram", 1, 2), "x1": F.substring("gram", 2, 1), "z2": F.substring("gram", 2, 2), "z1": F.substring("gram", 3, 1)}))
-    for by in ("x2", "x1", "z2", "z1"):
-        summed = every.groupBy(by).agg(*[F.sum(c).alias(f"{c}_{by}") for c in "ab"])
-        every = every.join(F.broadcast(summed), by)  # len(SIGNS) ** 2 rows at most
-    whole = {c: F.lit(float(x or 0)) for c, x in zip("ab", every.agg(F.sum("a"), F.sum("b")).first())}
-    logs = []
-    for c in "ab":
-        one = (F.col(f"{c}_z1") + 1) / (whole[c] + n)
-        two = (F.col(f"{c}_z2") + one * BACKOFF) / (F.col(f"{c}_x1") + BACKOFF)
-        logs.append(F.log((F.col(c) + two * BACKOFF) / (F.col(f"{c}_x2") + BACKOFF)))
-    both = (whole["a"] > 0) & (whole["b"] > 0)
-    return every.select("gram", F.when(both, logs[0] - logs[1]).otherwise(F.lit(0.0)).alias("ratio"))
-
-
-def _scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """urls with score: the mean log ratio of a URL's characters."""
-    names = urls.columns
-    each = urls.withColumn("__row", F.monotonically_increasing_id()).withColumn("__gram", F.explode(_grams(F.col("host"), F.col("path"))))
-    each = each.join(F.broadcast(ratios), each["__gram"] == ratios["gram"])
-    return each.groupBy("__row").agg(*[F.first(c).alias(c) for c in names], F.avg("ratio").alias("score")).drop("__row")
-
-
-def threshold(urls: DataFrame, ratios: DataFrame) -> float:
-    held = _scored(urls.where(F.col("ruled").isNotNull() & _unseen(F.col("host"))), ratios)
-    found = {r.ruled: r for r in held.groupBy("ruled").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()}
+def windows(urls: DataFrame) -> DataFrame:
+    """row, ruled, unseen, window: for each character but the start sign, it and up to ORDER - 1 before it.
+
+    chars must be a column of a table, not an expression: within the lambda it would be evaluated again
+    at every position."""
+    one = lambda i: F.array_join(F.slice("chars", F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))), "")
+    return urls.select("row", "ruled", "unseen", F.explode(F.transform(F.sequence(F.lit(2), F.size("chars")), one)).alias("window"))
+
+
+def model(each: DataFrame) -> DataFrame:
+    """window, ratio: the log of how much likelier the last character is, after the others, among
+    accepted URLs than among rejected ones.  each: windows of the URLs to learn from (ruled, of seen
+    hosts) and of those to score, which count for nothing but get a row."""
+    seen = F.col("ruled").isNotNull() & ~F.col("unseen")
+    counted = each.groupBy("window").agg(F.count_if(seen & (F.col("ruled") == "allow")).alias("a"), F.count_if(seen & (F.col("ruled") == "block")).alias("b"))
+    grams = counted.select(F.explode(F.sequence(F.lit(1), F.length("window"))).alias("k"), "window", "a", "b")
+    grams = written(grams.groupBy("k", F.expr("right(window, k)").alias("gram")).agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")))
+    single = grams.where("k = 1")
+    signs, *whole = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
+    share = lambda c, n: ((F.col(c) + 1) / F.lit(float(n + signs))).alias(c)
+    level = written(single.select("gram", share("a", whole[0]), share("b", whole[1]))) if signs else single.select("gram", "a", "b")
+    out = None
+    for k in range(2, ORDER + 1):
+        own = grams.where(F.col("k") == k).withColumns({"before": F.expr("left(gram, k - 1)"), "shorter": F.expr("right(gram, k - 1)")})
+        context = own.groupBy("before").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+        less = level.select(F.col("gram").alias("shorter"), F.col("a").alias("less_a"), F.col("b").alias("less_b"))
+        smooth = lambda c: ((F.col(c) + F.col(f"less_{c}") * BACKOFF) / (F.col(f"all_{c}") + BACKOFF)).alias(c)
+        level = written(own.join(context, "before").join(less, "shorter").select("gram", smooth("a"), smooth("b")))
+        # Shorter windows than ORDER are those at the start.
+        some = level if k == ORDER else level.where(F.col("gram").startswith(START))
+        out = some if out is None else out.unionByName(some)
+    ratio = F.log("a") - F.log("b") if whole[0] > 0 and whole[1] > 0 else F.lit(0.0)
+    return out.select(F.col("gram").alias("window"), ratio.alias("ratio"))
+
+
+def threshold(scored: DataFrame) -> float:
+    """scored: ruled, score of the rule-decided URLs of hosts that the models did not see."""
+    found = {r.ruled: r for r in scored.groupBy("ruled").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()}
     if len(found) < 2:
         return 0.0
     a, b = found["allow"], found["block"]
@@ -102,13 +108,18 @@ def threshold(urls: DataFrame, ratios: DataFrame) -> float:
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """key, host, path, rule, verdict, score."""
     host, path = host_and_path(pages[url])
-    own = pages.select(pages[key].alias("key"), host.alias("host"), path.alias("path"))
+    text = F.concat(F.lit(START), F.translate(F.coalesce(pages[url], F.lit("")), _UPPER, _LOWER), F.lit(END))
+    own = pages.select(pages[key].alias("key"), host.alias("host"), path.alias("path"), F.split(text, "").alias("chars"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    own = own.withColumns({"rule": rule, "ruled": ruled})
-    ratios = written(model(own))
-    limit = threshold(own, ratios)
+    own = written(own.withColumns({"rule": rule, "ruled": ruled, "unseen": _unseen(F.col("host")), "row": F.monotonically_increasing_id()}))
+    each = windows(own)
+    asked = F.col("ruled").isNull() | F.col("unseen")
+    met = each.where(asked).select("row", "window").join(model(each), "window")
+    scores = written(met.groupBy("row").agg(F.avg("ratio").alias("score")))
+    judged = own.drop("chars").join(scores, "row", "left")
+    limit = threshold(judged.where("ruled IS NOT NULL AND unseen"))
     verdict = F.coalesce("ruled", F.when(F.round("score", 9) >= round(limit, 9), "allow").otherwise("block"))
-    return _scored(own, ratios).select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "score")
+    return judged.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,31 +130,38 @@ def _oracle() -> str:
     whens = [(what, rule, *rule.partition("/")) for what, rule in sorted(RULES, key=lambda r: -len(r[1]))]
     fits = [(what, rule, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{s + rest}')") for what, rule, h, s, rest in whens]
     case = lambda i: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[i]}'" for f in fits) + " END"
-    n, k = len(SIGNS), BACKOFF
-    logs = lambda c: f"ln(({c} + {k}::DOUBLE * ({c}_z2 + {k}::DOUBLE * ({c}_z1 + 1) / ({c}_all + {n})) / ({c}_x1 + {k}::DOUBLE)) / ({c}_x2 + {k}::DOUBLE))"
-    sums = ", ".join(f"sum({c}) OVER (PARTITION BY {by}) AS {c}_{name}" for c in "ab" for by, name in (("substr(gram, 1, 2)", "x2"), ("substr(gram, 2, 1)", "x1"), ("substr(gram, 2, 2)", "z2"), ("substr(gram, 3, 1)", "z1")))
+    back = f"{BACKOFF}::DOUBLE"
+    levels = ["l1 AS (SELECT gram, (a + 1) / (sum(a) OVER () + count(*) OVER ()) AS a, (b + 1) / (sum(b) OVER () + count(*) OVER ()) AS b FROM grams WHERE k = 1)"]
+    for k in range(2, ORDER + 1):
+        levels.append(f"""l{k} AS (
+      SELECT g.gram, (g.a + l.a * {back}) / (all_a + {back}) AS a, (g.b + l.b * {back}) / (all_b + {back}) AS b
+      FROM (SELECT *, sum(a) OVER (PARTITION BY left(gram, {k - 1})) AS all_a, sum(b) OVER (PARTITION BY left(gram, {k - 1})) AS all_b FROM grams WHERE k = {k}) g
+      JOIN l{k - 1} l ON l.gram = right(g.gram, {k - 1}))""")
+    every = " UNION ALL ".join(f"SELECT * FROM l{k}" + f" WHERE starts_with(gram, chr({ord(START)}))" * (k < ORDER) for k in range(2, ORDER + 1))
     return f"""
     WITH cut AS (
-      SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+      SELECT page_id, chr({ord(START)}) || translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') || chr({ord(END)}) AS t,
+             CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
     parts AS (
-      SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+      SELECT page_id, t, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
     urls AS (
-      SELECT row_number() OVER () AS r, page_id, host, path, {case(1)} AS rule, {case(0)} AS ruled,
-             substr(md5(host), 1, 1) IN ('0', '4', '8', 'c') AS unseen,
-             '^^' || regexp_replace(translate(host || path, '{_UPPER}', '{_LOWER}'), '[^a-z0-9./_-]', '*', 'g') || '$' AS t FROM parts),
-    grams AS (SELECT r, ruled, unseen, substr(t, i, 3) AS gram FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM urls)),
-    counts AS (
-      SELECT gram, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
-      FROM grams WHERE ruled IS NOT NULL AND NOT unseen GROUP BY gram),
-    signs AS (SELECT substr('{SIGNS}', i::INT, 1) AS s FROM (SELECT unnest(range(1, {n + 1})) AS i)),
-    every AS (
-      SELECT x.s || y.s || z.s AS gram, coalesce(a, 0)::DOUBLE AS a, coalesce(b, 0)::DOUBLE AS b
-      FROM signs x, signs y, signs z LEFT JOIN counts ON counts.gram = x.s || y.s || z.s),
-    summed AS (SELECT gram, a, b, sum(a) OVER () AS a_all, sum(b) OVER () AS b_all, {sums} FROM every),
-    ratios AS (SELECT gram, CASE WHEN a_all > 0 AND b_all > 0 THEN {logs('a')} - {logs('b')} ELSE 0 END AS ratio FROM summed),
-    scores AS (SELECT r, avg(ratio) AS score FROM grams JOIN ratios USING (gram) GROUP BY r),
-    scored AS (SELECT urls.*, score FROM urls JOIN scores USING (r)),
+      SELECT row_number() OVER () AS r, page_id, t, host, path, {case(1)} AS rule, {case(0)} AS ruled,
+             substr(md5(host), 1, 1) IN ('0', '4', '8', 'c') AS unseen FROM parts),
+    each AS (
+      SELECT r, ruled, unseen, substr(t, greatest(i - {ORDER - 1}, 1), least(i, {ORDER})) AS w
+      FROM (SELECT *, unnest(range(2, length(t) + 1)) AS i FROM urls)),
+    counted AS (
+      SELECT w, count(*) FILTER (ruled = 'allow' AND NOT unseen) AS a, count(*) FILTER (ruled = 'block' AND NOT unseen) AS b
+      FROM each GROUP BY w),
+    grams AS (
+      SELECT k, right(w, k) AS gram, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b
+      FROM (SELECT *, unnest(range(1, length(w) + 1)) AS k FROM counted) GROUP BY ALL),
+    {", ".join(levels)},
+    whole AS (SELECT sum(a) AS n_a, sum(b) AS n_b FROM grams WHERE k = 1),
+    ratios AS (SELECT gram, CASE WHEN n_a > 0 AND n_b > 0 THEN ln(a) - ln(b) ELSE 0 END AS ratio FROM ({every}), whole),
+    scores AS (SELECT r, avg(ratio) AS score FROM each JOIN ratios ON w = gram WHERE ruled IS NULL OR unseen GROUP BY r),
+    scored AS (SELECT urls.*, score FROM urls LEFT JOIN scores USING (r)),
     held AS (
       SELECT avg(score) FILTER (ruled = 'allow') AS ma, avg(score) FILTER (ruled = 'block') AS mb,
              stddev_pop(score) FILTER (ruled = 'allow') AS sa, stddev_pop(score) FILTER (ruled = 'block') AS sb
