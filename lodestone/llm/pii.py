@@ -3,16 +3,17 @@
 Four exact patterns give base spans, which always stay.  Beside them every text gives candidate
 spans: what looks like an address, a long number or a secret in wider patterns.  Six labelers -
 patterns, gazetteers and context - vote for, against or not at all on each candidate.  Expectation
-maximisation estimates how each labeler votes given the truth, anchored by the candidates that match
-an exact pattern (true) and those that fail its check sum or range (false); the truth so estimated
-trains a logistic span classifier on the candidates' features.  A candidate that it accepts and that no base
-span overlaps is added.
+maximisation estimates the share of true candidates of each kind and how each labeler votes given the
+truth: no vote decides on its own, that of the exact patterns no more than others, and all
+reliabilities are estimated, from a belief that a labeler is better than chance.  The truth so estimated trains a logistic span classifier on the candidates' features.
+A candidate that it accepts and that no base span overlaps is added.
 
 Votes and features take few values, so the estimation sees only counts of their combinations, over
 all texts: at most 5 * 3**6 vote rows and 5 * 8 * 5 * 3**4 feature rows reach the driver.
 
 Defined cases: a null text counts as empty; an empty text has no spans and the digest of an empty
-string; repeated rows give repeated rows; an empty table gives no rows and a model that adds
+string; long texts are taken whole, in time that grows with their length and no faster, whatever they
+hold; repeated rows give repeated rows; an empty table gives no rows and a model that adds
 nothing; offsets are code points; redaction keeps every other column whatever its name.
 """
 
@@ -31,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 ORDER = {k: i for i, k in enumerate(KINDS)}
 LABELERS = ("pattern", "gazetteer", "context", "shape", "border", "digits")
+#: How much each is believed before any candidate is seen, as a number of votes that were right.
+TRUST = (3.0, 0.5, 0.5, 0.5, 0.5, 0.5)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,8 +43,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z_])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z_])")
+# What may not follow a number is looked at afterwards: in the pattern it would be tried again from
+# every digit of a long run.
+_NUMBER = re.compile(r"(?<![0-9A-Za-z_])\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
 _SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]{1,63}){1,8}", re.I)
+_NAME = re.compile(r"(?:password|passwd|secret|token|api[_-]?key)(?=[ ]?[=:][ ]?[\"']?\Z)", re.I)
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(password|passwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?([A-Za-z0-9+/_-]{6,256})", re.I)
 
 #: Gazetteers and context words.
@@ -50,6 +56,9 @@ COUNTRY_CODES = ("1", "44", "49", "33", "34", "39", "41", "43", "31", "86", "81"
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35")
 PERSONAL = frozenset("mail email e-mail contact write tel phone call mobile fax card visa credit account ip host address login password passwd secret token".split())
 IMPERSONAL = frozenset("version isbn issn doi page pages chapter section id item order row total sum".split())
+#: Names that are given to secrets alone, and values that stand for one.
+SECRET_NAMES = ("password", "passwd", "api")
+PLACEHOLDERS = frozenset("password passwd secret token example changeme xxxxxx string required optional undefined".split())
 
 
 def luhn(digits: str) -> bool:
@@ -105,7 +114,6 @@ def _border(c: str) -> str:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
     """(kind, start, end, features, votes) of base spans and of what the wider patterns find."""
     spans = [(k, a, b, True) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
     wide = []
     lower = text.lower() if "=" in text or ":" in text or "at" in text else ""
     if "at]" in lower or "at)" in lower or "at ]" in lower or "at )" in lower:
@@ -114,14 +122,20 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         wide += [("secret", m.start(2), m.end(2)) for m in _SECRET.finditer(text)]
     if _DIGITS.search(text):
         for m in _NUMBER.finditer(text):
-            n = sum(c.isdigit() for c in m[0])
-            if n > 19:
+            if m.end() - m.start() < 7 or _border(text[m.end() : m.end() + 1]) == "w" and text[m.end()] not in "@=/+-":
+                continue
+            n = sum("0" <= c <= "9" for c in m[0])
+            if not 7 <= n <= 19:
                 continue
             wide.append(("ip" if m[0].count(".") == 3 and n <= 12 and " " not in m[0] else "card" if 14 <= n <= 19 else "phone", m.start(), m.end()))
-    for k, a, b in wide:
-        if not any(x < b and a < y for x, y in taken):
-            spans.append((k, a, b, False))
-            taken.append((a, b))
+    if wide:
+        taken = bytearray(len(text))  # what earlier spans cover
+        for _, a, b, _ in spans:
+            taken[a:b] = b"x" * (b - a)
+        for k, a, b in wide:
+            if taken.find(b"x", a, b) < 0:
+                spans.append((k, a, b, False))
+                taken[a:b] = b"x" * (b - a)
     return [(k, a, b, *_described(text, k, a, b, exact)) for k, a, b, exact in spans]
 
 
@@ -145,11 +159,22 @@ def _described(text: str, kind: str, a: int, b: int, exact: bool) -> tuple[str,
         known = 1 if re.split(r"[^A-Za-z]+", span.rstrip(")] "))[-1].lower() in ENDINGS else 0
         shape = 1 if len(span) <= 254 else -1
     else:
-        known, shape = 1, 1 if n and n < len(span) else -1
+        name = _NAME.search(text, max(0, a - 24), a)
+        known = -1 if span.lower() in PLACEHOLDERS else 1 if name and name[0].lower().startswith(SECRET_NAMES) else 0
+        shape = 1 if n and n < len(span) and len(span) >= 8 else -1 if not n and (span.islower() or span.isupper() or span.istitle()) else 0
     pattern = 1 if exact else 0 if kind in ("email", "secret", "phone") else -1
-    context = 1 if near & PERSONAL or kind == "secret" else -1 if near & IMPERSONAL else 0
-    border = 1 if left != "w" and right != "w" or kind == "secret" else -1
-    variety = 0 if n < 7 else -1 if len(set(digits)) <= 2 or digits in "01234567890123456789" else 1
+    if kind == "secret":
+        # Set with a sign of its own, quoted or ending in a break, as in a settings file; not in prose.
+        # Set as in a settings file, by an equals sign or in quotes; a colon alone says nothing.
+        sign = text[max(0, a - 3) : a].replace(" ", "")
+        context = 1 if "=" in sign or sign[-1:] in "\"'" else 0
+    else:
+        context = 1 if near & PERSONAL else -1 if near & IMPERSONAL else 0
+    border = 1 if (left != "w" or kind == "secret" and text[a - 1 : a] == "=") and right != "w" else -1
+    if kind == "secret":
+        variety = 1 if len(set(span.lower())) >= 8 else -1 if len(set(span.lower())) <= 4 else 0
+    else:
+        variety = 0 if n < 7 else -1 if len(set(digits)) <= 2 or digits in "01234567890123456789" else 1
     size = min(7, n // 3)
     mix = 0 if len(groups) < 2 else 1 if "." in span else 2 if "-" in span else 3 if "(" in span else 4
     features = f"{ORDER[kind]}{size}{mix}{known + 1}{'nsw'.index(left)}{'nsw'.index(right)}{pattern + 1}"
@@ -158,27 +183,30 @@ def _described(text: str, kind: str, a: int, b: int, exact: bool) -> tuple[str,
 
 def reliabilities(rows: list[tuple[str, str, int]], rounds: int = 100) -> tuple[dict[tuple[str, str], float], np.ndarray]:
     """Expectation maximisation over (kind number, votes, count) rows: the probability that the
-    candidates of each row are personal data, and for each labeler P(vote | truth)."""
+    candidates of each row are personal data, and for each labeler P(vote | truth, it votes); who
+    does not vote says nothing."""
     if not rows:
-        return {}, np.full((len(LABELERS), 2, 3), 1 / 3)
+        return {}, np.full((len(LABELERS), 2, 3), 1 / 2)
     votes = np.array([["-0+".index(c) for c in v] for _, v, _ in rows])
     kind = np.array([int(k) for k, _, _ in rows])
     n = np.array([c for _, _, c in rows], dtype=float)
-    truth = 1 / (1 + np.exp(-(votes - 1).sum(axis=1)))  # majority vote to begin with
-    truth = np.where(votes[:, 0] == 2, 1.0, np.where(votes[:, 0] == 0, 0.0, truth))
+    truth = 1 / (1 + np.exp(-(votes - 1) @ np.array(TRUST)))  # a vote to begin with
     for _ in range(rounds):
         given = np.ones((len(LABELERS), 2, 3)) * 0.5  # half a vote each, so that nothing is certain
-        given[:, 1, 2] += 0.5  # and a labeler is better than chance before it is seen
-        given[:, 0, 0] += 0.5
+        given[:, 1, 2] += np.array(TRUST)  # and a labeler is better than chance before it is seen
+        given[:, 0, 0] += np.array(TRUST)
+        given[:, :, 1] = 0
         for j in range(len(LABELERS)):
-            np.add.at(given[j, 1], votes[:, j], n * truth)
-            np.add.at(given[j, 0], votes[:, j], n * (1 - truth))
+            own = votes[:, j] != 1
+            np.add.at(given[j, 1], votes[own, j], (n * truth)[own])
+            np.add.at(given[j, 0], votes[own, j], (n * (1 - truth))[own])
         given /= given.sum(axis=2, keepdims=True)
+        given[:, :, 1] = 1
         yes, no = np.ones(len(KINDS)), np.ones(len(KINDS))
         np.add.at(yes, kind, n * truth)
         np.add.at(no, kind, n * (1 - truth))
         score = np.log(yes / no)[kind] + sum(np.log(given[j, 1, votes[:, j]] / given[j, 0, votes[:, j]]) for j in range(len(LABELERS)))
-        new = np.where(votes[:, 0] == 1, 1 / (1 + np.exp(-np.clip(score, -30, 30))), truth)
+        new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         done = np.abs(new - truth).max() < 1e-9
         truth = new
         if done:
@@ -246,9 +274,10 @@ def fit(scanned: DataFrame) -> dict[str, float]:
 def decided(base: str, found: str, model: dict[str, float]) -> list[tuple[str, int, int]]:
     """Base spans and the candidates that the classifier accepts, by start and kind."""
     own = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
+    exact = set(own)
     for c in found.split(",") if found else ():
         k, a, b, f, _ = c.split(":")
-        if (s := (k, int(a), int(b))) not in own and model.get(f, 0.0) >= 0.5:
+        if (s := (k, int(a), int(b))) not in exact and model.get(f, 0.0) >= 0.5:
             own.append(s)
     return sorted(own, key=lambda s: (s[1], ORDER[s[0]]))
 

@@ -41,10 +41,84 @@ def test_base_spans_of_known_forms(text):
     assert p.base_spans(text) == plain(text)
 
 
-def test_long_texts_take_linear_time():
-    for text in ("1" * 200_000, "a@" * 100_000, "+1 " * 60_000, "1.1." * 60_000, "a" * 200_000 + "@"):
+@pytest.mark.parametrize("part", ["1", "a@", "+1 ", "1.1.", "1 2 3 4 5 6 7 8 ", "password=x1y2z3w4 ", "a@b.cc ", "555-1234 ", "a [at] b ", "token: ", "1-"])
+def test_long_texts_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        text = part * (n // len(part)) + "x"
+        began = time.perf_counter()
         base = p.base_spans(text)
-        p.candidates(text, base)
+        found = p.candidates(text, base)
+        p.decided(p.joined(base), ",".join(f"{k}:{a}:{b}:{f}:{v}" for k, a, b, f, v in found), {})
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.3
+
+
+def test_numbers_in_words_are_no_candidates():
+    for text in ("no 555 123 4567x", "x5551234567", "5551234567_", "12-34"):
+        assert p.candidates(text, []) == []
+    assert [c[:3] for c in p.candidates("call 555 123 4567. now", [])] == [("phone", 5, 17)]
+
+
+def test_no_vote_decides_alone():
+    """Labelers whose votes agree outweigh the exact pattern's, if it is the one that is often wrong."""
+    counts = {}
+    for truth, v, n in ((1, "+++++0", 300), (0, "-----0", 300), (0, "+----0", 120), (1, "-++++0", 100)):
+        counts["3", v] = counts.get(("3", v), 0) + n
+    truth, given = p.reliabilities([(k, v, n) for (k, v), n in sorted(counts.items())])
+    assert truth["3", "+----0"] < 0.1 and truth["3", "-++++0"] > 0.9
+    assert 0.55 < given[0][1, 2] < 0.85 < given[1][1, 2]
+
+
+def plain_reliabilities(rows, rounds=100):
+    """The same estimate, one candidate at a time."""
+    import math
+
+    votes = [(k, v) for k, v, n in rows for _ in range(n)]
+    sign = {"-": -1, "0": 0, "+": 1}
+    truth = [1 / (1 + math.exp(-sum(t * sign[c] for t, c in zip(p.TRUST, v)))) for _, v in votes]
+    for _ in range(rounds):
+        count = [[{c: 0.5 + p.TRUST[j] * ((z, c) in ((1, "+"), (0, "-"))) for c in "-0+"} for z in (0, 1)] for j in range(6)]
+        kinds = {k: [1.0, 1.0] for k, _ in votes}
+        for (k, v), t in zip(votes, truth):
+            for j, c in enumerate(v):
+                count[j][1][c] += t * (c != "0")
+                count[j][0][c] += (1 - t) * (c != "0")
+            kinds[k][1] += t
+            kinds[k][0] += 1 - t
+        rate = [[{"0": 1, **{c: side[c] / (side["-"] + side["+"]) for c in "-+"}} for side in own] for own in count]
+        truth = []
+        for k, v in votes:
+            z = math.log(kinds[k][1] / kinds[k][0]) + sum(math.log(rate[j][1][c] / rate[j][0][c]) for j, c in enumerate(v))
+            truth.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return {x: t for x, t in zip(votes, truth)}
+
+
+def test_reliabilities_equal_a_plain_version():
+    import random
+
+    random.seed(3)
+    rows = [(str(random.randrange(5)), "".join(random.choice("-0+") for _ in range(6)), random.randint(1, 9)) for _ in range(40)]
+    rows = sorted({(k, v): (k, v, n) for k, v, n in rows}.values())
+    got, _ = p.reliabilities(rows)
+    want = plain_reliabilities(rows)
+    assert all(abs(got[x] - want[x]) < 1e-5 for x in want)
+
+
+def test_added_spans(spark):
+    """What the wider patterns add: secrets with a value that looks like one, and numbers written as
+    others are; not words after a keyword."""
+    rows = []
+    for i in range(80):
+        rows.append((i, f"x token = \"{i * 7919:08x}a9b8c7d6\" y"))
+        rows.append((100 + i, f"the secret: plainly {i}"))
+        rows.append((200 + i, f"phone +1 (988) 555-{1000 + i} or password=Zq{i}fT9xK2 ."))
+        rows.append((300 + i, "the token = example ."))
+    out = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in p.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == [("secret", 11)] and out[100 + i] == [] and out[300 + i] == [] for i in range(80))
+    assert all([k for k, _ in out[200 + i]] == ["phone", "secret"] for i in range(80))
 
 
 def test_em_finds_the_bad_labeler():
