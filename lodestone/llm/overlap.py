@@ -3,8 +3,10 @@
 The matrix has a row for each distinct set of word shingles and a column for each shingle.  Links
 need the product of the matrix with its transpose: the overlap counts.  It is never formed whole:
 
-1. Shingle columns are dealt into blocks by their hash.  A block finds which of its columns are not
-   empty but for one row; other columns can't add to any overlap.
+1. Shingle columns are dealt into blocks by their hash, the more of them the more text there is.  A
+   block finds which of its columns are not empty but for one row; other columns can't add to any
+   overlap.  Columns that a sample of the texts shows to be in very many rows meet in no block: they are
+   shared for certain, and count as the most frequent ones.
 2. A row is left out if fewer of its columns remain than the bound on its size demands: with
    n shingles and threshold t, any partner shares at least t*n of them.
 3. Rows that a cheap minhash key puts next to each other are compared with a few leaders, whose
@@ -15,11 +17,14 @@ need the product of the matrix with its transpose: the overlap counts.  It is ne
    two linked rows share one of their first n - ceil(t*n) + 1 columns.  Rows with the same most
    frequent column lie together in blocks of about ROWS.  The columns of those beginnings tell which
    blocks of rows may hold linked ones of different classes and of sizes near enough; only pairs of
-   blocks are listed, never pairs of rows.  Their product is accumulated column block by column
-   block, and each gives a spanning tree of its links.
+   blocks are listed, never pairs of rows, and those of a column in very many blocks chunk by chunk.
+   Their product is accumulated column block by column block, and each gives a spanning tree of its
+   links.
 
 Classes are then the components of all edges found, by alternating stars.
 
+Links are counted exactly on hashes: sets are named by 63 bits, columns compared by 48.
+
 Result: n_shingles and component_id for each input row.  Defined cases: null and empty texts, and
 those without words, have no shingles and link with nothing; repeated rows and equal sets form one
 class; rows with a null id are kept, linked with nothing, and have a null component; an empty table
@@ -39,11 +44,20 @@ from lodestone.llm.common import partitions, picked, table, tidied, written
 from lodestone.llm.components import components, roots
 
 WORDS, PERCENT = 5, 80
-LEADERS, ROUNDS, HOT = 6, 3, 512
+LEADERS, ROUNDS, HOT = 6, 3, 128
 #: Rows in a block, and columns that its product takes at a time.
 ROWS, COLUMNS = 256, 4096
-#: Bytes of text that are hashed at a time.
-PART = 1 << 20
+#: Bytes of text that are hashed at a time, and bytes of text for each block of columns.
+PART, BLOCK_TEXT = 1 << 20, 64 << 20
+#: Rows of the least sample that frequent columns are looked for in, its share of larger inputs, rows
+#: that make a column frequent, and how many such columns are set apart.
+SAMPLE, SAMPLE_SHARE, FREQUENT, FREQUENT_SHARE, APART = 2000, 1 / 65536, 1 << 20, 0.005, 65536
+#: Bits of a row's number in a cell; a block of more rows is sorted in a slower way.
+ROW_BITS = 24
+#: Entries of a column that one task holds against each other.
+CHUNK = 1024
+#: Of a column's rows as they are counted; frequent columns count more than any other.
+MOST = 65535
 
 _M1, _M2, _R = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -161,7 +175,7 @@ def _batch(schema: pa.Schema, length: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([made(f) for f in schema], schema=schema)
 
 
-def _dealt(dest: np.ndarray, row: np.ndarray, tokens: np.ndarray, degrees: np.ndarray | None, ids: np.ndarray, sizes: np.ndarray, block: int | None) -> pa.RecordBatch:
+def _dealt(dest: np.ndarray, row: np.ndarray, tokens: np.ndarray, degrees: np.ndarray | None, ids: np.ndarray, sizes: np.ndarray, block: int | None, kind: int = 1) -> pa.RecordBatch:
     """One packed row for each destination.  row: of each token the index into ids and sizes, rising."""
     order = np.argsort(dest, kind="stable")
     sorted_dest = dest[order]
@@ -179,11 +193,32 @@ def _dealt(dest: np.ndarray, row: np.ndarray, tokens: np.ndarray, degrees: np.nd
         out["tokens"].append(packed(tokens[own], 5))
         out["degrees"].append(None if degrees is None else degrees[own].astype("<u2").tobytes())
     n = len(out["dest"])
-    return _batch(_ROWS, n, kind=[1] * n, block=[block] * n, **out)
+    return _batch(_ROWS, n, kind=[kind] * n, block=[block] * n, **out)
+
+
+def frequent(docs: DataFrame, width: int, rows: int) -> np.ndarray:
+    """The columns that a sample, by a hash of the texts' lengths and ids, finds in the most rows,
+    sorted.  They only save work; what they are changes no result."""
+    size = min(rows, max(SAMPLE, int(rows * SAMPLE_SHARE)))
+    least = max(8, int(size * min(FREQUENT_SHARE, FREQUENT / (2 * max(1, rows)))))
+    if size < least:
+        return np.zeros(0, dtype=np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), width)
+            columns, n = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(columns.view(np.int64)), pa.array(n)], names=["column", "n"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("key", F.length("text")), F.lit(1 << 30)) < int((1 << 30) * size / rows)).select("text")
+    counts = drawn.mapInArrow(tidied(count), "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "column").limit(APART).collect()
+    return np.sort(np.array([r.column for r in found], dtype=np.int64).view(np.uint64))
 
 
-def _incidence(docs: DataFrame, width: int, blocks: int) -> DataFrame:
-    """Kind 0: key, n and set of each document; kind 1: packed rows of the matrix for one block."""
+def _incidence(docs: DataFrame, width: int, blocks: int, apart: np.ndarray) -> DataFrame:
+    """Kind 0: key, n and set of each document; kind 1: packed rows of the matrix for one block; kind 2:
+    frequent columns of rows, by their number among them, as a block of their own."""
 
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -205,6 +240,13 @@ def _incidence(docs: DataFrame, width: int, blocks: int) -> DataFrame:
                 if len(first):
                     tokens = np.concatenate([sets[i] for i in first])
                     row = np.repeat(np.arange(len(first)), sizes[first])
+                    if len(apart):
+                        number = np.minimum(np.searchsorted(apart, tokens), len(apart) - 1)
+                        hot = apart[number] == tokens
+                        if hot.any():
+                            degrees = np.full(int(hot.sum()), MOST)
+                            yield _dealt(ids[first][row[hot]] % blocks, row[hot], number[hot].astype(np.uint64), degrees, ids[first], sizes[first], blocks, 2)
+                            tokens, row = tokens[~hot], row[~hot]
                     dest = ((tokens & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64)
                     yield _dealt(dest, row, tokens >> np.uint64(24), None, ids[first], sizes[first], None)
                 at = end
@@ -212,14 +254,14 @@ def _incidence(docs: DataFrame, width: int, blocks: int) -> DataFrame:
     return docs.mapInArrow(tidied(emit), _ROWS_DDL)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], by: str):
-    """Passes kind 0 on and returns kind 1 by the value of a column."""
+def _gathered(batches: Iterator[pa.RecordBatch], by: str, kinds: tuple[int, ...]):
+    """Returns rows of these kinds by the value of a column, and passes others on."""
     held: dict[int, list[tuple]] = {}
     for batch in batches:
-        kinds = batch.column("kind").to_numpy(zero_copy_only=False)
-        if (kinds == 0).any():
-            yield batch.filter(pa.array(kinds == 0))
-        rest = batch.filter(pa.array(kinds == 1))
+        own = np.isin(batch.column("kind").to_numpy(zero_copy_only=False), kinds)
+        if not own.all():
+            yield batch.filter(pa.array(~own))
+        rest = batch.filter(pa.array(own))
         for r in zip(*(rest.column(c).to_pylist() for c in (by, "block", "ids", "sizes", "counts", "tokens", "degrees"))):
             held.setdefault(r[0], []).append(r[1:])
     return held
@@ -235,36 +277,45 @@ def _joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return which, sizes[first], np.repeat(back.astype(np.int64), counts), tokens
 
 
-def _shared(batches: Iterator[pa.RecordBatch], blocks: int):
-    """Of each block the columns that several rows have, dealt by row."""
-    held = yield from _gathered(batches, "dest")
-    while held:
-        block, rows = held.popitem()
-        ids, sizes, row, tokens = _joined(rows)
-        del rows
-        if len(ids) >= 1 << 24:
-            raise ValueError("more than 2**24 rows in a block of columns; use more shuffle partitions")
-        cells = tokens
-        cells <<= np.uint64(24)
+def _counted(tokens: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """token, row, and how many rows have the token, of each cell of the columns that several rows have."""
+    if rows < 1 << ROW_BITS:
+        shift = np.uint64(ROW_BITS)
+        cells = tokens << shift
         cells |= row.view(np.uint64)
         del tokens, row
         cells.sort()
         new = np.ones(len(cells), dtype=bool)
         np.not_equal(cells[1:], cells[:-1], out=new[1:])
         cells = cells[new]
-        del new
-        start = np.ones(len(cells) + 1, dtype=bool)
-        np.greater(cells[1:] ^ cells[:-1], np.uint64(0xFFFFFF), out=start[1:-1])
-        bounds = np.flatnonzero(start)
-        degree = np.diff(bounds)
-        shared = np.repeat(degree > 1, degree)
-        cells, degree = cells[shared], np.repeat(np.minimum(degree, 65535)[degree > 1], degree[degree > 1])
-        if not len(cells):
+        tokens, row = cells >> shift, (cells & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)
+        del cells, new
+    else:
+        order = np.lexsort((row, tokens))
+        tokens, row = tokens[order], row[order]
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])
+        tokens, row = tokens[new], row[new]
+    start = np.ones(len(tokens) + 1, dtype=bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=start[1:-1])
+    degree = np.diff(np.flatnonzero(start))
+    shared = np.repeat(degree > 1, degree)
+    return tokens[shared], row[shared], np.repeat(np.minimum(degree, MOST - 1)[degree > 1], degree[degree > 1])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], blocks: int):
+    """Of each block the columns that several rows have, dealt by row."""
+    held = yield from _gathered(batches, "dest", (1,))
+    while held:
+        block, rows = held.popitem()
+        ids, sizes, row, tokens = _joined(rows)
+        del rows
+        tokens, row, degree = _counted(tokens, row, len(ids))
+        if not len(tokens):
             continue
-        row = (cells & np.uint64(0xFFFFFF)).astype(np.int64)
         order = np.argsort(row, kind="stable")
         row = row[order]
-        yield _dealt(ids[row] % blocks, row, (cells >> np.uint64(24))[order], degree[order], ids, sizes, block)
+        yield _dealt(ids[row] % blocks, row, tokens[order], degree[order], ids, sizes, block)
 
 
 _SETS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("tokens", pa.binary()), ("keys", pa.list_(pa.int64())), ("family", pa.int64())])
@@ -274,7 +325,7 @@ _SETS_DDL = "kind int, key long, n long, set long, tokens binary, keys array<lon
 def _survivors(batches: Iterator[pa.RecordBatch], blocks: int, percent: int):
     """Kind 0 as it is; kind 1: rows of the matrix that keep enough columns, these in the order of
     their degrees, and their minhash keys."""
-    gathered = _gathered(batches, "dest")
+    gathered = _gathered(batches, "dest", (1, 2))
     while True:
         try:
             b = next(gathered)
@@ -288,9 +339,15 @@ def _survivors(batches: Iterator[pa.RecordBatch], blocks: int, percent: int):
             continue
         blocks_of = np.repeat([r[0] for r in rows], [len(r[4]) // 5 for r in rows]).astype(np.uint64)
         degrees = np.frombuffer(b"".join(r[5] for r in rows), dtype="<u2")
+        # A set that lies in several parts of the input brings its frequent columns with each.
+        hot = np.flatnonzero(blocks_of == blocks)
+        once = np.ones(len(row), dtype=bool)
+        once[hot] = False
+        once[hot[np.unique(row[hot] * APART + tokens[hot].astype(np.int64), return_index=True)[1]]] = True
+        row, tokens, degrees, blocks_of = row[once], tokens[once], degrees[once], blocks_of[once]
         enough = np.bincount(row, minlength=len(ids)) >= least_common(sizes.astype(np.int64), percent)
         keep = enough[row]
-        row, tokens, degrees = row[keep], mix(tokens[keep] * np.uint64(blocks) + blocks_of[keep]) >> np.uint64(16), degrees[keep]
+        row, tokens, degrees = row[keep], mix(tokens[keep] * np.uint64(blocks + 1) + blocks_of[keep]) >> np.uint64(16), degrees[keep]
         order = np.lexsort((tokens, degrees, row))
         row, tokens = row[order], tokens[order]
         bounds = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else [0]
@@ -382,14 +439,29 @@ def _postings(batches: Iterator[pa.RecordBatch], dests: int):
         yield _batch(_POSTINGS, len(out["dest"]), **out)
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+_PAIRS_DDL = "a long, b long, left binary, right binary"
+
+
+def _near_pairs(one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """The pairs of entries, by their numbers, that are near enough in size and not of one class alone.
+    Columns of an entry: block, least and largest size, least and largest class."""
+    x, y = one[:, None, :], two[None, :, :]
+    near = (100 * y[..., 2] >= percent * x[..., 1]) & (100 * x[..., 2] >= percent * y[..., 1])
+    return np.argwhere(near & ((x[..., 3] != y[..., 3]) | (x[..., 4] != y[..., 4]) | (x[..., 3] != y[..., 4])))
+
+
+def _entries_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<i8").reshape(-1, 5)
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int):
     """The pairs of blocks with rows that share a column of their beginnings, are in different
-    classes and near enough in size."""
+    classes and near enough in size; of a column in many blocks pairs of chunks of these instead."""
     held: dict[int, list[tuple]] = {}
     for batch in batches:
         for r in zip(*(batch.column(f.name).to_pylist() for f in _POSTINGS)):
             held.setdefault(r[0], []).append(r[1:])
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     while held:
         _, rows = held.popitem()
         blocks, sizes, classes = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in ((0, "<i8"), (1, "<u4"), (2, "<i8")))
@@ -401,19 +473,34 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int):
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             if hi - lo < 2 or (classes[lo:hi] == classes[lo]).all():
                 continue
-            first = lo + np.flatnonzero(np.concatenate([[True], blocks[lo + 1 : hi] != blocks[lo : hi - 1]]))
-            own, c = blocks[first], classes[lo:hi]
-            small, large = np.minimum.reduceat(sizes[lo:hi], first - lo), np.maximum.reduceat(sizes[lo:hi], first - lo)
-            low, high = np.minimum.reduceat(c, first - lo), np.maximum.reduceat(c, first - lo)
-            for i in range(len(own)):
-                near = (100 * large[i:] >= percent * small[i]) & (100 * large[i] >= percent * small[i:])
-                apart = (low[i:] != low[i]) | (high[i:] != high[i]) | (low[i] != high[i])
-                found.update((int(own[i]), int(b)) for b in own[i:][near & apart])
+            first = np.flatnonzero(np.concatenate([[True], blocks[lo + 1 : hi] != blocks[lo : hi - 1]]))
+            size, c = sizes[lo:hi], classes[lo:hi]
+            entries = np.stack([blocks[lo + first], np.minimum.reduceat(size, first), np.maximum.reduceat(size, first), np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)], axis=1)
+            if len(entries) > CHUNK:
+                # In the order of their sizes, so that chunks of sizes too far apart never meet.
+                entries = entries[np.lexsort((entries[:, 0], entries[:, 1]))].astype("<i8")
+                parts = [entries[i : i + CHUNK] for i in range(0, len(entries), CHUNK)]
+                for i, one in enumerate(parts):
+                    for two in parts[i:]:
+                        if 100 * one[:, 2].max() >= percent * two[:, 1].min():
+                            yield _batch(_PAIRS, 1, left=[one.tobytes()], right=[two.tobytes()])
+                continue
+            found.update((int(entries[i, 0]), int(entries[j, 0])) for i, j in _near_pairs(entries, entries, percent) if i <= j)
             if len(found) > 500_000:
-                yield _batch(schema, len(found), a=[x for x, _ in found], b=[y for _, y in found])
+                yield _batch(_PAIRS, len(found), a=[x for x, _ in found], b=[y for _, y in found])
                 found = set()
         if found:
-            yield _batch(schema, len(found), a=[x for x, _ in found], b=[y for _, y in found])
+            yield _batch(_PAIRS, len(found), a=[x for x, _ in found], b=[y for _, y in found])
+
+
+def _chunk_pairs(batches: Iterator[pa.RecordBatch], percent: int):
+    """The pairs of blocks of two chunks."""
+    for batch in batches:
+        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+            one, two = _entries_of(left), _entries_of(right)
+            at = _near_pairs(one, two, percent)
+            a, b = one[at[:, 0], 0], two[at[:, 1], 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 _BLOCKS_DDL = "block long, sets binary, sizes binary, counts binary, tokens binary"
@@ -502,7 +589,9 @@ def _other_edges(sets: DataFrame, edges: DataFrame, dests: int, percent: int) ->
     begun = sets.select("set", "n", "family", "tokens").mapInArrow(prefixes, "set long, n long, family long, prefix binary")
     begun = placed(begun.join(classes, "set", "left")).select("block", "n", F.coalesce("component", "set").alias("class"), "prefix")
     dealt = begun.mapInArrow(tidied(lambda b: _postings(b, dests)), _POSTINGS_DDL).repartition("dest")
-    pairs = written(dealt.mapInArrow(tidied(lambda b: _block_pairs(b, percent)), "a long, b long").distinct())
+    listed = written(dealt.mapInArrow(tidied(lambda b: _block_pairs(b, percent)), _PAIRS_DDL))
+    chunks = listed.where("left IS NOT NULL").select("left", "right").repartition(dests).mapInArrow(tidied(lambda b: _chunk_pairs(b, percent)), "a long, b long")
+    pairs = written(listed.where("left IS NULL").select("a", "b").unionByName(chunks).distinct())
     named = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()
     own = placed(sets.select("set", "n", "family", "tokens")).select("block", "set", "n", "tokens").join(named, "block", "left_semi")
     blocks = written(own.repartition("block").sortWithinPartitions("block", "set").mapInArrow(tidied(_blocked), _BLOCKS_DDL))
@@ -515,9 +604,11 @@ def _other_edges(sets: DataFrame, edges: DataFrame, dests: int, percent: int) ->
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id: classes of documents of which each links with another of its
     class, by a Jaccard similarity of at least percent / 100."""
-    blocks = partitions(docs.sparkSession)
     own = picked(docs, key=docs[key].cast("long"), text=F.coalesce(docs[text], F.lit("")))
-    dealt = _incidence(own, width, blocks).repartition(blocks, "dest")
+    n_rows, size = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks = max(partitions(docs.sparkSession), -(-(size or 0) // BLOCK_TEXT))
+    apart = frequent(own, width, n_rows)
+    dealt = _incidence(own, width, blocks, apart).repartition(blocks, "dest")
     dealt = dealt.mapInArrow(tidied(lambda b: _shared(b, blocks)), _ROWS_DDL).repartition(blocks, "dest")
     kinds = written(dealt.mapInArrow(tidied(lambda b: _survivors(b, blocks, percent)), _SETS_DDL))
     rows, sets = kinds.where("kind = 0").select("key", "n", "set"), kinds.where("kind = 1").select("set", "n", "tokens", "keys", "family")

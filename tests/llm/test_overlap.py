@@ -86,6 +86,51 @@ def test_components_equal_all_pairs(spark, monkeypatch):
             assert got == plain(rows)
 
 
+def test_a_shingle_in_all_rows(spark, monkeypatch):
+    """Limits so low that columns are set apart, blocks pass the rows of a packed cell, and columns the
+    entries that one task holds."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(400)]
+    common = "all of these rows begin with the same twelve words in the same order here"
+    rows = []
+    for i in range(60):
+        own = random.choices(words, k=2)
+        rows += [f"{common} {' '.join(own)}", f"{common} {own[0]}"]
+        if i % 3 == 0:
+            own = random.choices(words, k=60)
+            rows += [f"{common} {' '.join(own)}", f"{common} {' '.join(own[:-2])} other end"]
+    rows = list(enumerate(rows + rows[:5]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    for bits, chunk, apart in ((24, 1024, 65536), (3, 4, 65536), (3, 4, 3), (24, 1024, 0)):
+        monkeypatch.setattr(o, "ROW_BITS", bits)
+        monkeypatch.setattr(o, "CHUNK", chunk)
+        monkeypatch.setattr(o, "ROWS", 4)
+        monkeypatch.setattr(o, "HOT", 4)
+        if apart != 65536:
+            monkeypatch.setattr(o, "frequent", lambda d, w, n, f=o.frequent, apart=apart: f(d, w, n)[:apart])
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in o.ngram_jaccard(df).collect()), key=str)
+        assert got == want
+        monkeypatch.undo()
+    assert len(o.frequent(df.withColumnRenamed("doc_id", "key"), 5, len(rows))) >= 10
+
+
+def test_counted_cells_do_not_depend_on_the_way(monkeypatch):
+    rng = np.random.default_rng(2)
+    tokens, row = rng.integers(0, 50, 2000).astype(np.uint64), rng.integers(0, 30, 2000)
+    one = o._counted(tokens.copy(), row.copy(), 30)
+    monkeypatch.setattr(o, "ROW_BITS", 2)
+    two = o._counted(tokens.copy(), row.copy(), 30)
+    assert all((a == b).all() for a, b in zip(one, two)) and len(one[0]) == len({*zip(tokens.tolist(), row.tolist())})
+
+
+def test_more_column_blocks_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr(o, "BLOCK_TEXT", 1000)
+    rows = corpus(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in o.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain(rows)
+
+
 def test_exact_bound(spark):
     # 9 of 11 shingles shared is over 80 %, 8 of 10 exactly, 7 of 9 below.
     a = [f"a{i}" for i in range(20)]
