@@ -9,8 +9,8 @@ The table has a fixed number of slots whatever the data's size, so it is broadca
 shard by one hash and one probe, with no shuffle.  Placement and its join are DataFrame operations.
 
 Defined cases: a null key counts as the empty key; repeated rows get the same shard; an empty input
-gives an empty output; all input columns are kept.  A result column that the input already has is
-replaced in the output.
+gives an empty output; keys of any length are hashed whole; all input columns are kept, whatever their
+names.  A result column that the input already has, in upper or lower case, is replaced in the output.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from lodestone.llm.common import scratch, table
 #: Slots of the lookup table: a prime, at least 100 times the number of shards.  The table takes
 #: 16 bytes a slot, 1 MB in all, and does not grow with the data.
 SLOTS = 65537
+RESULT = ("slot", "shard", "shard_name")
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
 
 
@@ -57,7 +58,7 @@ def lookup_table(spark: SparkSession, shards: tuple[str, ...], slots: int = SLOT
     """slot, shard: the table as a DataFrame, read from one binary literal of two bytes a slot."""
     packed = b"".join(i.to_bytes(2, "big") for i in fill(shards, slots)).hex()
     return spark.sql(
-        f"SELECT id AS __slot, CAST(conv(hex(substring(X'{packed}', CAST(2 * id + 1 AS INT), 2)), 16, 10) AS INT) AS __shard "
+        f"SELECT id AS slot, CAST(conv(hex(substring(X'{packed}', CAST(2 * id + 1 AS INT), 2)), 16, 10) AS INT) AS shard "
         f"FROM range(0, {slots}, 1, 1)"
     )
 
@@ -68,14 +69,16 @@ def assign_shards(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slo
         raise ValueError("at most 65536 shards")
     lookup = lookup_table(df.sparkSession, shards, slots)
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10)
-    kept = [c for c in df.columns if c not in ("slot", "shard", "shard_name")]
-    placed = df.withColumn("__slot", hashed.cast("long") % F.lit(slots)).join(F.broadcast(lookup), "__slot")
+    kept = [c for c in df.columns if c.lower() not in RESULT]
+    # The input's columns travel within a struct, where no name of theirs meets one used here.
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), (hashed.cast("long") % F.lit(slots)).alias("slot"))
+    placed = whole.join(F.broadcast(lookup), "slot")
     names = F.array(*[F.lit(x) for x in shards])
     return placed.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col("__slot").alias("slot"),
-        F.col("__shard").alias("shard"),
-        F.element_at(names, F.col("__shard") + 1).alias("shard_name"),
+        *[F.col("row").getField(c).alias(c) for c in kept],
+        F.col("slot"),
+        F.col("shard"),
+        F.element_at(names, F.col("shard") + 1).alias("shard_name"),
     )
 
 
@@ -90,7 +93,7 @@ def write_shards(df: DataFrame, key: str, path: str, shards: tuple[str, ...] = S
 def read_shards(spark: SparkSession, path: str, schema: StructType, shards: tuple[str, ...] = SHARDS) -> DataFrame:
     """The rows that write_shards wrote, with slot, shard (from the folder) and shard_name; schema is
     that of the rows before."""
-    own = [f for f in schema if f.name not in ("slot", "shard", "shard_name")]
+    own = [f for f in schema if f.name.lower() not in RESULT]
     rows = spark.read.schema(StructType([*own, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
     names = F.element_at(F.array(*[F.lit(x) for x in shards]), (F.col("id") + 1).cast("int"))
     named = spark.range(0, len(shards), 1, 1).select(F.col("id").cast("int").alias("shard"), names.alias("shard_name"))

@@ -55,6 +55,21 @@ def test_rows(spark):
     assert s.assign_shards(df.limit(0), "id").count() == 0
 
 
+def test_clashing_names_and_long_keys(spark, tmp_path):
+    import hashlib
+
+    rows = [("k" * 500_000, 3, "x", 7, "y"), (None, 4, "z", 8, "w"), ("", 5, "", 9, "v")]
+    df = spark.createDataFrame(rows, "`a.b` string, __slot int, Slot string, row int, SHARD_NAME string")
+    out = s.assign_shards(df, "a.b").collect()
+    assert out[0].__fields__ == ["a.b", "__slot", "row", "slot", "shard", "shard_name"]
+    for r in out:
+        assert (r["a.b"], r["__slot"], r["row"]) in [(a, b, d) for a, b, _, d, _ in rows]
+        assert r.slot == int(hashlib.md5((r["a.b"] or "").encode()).hexdigest()[:15], 16) % s.SLOTS
+    s.write_shards(df, "a.b", str(tmp_path / "out"), splits=2)
+    back = s.read_shards(spark, str(tmp_path / "out"), df.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, out))
+
+
 def test_plan_has_no_shuffle_and_no_python(spark, sf):
     plan = s.op1_sharding(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Python" not in plan and "Broadcast" in plan
