@@ -7,15 +7,23 @@ chunked transfer coding; one longer than ``segment`` bytes is split into a first
 Archives are gzipped WARC/1.1 files of a bounded size, written by Spark's text writer, so they land in
 whatever store the path names.
 
-Reading: files are parsed by the records' lengths.  Continuations are grouped by their origin,
-ordered by segment number, held against the numbers 1..n and the total length that the last one
-states, joined, and the chunked body is decoded.  Revisits take length and digest from the response
-that they refer to.  No record is ever looked for in a payload's text, so payloads may hold anything.
+Reading: files are parsed by the records' lengths, as they are unzipped, so that a task holds one record
+and not an archive.  Continuations are grouped by their origin, ordered by segment number, held against
+the numbers 1..n and the total length that the last one states, joined, and the chunked body is decoded.
+Revisits take length and digest from the response that they refer to.  No record is ever looked for in a
+payload's text, so payloads may hold anything.
+
+Rows are numbered in a written table, so that names are the same whenever they are read.  Only digests and
+names are grouped, and pre-aggregated; what copies of one payload take from their group is sent to them,
+or, where groups are too many for that, joined on the digest and a salt, so that no payload's copies are
+one task's, however many pages share it.
 
 Defined cases: a null payload counts as empty; a null id is kept and counts as larger than any
 other; of rows with the same payload and id the first read is the response; an empty table gives an
 empty archive; line breaks in a url are percent-encoded; a null url has no target field;
-payloads below ``least`` bytes are never revisits; other input columns are not read.
+payloads below ``least`` bytes are never revisits; other input columns are not read; a record that can't be
+read - cut short, of another digest than it states, or no text though asked for as text - raises, and names
+the record, as does a revisit without its response: a reader that goes on would pass for a whole one.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ from lodestone.llm.common import picked, scratch, table, tidied, written
 SEGMENT, CHUNK, LEAST = 16384, 4096, 0
 #: Bytes of payload that one archive file takes, about; it bounds what a reading task holds.
 FILE_BYTES = 8 << 20
+#: Parts that the copies of one payload, or the revisits of one response, are joined in.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -96,21 +106,28 @@ def records(record: str, url: str, payload: bytes, digest: str, refers: str | No
     return b"".join(out)
 
 
-def parsed(archive: bytes):
-    """(header fields, block) of each record."""
+def parsed(archive):
+    """(header fields, block) of each record of an archive, which is bytes or a binary stream."""
+    import io
+
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
     at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        first, *lines = archive[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+        size, head = len(first), {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError(f"the record at byte {at} ends early")
+            size += len(line)
+            name, _, value = line[:-2].decode().partition(": ")
+            head[name.lower()] = value
         n = int(head["content-length"])
-        block = archive[end + 4 : end + 4 + n]
-        if len(block) < n or archive[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        block, after = stream.read(n), stream.read(4)
+        if len(block) < n or after != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} ends early")
         yield head, block
-        at = end + 8 + n
+        at += size + n + 6
 
 
 def _bare(value: str | None) -> str | None:
@@ -127,16 +144,18 @@ def _digest(payload: bytes) -> str:
 def with_roles(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> DataFrame:
     """record, url, payload, refers: the record of the response to refer to, or null for responses.
 
-    A record is named by the id and the row's number, which follows from the files read.  Only
-    digests, lengths and names are grouped, and pre-aggregated, so that a payload which a third of
-    all pages share costs one row a task.
+    A record is named by the id and the row's number.  The rows are numbered in a table of digests, which
+    is read again for the payloads: the table has all that the records are made from.
     """
     own = picked(pages, id=pages[key].cast("long"), url=url, payload=F.coalesce(pages[payload], F.lit("")))
-    own = own.withColumns({"row": F.monotonically_increasing_id(), "sha": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload")})
+    own = written(own.withColumns({"row": F.monotonically_increasing_id(), "sha": F.sha1(F.col("payload").cast("binary"))}))
     name = lambda i, r: F.concat_ws(".", F.coalesce(i.cast("string"), F.lit("")), r.cast("string"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    equal = own.groupBy("sha", "bytes").agg(first, F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= least)).drop("n")
-    found = own.join(equal, ["sha", "bytes"], "left")
+    sized = own.select("id", "row", "sha", F.octet_length("payload").alias("bytes"))
+    equal = sized.groupBy("sha", "bytes").agg(first, F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= least))
+    # A table of its own, so that its size is known: a small one is sent to the rows.
+    equal = written(equal.select("sha", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first"))
+    found = own.withColumn("salt", (F.col("row") % SALTS).cast("int")).join(equal, ["sha", "salt"], "left")
     refers = F.when(F.col("first.row") != F.col("row"), name(F.col("first.id"), F.col("first.row")))
     return found.select(name(F.col("id"), F.col("row")).alias("record"), "url", "payload", refers.alias("refers"))
 
@@ -172,7 +191,10 @@ def _decoded(record: str, http: bytes, stated: str | None, with_payload: bool) -
     digest = _digest(payload)
     if stated is not None and stated != f"sha1:{digest}":
         raise ValueError(f"the payload of {record} doesn't match its digest")
-    return record, "response", None, len(payload), digest, payload.decode() if with_payload else None
+    try:
+        return record, "response", None, len(payload), digest, payload.decode() if with_payload else None
+    except UnicodeDecodeError as e:
+        raise ValueError(f"the payload of {record} is no UTF-8 text") from e
 
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -181,25 +203,39 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
     def parse(batches):
         import gzip
+        import io
+
+        def row(head, block):
+            record, kind = _bare(head["warc-record-id"]), head["warc-type"]
+            number = head.get("warc-segment-number")
+            if kind == "revisit":
+                return (record, kind, _bare(head["warc-refers-to"]), *[None] * 7)
+            if kind == "response" and number is None:
+                return (*_decoded(record, block, head.get("warc-payload-digest"), with_payload), *[None] * 4)
+            if kind in ("response", "continuation"):
+                origin = record if kind == "response" else _bare(head["warc-segment-origin-id"])
+                total = head.get("warc-segment-total-length")
+                return (origin, *[None] * 5, int(number), total and int(total), head.get("warc-payload-digest"), block)
+            return None  # records of other types hold no page
+
+        def out(rows):
+            made = pd.DataFrame(rows, columns=[*_COLUMNS, "number", "total", "stated", "block"])
+            for c in ("payload_bytes", "number", "total"):
+                made[c] = made[c].astype("Int64")
+            return made
 
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                for head, block in parsed(gzip.decompress(content)):
-                    record, kind = _bare(head["warc-record-id"]), head["warc-type"]
-                    number = head.get("warc-segment-number")
-                    if kind == "revisit":
-                        rows.append((record, kind, _bare(head["warc-refers-to"]), None, None, None, None, None, None, None))
-                    elif kind == "response" and number is None:
-                        rows.append((*_decoded(record, block, head.get("warc-payload-digest"), with_payload), None, None, None, None))
-                    elif kind in ("response", "continuation"):
-                        origin = record if kind == "response" else _bare(head["warc-segment-origin-id"])
-                        total = head.get("warc-segment-total-length")
-                        rows.append((origin, None, None, None, None, None, int(number), total and int(total), head.get("warc-payload-digest"), block))
-                out = pd.DataFrame(rows, columns=[*_COLUMNS, "number", "total", "stated", "block"])
-                for c in ("payload_bytes", "number", "total"):
-                    out[c] = out[c].astype("Int64")
-                yield out
+                rows, size = [], 0
+                with gzip.open(io.BytesIO(content)) as stream:
+                    for head, block in parsed(stream):
+                        if (r := row(head, block)) is not None:
+                            rows.append(r)
+                            size += len(block)
+                        if size >= FILE_BYTES // 8:
+                            yield out(rows)
+                            rows, size = [], 0
+                yield out(rows)
 
     def join(batches):
         for batch in batches:
@@ -222,9 +258,15 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
     part = F.when(F.col("number").isNotNull(), F.struct("number", "total", "stated", "block"))
     whole = rows.groupBy("record").agg(*[F.max(c).alias(c) for c in _COLUMNS[1:]], F.sort_array(F.collect_list(part)).alias("parts"))
     whole = written(whole.mapInPandas(tidied(join), _SCHEMA))
-    response = whole.where("record_type = 'response'").select(F.col("record").alias("refers"), *_COLUMNS[3:])
-    revisit = whole.where("record_type = 'revisit'").select("record", "record_type", "refers").join(response, "refers", "left")
-    return whole.where("record_type = 'response'").unionByName(revisit.select(*_COLUMNS))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    named = whole.where("record_type = 'revisit'").select("record", "record_type", "refers", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int").alias("salt"))
+    wanted = named.select(F.col("refers").alias("record")).distinct()
+    response = whole.where("record_type = 'response'").join(wanted, "record", "left_semi")
+    response = response.select(F.col("record").alias("refers"), *_COLUMNS[3:], salts)
+    revisit = named.join(response, ["refers", "salt"], "left")
+    # Every response has a length.
+    told = F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("a revisit refers to a missing response: "), "record")).cast("long"))
+    return whole.where("record_type = 'response'").unionByName(revisit.withColumn("payload_bytes", told).select(*_COLUMNS))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

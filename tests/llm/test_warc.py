@@ -83,6 +83,40 @@ def test_missing_segment(spark, tmp_path):
         w.read_archive(spark, str(tmp_path)).collect()
 
 
+def test_dangling_and_unreadable_records_are_told(spark, tmp_path):
+    import gzip
+
+    revisit = w.records("2.1", "u", b"abc", digest("abc"), "1.0", 1000, 50)
+    (tmp_path / "a.txt.gz").write_bytes(gzip.compress(revisit))
+    with pytest.raises(Exception, match="missing response"):
+        w.read_archive(spark, str(tmp_path)).collect()
+    made = w.records("1.0", "u", b"\xff\xfe", base64.b32encode(hashlib.sha1(b"\xff\xfe").digest()).decode(), None, 1000, 50)
+    (tmp_path / "a.txt.gz").write_bytes(gzip.compress(made))
+    with pytest.raises(Exception, match="UTF-8"):
+        w.read_archive(spark, str(tmp_path)).collect()
+    assert [r.payload_bytes for r in w.read_archive(spark, str(tmp_path), with_payload=False).collect()] == [2]
+
+
+def test_many_copies_of_one_payload(spark):
+    """Rows whose order is not fixed: a third have one payload, and every revisit finds its response."""
+    rows = [(i, "u", "the same" if i % 3 else f"own {i}") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7, "html", "page_id").orderBy("url").repartition(5)
+    w.write_archive(pages, path := scratch(spark))
+    out = w.read_archive(spark, path).collect()
+    assert len(out) == 600 and {r.payload for r in out} == {h for _, _, h in rows}
+    kinds = {int(r.record.split(".")[0]): r for r in out}
+    assert all(r.record_type == ("revisit" if k % 3 and k > 1 else "response") for k, r in kinds.items())
+    assert {r.refers.split(".")[0] for r in out if r.refers} == {"1"}
+
+
+def test_archives_are_read_record_by_record():
+    import io
+
+    made = b"".join(w.records(f"{i}.0", "u", bytes([65 + i]) * 99, digest(chr(65 + i) * 99), None, 1000, 40) for i in range(3))
+    assert [h["warc-record-id"] for h, _ in w.parsed(io.BytesIO(made))] == [h["warc-record-id"] for h, _ in w.parsed(made)]
+    assert [b for _, b in w.parsed(io.BytesIO(made))] == [b for _, b in w.parsed(made)]
+
+
 def test_empty(spark):
     w.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path := scratch(spark))
     assert w.read_archive(spark, path).count() == 0
