@@ -64,12 +64,12 @@ PACKS: dict[str, Pack] = {
         (("extends", re.compile(r"\b(?:class|interface)\s+(?P<source>\w+)(?:<[^>{]*>)?\s+extends\s+(?P<target>\w+)")), ("implements", re.compile(r"\bclass\s+(?P<source>\w+)[^{]*?\bimplements\s+(?P<target>\w+(?:\s*,\s*\w+)*)"))),
     ),
     "csharp": Pack(
-        "csharp", _c(r"^\s*using\s+(?:static\s+)?(?P<source>[\w.]+)\s*;"),
+        "csharp", _c(r"^\s*using\s+(?:static\s+)?(?:(?P<names>[\w@]+)\s*=\s*)?(?P<source>[\w.]+)\s*;"),
         _d(class_=r"\b(?:class|struct|record|enum)\s+(?P<name>\w+)", interface=r"\binterface\s+(?P<name>\w+)", function=r"^\s+(?:(?:public|private|protected|internal|static|virtual|override|async)\s+)+[\w<>\[\], ]+\s+(?P<name>\w+)\s*\("),
         (("inherits", re.compile(r"\b(?:class|struct|record|interface)\s+(?P<source>\w+)(?:<[^>{]*>)?\s*:\s*(?P<target>[\w<>]+(?:\s*,\s*[\w<>]+)*)")),),
     ),
     "vbnet": Pack(
-        "vbnet", _c(r"^\s*Imports\s+(?P<source>[\w.]+)", flags=M | I),
+        "vbnet", _c(r"^\s*Imports\s+(?:(?P<names>[\w@]+)\s*=\s*)?(?P<source>[\w.]+)", flags=M | I),
         _d(class_=r"^\s*(?:Public\s+|Private\s+|Friend\s+)?(?:Class|Structure|Module|Enum)\s+(?P<name>\w+)", interface_=r"^\s*(?:Public\s+|Private\s+|Friend\s+)?Interface\s+(?P<name>\w+)", function_=r"^\s*(?:(?:Public|Private|Protected|Friend|Shared|Overrides)\s+)*(?:Sub|Function)\s+(?P<name>\w+)"),
         (("extends", re.compile(r"^\s*Inherits\s+(?P<target>\w+)", M | I)), ("implements", re.compile(r"^\s*Implements\s+(?P<target>\w+(?:\s*,\s*\w+)*)", M | I))), _c(r"^\s*(?:Public\s+|Private\s+|Friend\s+)?(?:Class|Structure|Interface)\s+(?P<name>\w+)", flags=M | I),
     ),
@@ -121,6 +121,14 @@ def imports(code: str, lang: str) -> list[tuple[str, tuple[str, ...]]]:
     return list(out)
 
 
+_DEFAULT = re.compile(r"^\s*import\s+(?:type\s+)?(?P<name>(?!type\b)\w+)\s*(?:,[^'\";]*)?\s*from\s+['\"](?P<source>[^'\"]+)['\"]", M)
+
+
+def defaults(code: str, lang: str) -> dict[str, str]:
+    """source -> the name that a file gives to its default export."""
+    return {m["source"]: m["name"] for m in _DEFAULT.finditer(code)} if PACKS.get(lang) is _TS else {}
+
+
 def declarations(code: str, lang: str) -> list[tuple[str, str, int, bool]]:
     """(name, kind, line, exported), each name once: the first pattern that finds it holds."""
     pack, out = PACKS.get(lang), {}
@@ -153,13 +161,15 @@ def relationships(code: str, lang: str) -> list[tuple[str, str, str]]:
 
 def facts(corpus: DataFrame) -> DataFrame:
     """repository, path, fact (import, declaration or relationship), name, target, kind, line: one pass
-    over each file; name is a source, a declared name or where a relationship starts."""
+    over each file; name is a source, a declared name or where a relationship starts; an import's target
+    are its names and its kind the name of a default import."""
 
     def run(batches: Iterator[pd.DataFrame]):
         for batch in batches:
             rows = []
             for r, p, lang, c in zip(batch["repository"], batch["path"], batch["lang"], batch["content"]):
-                rows += [(r, p, "import", s, ",".join(n), None, None) for s, n in imports(c, lang)]
+                own = defaults(c, lang)
+                rows += [(r, p, "import", s, ",".join(n), own.get(s), None) for s, n in imports(c, lang)]
                 rows += [(r, p, "declaration", n, None, k, line) for n, k, line, _ in declarations(c, lang)]
                 rows += [(r, p, "relationship", s, t, k, None) for s, t, k in relationships(c, lang)]
             if rows:
@@ -174,7 +184,7 @@ def fact_tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(imports, declarations, relationships) as the graph index takes them."""
     of = lambda f: found.where(F.col("fact") == f)
     return (
-        of("import").select("repository", "path", F.col("name").alias("source")),
+        of("import").select("repository", "path", F.col("name").alias("source"), F.col("kind").alias("default_name")),
         of("declaration").select("repository", "path", "name", "kind", "line"),
         of("relationship").select("repository", "path", F.col("name").alias("source"), "target", "kind"),
     )

@@ -17,7 +17,7 @@ SEEDS = 50
 def node_id(repository: Column, kind: str, name: Column, path: Column | None = None) -> Column:
     """file:<path> or sym:<name>[@<path>], after the repository's name unless that is the default."""
     prefix = F.when(F.coalesce(repository, F.lit("default")) == "default", F.lit("")).otherwise(F.concat(repository, F.lit("::")))
-    rest = F.concat(F.lit("file:" if kind == "file" else "sym:"), name)
+    rest = F.concat(F.lit(f"{kind}:"), name)
     return F.concat(prefix, rest if path is None else F.concat(rest, F.lit("@"), path))
 
 
@@ -115,11 +115,18 @@ def call_tree(start: DataFrame, edges: DataFrame, depth: int = 3, kind: str | No
     level = start.select(F.col("id").alias("root"), F.col("id").alias("u"), F.array("id").alias("path"))
     out = level.select("root", F.lit(0).cast("long").alias("depth"), "path")
     for d in range(1, depth + 1):
-        level = level.join(own, "u").select("root", F.col("v").alias("u"), F.concat("path", F.array("v")).alias("path"))
+        level = written(level.join(own, "u").select("root", F.col("v").alias("u"), F.concat("path", F.array("v")).alias("path")))
         out = out.unionByName(level.select("root", F.lit(d).cast("long").alias("depth"), "path"))
     return out
 
 
+def call_hierarchy(start: DataFrame, edges: DataFrame, direction: str = "both", depth: int = 3, kind: str | None = "calls") -> DataFrame:
+    """direction, root, depth, path: the trees of callers (incoming), of what is called (outgoing), or both."""
+    sides = {"incoming": (True,), "outgoing": (False,), "both": (True, False)}[direction]
+    trees = [call_tree(start, edges, depth, kind, into).select(F.lit("incoming" if into else "outgoing").alias("direction"), "root", "depth", "path") for into in sides]
+    return trees[0] if len(trees) == 1 else trees[0].unionByName(trees[1])
+
+
 def dependency_map(edges: DataFrame, kind: str | None = "imports") -> DataFrame:
     """src, targets: what each node depends on, sorted."""
     own = edges if kind is None else edges.where(F.col("type") == kind)
@@ -213,17 +220,28 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return relative.select("repository", "path", "source").distinct().join(best, ["repository", "path", "source"], "left")
 
 
-def index(imports: DataFrame, declarations: DataFrame, relationships: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of extracted facts.  A relationship's target is the declaration of that name in
-    the repository, the first by path; a target that is declared nowhere gives no edge."""
+def index(imports: DataFrame, declarations: DataFrame, relationships: DataFrame, files: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of extracted facts.  An import that means no file of the corpus is a file node of
+    its own, named by its source; a default import is an edge to the symbol of that name besides.  A relationship's target is the declaration of that name in the
+    repository, the first by path; a target that is declared nowhere gives no edge.  known: further files
+    (repository, path) that imports may mean."""
     col, none = F.col, F.create_map().cast("map<string,string>")
     file_nodes = files.select("repository", "path").distinct()
     nodes = file_nodes.select(node_id(col("repository"), "file", col("path")).alias("id"), "repository", F.lit("file").alias("type"), F.regexp_extract("path", "[^/]*$", 0).alias("label"), col("path").alias("file_path"))
     symbols = declarations.select(node_id(col("repository"), "sym", col("name"), col("path")).alias("id"), "repository", col("kind").alias("type"), col("name").alias("label"), col("path").alias("file_path")).distinct()
-    resolved = resolve_imports(imports, files).where("target IS NOT NULL")
+    every = files.select("repository", "path") if known is None else files.select("repository", "path").unionByName(known.select("repository", "path"))
+    relative = resolve_imports(imports, every)
+    resolved = relative.where("target IS NOT NULL")
+    outside = imports.where(~col("source").startswith(".")).select("repository", "path", "source").distinct().unionByName(relative.where("target IS NULL").select("repository", "path", "source"))
+    outside = outside.withColumn("id", node_id(col("repository"), "file", col("source")))
+    externals = outside.select("id", "repository", F.lit("file").alias("type"), F.regexp_extract("source", "[^/]*$", 0).alias("label"), col("source").alias("file_path")).distinct()
+    externals = externals.join(nodes.select("id"), "id", "left_anti")
+    default = imports.where(col("default_name").isNotNull()) if "default_name" in imports.columns else imports.withColumn("default_name", F.lit(None).cast("string")).where("false")
     edges = resolved.select(node_id(col("repository"), "file", col("path")).alias("src"), node_id(col("repository"), "file", col("target")).alias("dst"), F.lit("imports").alias("type"), "repository")
+    edges = edges.unionByName(outside.select(node_id(col("repository"), "file", col("path")).alias("src"), col("id").alias("dst"), F.lit("imports").alias("type"), "repository"))
+    edges = edges.unionByName(default.select(node_id(col("repository"), "file", col("path")).alias("src"), node_id(col("repository"), "sym", col("default_name")).alias("dst"), F.lit("imports").alias("type"), "repository"))
     edges = edges.unionByName(symbols.select(node_id(col("repository"), "file", col("file_path")).alias("src"), col("id").alias("dst"), F.lit("defines").alias("type"), "repository"))
     target = symbols.groupBy("repository", "label").agg(F.min_by("id", "file_path").alias("dst"))
     related = relationships.join(target, (relationships["repository"] == target["repository"]) & (relationships["target"] == target["label"]))
     edges = edges.unionByName(related.select(node_id(relationships["repository"], "sym", col("source"), col("path")).alias("src"), "dst", col("kind").alias("type"), relationships["repository"]))
-    return nodes.unionByName(symbols).withColumn("metadata", none), distinct_edges(edges).withColumn("metadata", none)
+    return nodes.unionByName(symbols).unionByName(externals).withColumn("metadata", none), distinct_edges(edges).withColumn("metadata", none)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lines
 from lodestone.operators.graph import normal_path
+from lodestone.tables import written
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,12 @@ def parse_manifest(text: str) -> Manifest:
 
 
 def parse_diff(diffs: DataFrame, text: str = "diff") -> DataFrame:
-    """file, line_no, content: the lines that unified diffs add, by line of the new file."""
+    """file, line_no, content, and the diffs' other columns: the lines that unified diffs add, by line of
+    the new file.  Each row is a diff of its own, whether or not others are equal; rows are numbered in
+    a written table, and each is one group."""
     key = [c for c in diffs.columns if c != text]
-    each = lines(diffs, text, number="n")
-    w = Window.partitionBy(*key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0) if key else Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    each = lines(written(diffs.withColumn("__diff", F.monotonically_increasing_id())), text, number="n")
+    w = Window.partitionBy("__diff").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumns({
         "file": F.last(F.when(F.col("line").rlike(r"^diff --git "), F.regexp_extract("line", r" b/(.*)$", 1)).otherwise(F.when(F.col("line").rlike(r"^\+\+\+ b/"), F.regexp_extract("line", r"^\+\+\+ b/(.*)$", 1))), True).over(w),
         "hunk": F.last(F.when(F.col("line").startswith("@@"), F.col("n")), True).over(w),
@@ -55,7 +58,7 @@ def parse_diff(diffs: DataFrame, text: str = "diff") -> DataFrame:
         "begin": F.last(F.when(F.col("line").startswith("@@"), F.regexp_extract("line", r"\+([0-9]+)", 1).cast("long")), True).over(w),
     })
     each = each.where((F.col("hunk") < F.col("n")) & (F.coalesce("head", F.lit(0)) < F.col("hunk")) & ~F.col("line").startswith("-") & ~F.col("line").startswith("\\"))
-    nth = F.row_number().over(Window.partitionBy(*key, "hunk").orderBy("n"))
+    nth = F.row_number().over(Window.partitionBy("__diff", "hunk").orderBy("n"))
     each = each.withColumn("line_no", F.col("begin") + nth - 1)
     return each.where(F.col("line").startswith("+")).select(*key, "file", F.col("line_no").cast("long").alias("line_no"), F.expr("substring(line, 2)").alias("content"))
 

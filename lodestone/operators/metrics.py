@@ -11,43 +11,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.code import strict
-from lodestone.operators.extract import imports as extract_imports
-from lodestone.operators.rewrite import block_end
 
 # Fixed values.
 WEIGHTS = {
     "analyze": {"cyclomatic": 0.40, "dependencies": 0.25, "interface-surface": 0.20, "loc-impact": 0.10, "density": 0.05},
     "route": {"cyclomatic": 0.40, "loc-impact": 0.25, "density": 0.15, "dependencies": 0.12, "interface-surface": 0.08},
 }
-STANDARD = frozenset("fs path os http https url util crypto stream events child_process assert buffer process sys re json math time datetime collections itertools functools typing pathlib logging".split())
+STANDARD = frozenset(
+    "assert async_hooks buffer child_process cluster console constants crypto dgram dns domain events fs http http2 https inspector module net os path "
+    "perf_hooks process punycode querystring readline repl stream string_decoder timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
+)
+COMMENTS = (r"/\*[\s\S]*?\*/", r"//[^\n]*")
+STRINGS = (r"'[^\n]*?'", r'"[^\n]*?"', r"`[\s\S]*?`")
+DECISIONS = (r"\bif\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bswitch\s*\(", r"\bcase\s+", r"\bdefault\s*:", r"\bcatch\s*\(", r"\?\s*[^:;)]+?\s*:")
+IMPORTS = (
+    r"import\s+(?:(?:\{[^}]*\}|\*\s+as\s+\w+|\w+(?:\s*,\s*(?:\{[^}]*\}|\*\s+as\s+\w+))?)\s+from\s+)?['\"]([^'\"]+)['\"]",
+    r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)",
+    r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)",
+)
+RESOLVED = r"require\.resolve\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
+FUNCTION_HEAD = r"\b(?:function\s+\w+|(?:async\s+)?\w+\s*=\s*(?:async\s*)?\(|^\s*(?:export\s+)?(?:async\s+)?(?:function\s+)?\w+\s*\()"
+NO_HEADS = ("if ", "while ", "for ", "switch ", "catch ", "return ")
 
 
 def tenth(x: float) -> float:
     return math.floor(x * 10 + 0.5) / 10
 
 
+def without(code: str, patterns: tuple[str, ...]) -> str:
+    for p in patterns:
+        code = re.sub(p, "", code, flags=re.A)
+    return code
+
+
 def cyclomatic(code: str, lang: str, path: str) -> float:
-    c = strict(code, lang)
-    n = len(re.findall(r"\b(?:if|elif|while|for|switch|case|default|catch|except)\b", c)) + len(re.findall(r"\?(?![.?:])", c))
-    return tenth(1 + n + 0.5 * len(re.findall(r"&&|\|\|", c)))
+    """One, one for each decision and half for each logical operator, in any language."""
+    code = code.replace("\r\n", "\n")
+    decided = without(code, COMMENTS + STRINGS)
+    logical = without(code, STRINGS + COMMENTS[::-1])  # here the strings go first
+    return tenth(1 + sum(len(re.findall(p, decided, re.A)) for p in DECISIONS) + 0.5 * (logical.count("&&") + logical.count("||")))
+
 
+def sources(code: str, patterns: tuple[str, ...] = IMPORTS) -> list[str]:
+    """What is imported or required, in any language, once for each time; comments go, lines first."""
+    own = without(code.replace("\r\n", "\n"), COMMENTS[::-1])
+    return [s for p in patterns for s in re.findall(p, own, re.A)]
 
-def _sources(code: str, lang: str, path: str) -> list[tuple[str, str, int]]:
-    """(source, kind, depth) of imports: standard, external or internal; depth counts the way up and down."""
-    out = []
-    for source, *_ in extract_imports(code, lang):
-        if source.startswith("."):
-            kind = "internal"
-        else:
-            kind = "standard" if source.removeprefix("node:").split("/")[0].split(".")[0] in STANDARD else "external"
-        out.append((source, kind, source.count("/")))
-    return out
+
+def depth(found: list[str]) -> int:
+    """The most steps up of relative sources; one that begins here counts a step."""
+    return max((s.count("../") + s.startswith("./") for s in found if s.startswith(".")), default=0)
 
 
 def dependencies(code: str, lang: str, path: str) -> float:
-    s = _sources(code, lang, path)
-    of = lambda k: sum(x[1] == k for x in s)
-    return min(100.0, tenth(0.5 * of("standard") + 1.5 * of("external") + of("internal") + 2 * max((x[2] for x in s if x[1] == "internal"), default=0)))
+    s = sources(code, (*IMPORTS, RESOLVED))
+    internal = sum(x.startswith(".") for x in s)
+    standard = sum(not x.startswith(".") and x.split("/")[0] in STANDARD for x in s)
+    return tenth(min(100.0, 0.5 * standard + 1.5 * (len(s) - internal - standard) + internal + 2 * depth(s)))
+
+
+def logical_lines(code: str) -> int:
+    """Lines that are neither blank nor begin as a comment."""
+    return sum(bool(x) and not x.startswith(("//", "*", "/*")) for x in map(str.strip, code.split("\n")))
 
 
 _FUNCTIONS = re.compile(r"\bfunction\s*\*?\s*\w*\s*\(([^)]*)\)|\b(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?\(([^)]*)\)\s*(?::[^=\n]+)?=>|\bdef\s+\w+\s*\(([^)]*)\)")
@@ -63,37 +88,37 @@ def interface_surface(code: str, lang: str, path: str) -> float:
     return min(100.0, tenth(2 * len(functions) + 3 * kinds + types + 1.5 * members + 0.5 * params))
 
 
-def function_sizes(code: str, lang: str) -> list[int]:
-    """Lines of each function's body."""
-    c = strict(code, lang)
-    if lang == "python":
-        sizes, lines = [], c.split("\n")
-        for i, line in enumerate(lines):
-            if re.match(r"\s*(?:async\s+)?def\s", line):
-                indent, n = len(line) - len(line.lstrip()), 1
-                for own in lines[i + 1 :]:
-                    if own.strip() and len(own) - len(own.lstrip()) <= indent:
-                        break
-                    n += bool(own.strip())
-                sizes.append(n)
-        return sizes
-    heads = re.finditer(r"(?:\bfunction\b[^{;]*|=>\s*|^[ \t]+(?!if\b|for\b|while\b|switch\b|catch\b|else\b|do\b|try\b)\w+\s*\([^)]*\)[^{;\n]*)\{", c, re.M)
-    return [c.count("\n", m.end() - 1, block_end(c, m.end() - 1)) + 1 for m in heads]
+def function_sizes(code: str) -> list[int]:
+    """Lines of each pair of braces that opens where a function begins, or on the line after."""
+    lines, heads, opened, sizes = code.split("\n"), set(), [], []
+    for i, line in enumerate(map(str.strip, lines)):
+        if not line.startswith(("//", "*", "/*")) and any(not m[0].startswith(NO_HEADS) for m in re.finditer(FUNCTION_HEAD, line, re.A | re.M)):
+            heads.add(i)
+    for i, line in enumerate(lines):
+        for brace in re.findall("[{}]", line):
+            if brace == "{":
+                opened.append(i)
+            elif opened and {opened[-1], opened[-1] - 1} & heads:
+                sizes.append(i - opened.pop() + 1)
+            elif opened:
+                opened.pop()
+    return sizes
 
 
 def loc_impact(code: str, lang: str, path: str) -> float:
-    n = sum(bool(x.strip()) for x in code.split("\n"))
-    sizes = function_sizes(code, lang) or [n]
+    code = code.replace("\r\n", "\n")
+    n = logical_lines(code)
+    sizes = function_sizes(code) or [n]
     category = 10 if n > 500 else 7 if n > 200 else 4 if n > 80 else 0
-    return min(100.0, tenth(min(40, n / 12.5) + min(25, sum(sizes) / len(sizes) / 2) + min(25, max(sizes) / 4) + category))
+    return tenth(min(100.0, min(40, n / 2) + min(25, sum(sizes) / len(sizes) / 2) + min(25, max(sizes) / 8) + category))
 
 
 def density(code: str, lang: str, path: str) -> float:
-    n, s = max(1, sum(bool(x.strip()) for x in code.split("\n"))), _sources(code, lang, path)
+    n, s = logical_lines(code.replace("\r\n", "\n")), sources(code)
     if not s:
         return 0.0
-    deep, external = max(x[2] for x in s), sum(x[1] == "external" for x in s) / len(s)
-    return min(100.0, tenth(min(40, 100 * len(s) / n) + min(30, 6 * deep) + 30 * external))
+    external = sum(not x.startswith(".") for x in s) / len(s)
+    return tenth(min(100.0, (min(40, 200 * len(s) / n) if n else 0) + min(30, 6 * depth(s)) + 30 * external))
 
 
 METRICS: dict[str, Callable[[str, str, str], float]] = {"cyclomatic": cyclomatic, "dependencies": dependencies, "interface-surface": interface_surface, "loc-impact": loc_impact, "density": density}

@@ -87,17 +87,24 @@ def scan(corpus: DataFrame, rules: list[Rule]) -> DataFrame:
         values = F.when(_fits(r, F.col("lang")), F.regexp_extract_all("line", F.lit(r.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
         hits.append(_tagged(values, r))
     found = each.select("repository", "path", "line_no", "line", F.explode(F.concat(*hits)).alias("h"))
-    # The column is where the value first stands; later matches of one value in a line share it.
     return found.select(
         F.col("h.id").alias("pattern_id"), F.col("h.name").alias("pattern_name"), F.col("path").alias("file_path"), F.col("line_no").alias("line"),
-        F.expr("locate(h.value, line)").cast("long").alias("column"), F.col("line_no").alias("end_line"),
+        F.col("h.column").alias("column"), F.col("line_no").alias("end_line"),
         F.replace(F.replace(F.col("h.message"), F.lit("${value}"), F.col("h.value")), F.lit("${snippet}"), F.substring(F.trim("line"), 1, 100)).alias("message"),
         F.col("h.severity").alias("severity"), F.col("h.category").alias("category"), F.substring(F.trim("line"), 1, 100).alias("snippet"),
     )
 
 
 def _tagged(values: Column, r: Rule) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message"), v.alias("value")))
+    """A struct for each match, with its column: the lengths of all matches before it, and of what lies
+    between them, add up to where it stands."""
+    each = F.zip_with(values, F.split("line", r.pattern), lambda v, gap: F.struct(F.coalesce(F.length(v), F.lit(0)).alias("n"), F.length(gap).alias("gap")))
+    begin = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("columns"))
+    step = lambda s, x: F.struct((s.at + x.gap + x.n).alias("at"), F.concat(s.columns, F.array(s.at + x.gap)).alias("columns"))
+    columns = F.aggregate(each, begin, step, lambda s: s.columns)
+    tag = lambda v, c: F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.message).alias("message"), v.alias("value"), c.alias("column"))
+    found = F.filter(F.zip_with(values, columns, tag), lambda x: x["value"].isNotNull())
+    return F.when(F.size(values) > 0, found).otherwise(F.filter(found, lambda x: F.lit(False)))
 
 
 #: Rules for prose and data; all patterns mean the same to Java and to RE2.

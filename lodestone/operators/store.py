@@ -1,11 +1,12 @@
 """A graph store in parquet: versioned tables, upserts and deletes by anti join, change detection.
 
-Each write makes a new version of a table beside the old one and then names it in a small pointer
-table, so readers see whole versions only; the version before stays readable until the next write.
+Each write makes new versions of tables beside the old ones and then names the versions of all tables in
+one commit, so readers see whole versions only, of all tables alike; what was read before stays readable.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,31 +39,48 @@ class GraphStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointers(self) -> dict[str, str]:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+    def _commits(self) -> list:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits")
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
+        return sorted(f.getPath().getName() for f in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
+
+    def _versions(self, name: str | None = None) -> dict[str, str]:
+        """The version of every table, as one commit names them all."""
+        commits = self._commits()
+        if not commits:
             return {}
-        rows = self.spark.read.schema("name STRING, version STRING, at LONG").json(f"{self.path}/_current").collect()
-        return {r.name: r.version for r in sorted(rows, key=lambda r: r.at)}
+        rows = self.spark.read.schema("tables MAP<STRING, STRING>").json(f"{self.path}/_commits/{commits[-1]}").collect()
+        return dict(rows[0].tables)
 
     def read(self, name: str) -> DataFrame:
-        version = self._pointers().get(name)
+        version = self._versions().get(name)
         if version is None:
             return self.spark.createDataFrame([], self.TABLES[name])
         return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{version}")
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = f"{name}-{uuid.uuid4().hex}"
-        columns = [c.split()[0] for c in _split(self.TABLES[name])]
-        df.select(*columns).write.parquet(f"{self.path}/{version}")
-        at = len(self._pointers_log())
-        self.spark.createDataFrame([(name, version, at)], "name STRING, version STRING, at LONG").coalesce(1).write.mode("append").json(f"{self.path}/_current")
-
-    def _pointers_log(self) -> list:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [] if not fs.exists(p) else self.spark.read.schema("name STRING, version STRING, at LONG").json(f"{self.path}/_current").collect()
+        self.write_all({name: df})
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """New versions of several tables, which readers see all at once or not at all.  A commit is a
+        file of the next number, made by a rename that fails if the number is taken: of two writers one
+        raises, and nothing of it is seen."""
+        last = self._commits()
+        named = self._versions()
+        for name, df in tables.items():
+            named[name] = f"{name}-{uuid.uuid4().hex}"
+            df.select(*[c.split()[0] for c in _split(self.TABLES[name])]).write.parquet(f"{self.path}/{named[name]}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        number = int(last[-1].split(".")[0]) + 1 if last else 0
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        own, to = path(f"{self.path}/_pending/{uuid.uuid4().hex}"), path(f"{self.path}/_commits/{number:012d}.json")
+        out = fs.create(own, False)
+        out.write(bytearray(json.dumps({"tables": named}).encode()))
+        out.close()
+        fs.mkdirs(to.getParent())
+        if fs.exists(to) or not fs.rename(own, to):
+            fs.delete(own, False)
+            raise RuntimeError(f"another writer made commit {number}")
 
     # Nodes and edges
 
@@ -74,8 +92,24 @@ class GraphStore:
 
     def apply_delta(self, nodes: DataFrame, edges: DataFrame) -> None:
         """Nodes replace those of their id, edges are added unless they exist; edges of replaced nodes stay."""
-        self.write("nodes", upsert(self.read("nodes"), nodes.dropDuplicates(["id"]), ["id"]))
-        self.insert_edges(edges)
+        self.write_all({
+            "nodes": upsert(self.read("nodes"), nodes.dropDuplicates(["id"]), ["id"]),
+            "edges": insert(self.read("edges"), edges, self.KEYS["edges"]),
+        })
+
+    def replace_files(self, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
+        """What is known of some files, as one commit: files are rows of indexed_files; their old nodes and
+        the edges at those go, unless an end outside the files still names a node that is there again."""
+        names = files.select("repository", "file_path").distinct()
+        old = self.read("nodes")
+        kept = old.join(names, ["repository", "file_path"], "left_anti").select(*old.columns)
+        nodes = nodes.dropDuplicates(["id"])
+        own = old.join(names, ["repository", "file_path"], "left_semi").select("id").unionByName(nodes.select("id")).distinct()
+        known = self.read("edges")
+        left = known.join(own.withColumnRenamed("id", "src"), "src", "left_anti").select(*known.columns)
+        every = upsert(kept, nodes, ["id"])
+        left = left.join(every.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(*known.columns)
+        self.write_all({"nodes": every, "edges": insert(left, edges, self.KEYS["edges"]), "indexed_files": upsert(self.read("indexed_files"), files, self.KEYS["indexed_files"])})
 
     def update_metadata(self, changes: DataFrame) -> None:
         """Replaces the metadata of nodes; changes: id, metadata."""
@@ -83,26 +117,22 @@ class GraphStore:
         new = own.drop("metadata").join(changes.select("id", F.col("metadata")), "id")
         self.write("nodes", upsert(own, new, ["id"]))
 
-    def delete_nodes(self, ids: DataFrame) -> None:
-        """Nodes and every edge at them."""
+    def delete_nodes(self, ids: DataFrame, also: dict[str, DataFrame] | None = None) -> None:
+        """Nodes and every edge at them; other tables to write with them."""
         own = ids.select("id").distinct()
         edges = self.read("edges")
         left = edges.join(own.withColumnRenamed("id", "src"), "src", "left_anti").join(own.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        self.write("edges", left.select(*edges.columns))
-        self.write("nodes", self.read("nodes").join(own, "id", "left_anti"))
+        self.write_all({"edges": left.select(*edges.columns), "nodes": self.read("nodes").join(own, "id", "left_anti"), **(also or {})})
 
     def remove_file(self, path: str, repository: str = "default") -> None:
         own = (F.col("file_path") == path) & (F.coalesce("repository", F.lit("default")) == repository)
-        self.delete_nodes(self.read("nodes").where(own))
-        self.write("indexed_files", self.read("indexed_files").where(~own))
+        self.delete_nodes(self.read("nodes").where(own), {"indexed_files": self.read("indexed_files").where(~own)})
 
     def clear(self) -> None:
-        for name in ("nodes", "edges", "indexed_files"):
-            self.write(name, self.spark.createDataFrame([], self.TABLES[name]))
+        self.write_all({name: self.spark.createDataFrame([], self.TABLES[name]) for name in ("nodes", "edges", "indexed_files")})
 
     def clear_repository(self, repository: str) -> None:
-        for name in ("nodes", "edges", "indexed_files"):
-            self.write(name, self.read(name).where(F.coalesce("repository", F.lit("default")) != repository))
+        self.write_all({name: self.read(name).where(F.coalesce("repository", F.lit("default")) != repository) for name in ("nodes", "edges", "indexed_files")})
 
     def node(self, id: str) -> DataFrame:
         return self.read("nodes").where(F.col("id") == id)
@@ -124,6 +154,27 @@ class GraphStore:
     def record_files(self, files: DataFrame) -> None:
         self.write("indexed_files", upsert(self.read("indexed_files"), files, self.KEYS["indexed_files"]))
 
+    def intents_of_file(self, path: str) -> DataFrame:
+        """The intents noted for a file, newest first."""
+        return self.read("intents").where(F.col("file_path") == path).orderBy(F.desc("created_at"), F.desc("id"))
+
+    def unmodified(self, files: DataFrame) -> DataFrame:
+        """The files (repository, path, modified: timestamp) that were indexed after they were last
+        modified; they need no hash."""
+        old = self.read("indexed_files").select("repository", F.col("file_path").alias("path"), "indexed_at")
+        return files.join(old, ["repository", "path"]).where("modified <= indexed_at").select(*files.columns)
+
+    def export_json(self, path: str) -> None:
+        """Nodes and edges as one folder of JSON lines, each with the name of its table."""
+        parts = [self.read(n).select(F.lit(n).alias("table"), F.to_json(F.struct("*")).alias("row")) for n in ("nodes", "edges")]
+        parts[0].unionByName(parts[1]).write.mode("overwrite").json(path)
+
+    def import_json(self, path: str) -> None:
+        """The nodes and edges of a folder that export_json wrote, in place of the store's own."""
+        rows = self.spark.read.schema("table STRING, row STRING").json(path)
+        parsed = lambda n: rows.where(F.col("table") == n).select(F.from_json("row", self.TABLES[n]).alias("r")).select("r.*")
+        self.write_all({n: parsed(n) for n in ("nodes", "edges")})
+
     def stale(self, corpus: DataFrame) -> DataFrame:
         """repository, file_path, file_hash, status of each file of a corpus, by content hash."""
         now = corpus.select("repository", F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_hash"))

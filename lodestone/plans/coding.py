@@ -98,10 +98,7 @@ def large_files(spark, d):
 
 def stream_index(spark, d):
     """The documents, streamed into a store: as many files as there are documents."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    import uuid
-
-    own = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    own = scratch(spark)
     corpus(spark, d).write.parquet(f"{own}/corpus")
     store = GraphStore(spark, f"{own}/store")
     current_index(spark, f"{own}/corpus", store, f"{own}/checkpoint", schemas.CORPUS).awaitTermination()

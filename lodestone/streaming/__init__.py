@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestone.operators.extract import fact_tables, facts
+from lodestone.operators.graph import index
 from lodestone.operators.sequences import sessions, sliding, tumbling
 from lodestone.operators.store import GraphStore
+from lodestone.tables import written
 
 __all__ = ["current_index", "idempotent", "sessions", "sliding", "tumbling", "windowed_errors"]
 
@@ -33,16 +36,27 @@ def windowed_errors(events: DataFrame, ts: str = "ts", size: str = "1 hour", lat
 
 
 def current_index(spark: SparkSession, corpus_path: str, store: GraphStore, checkpoint: str, schema: str) -> StreamingQuery:
-    """Records new and changed files of a growing parquet corpus in a store, each batch once.
+    """Indexes new and changed files of a growing parquet corpus in a store, each batch once: their nodes
+    and edges take the place of what was known of them, in one commit with the files' hashes.
 
-    A batch only adds files whose hash the store doesn't hold, so running it again changes nothing.
+    A batch only takes files whose hash the store doesn't hold, so running it again changes nothing.
+    Imports are resolved to files of the batch and of the store.
     """
 
     def take(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("repository", "path").agg(F.max_by("content", F.sha2("content", 256)).alias("content"))
-        stale = store.stale(last).where("status <> 'unchanged'")
-        rows = stale.select("file_path", "repository", "file_hash", F.lit(0).cast("long").alias("node_count"), F.current_timestamp().alias("indexed_at"))
-        store.record_files(rows)
+        last = batch.groupBy("repository", "path").agg(F.max_by(F.struct("lang", "content"), F.sha2("content", 256)).alias("f")).select("repository", "path", "f.*")
+        stale = store.stale(last).where("status <> 'unchanged'").select("repository", F.col("file_path").alias("path"), "file_hash")
+        files = written(last.join(stale, ["repository", "path"]))
+        if not files.limit(1).count():
+            return
+        imports, declared, related = fact_tables(written(facts(files)))
+        known = store.read("indexed_files").select("repository", F.col("file_path").alias("path"))
+        nodes, edges = index(imports, declared, related, files.select("repository", "path"), known)
+        nodes, edges = written(nodes), written(edges)
+        counts = nodes.groupBy("repository", F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("node_count"))
+        rows = files.join(counts, ["repository", "path"], "left")
+        rows = rows.select(F.col("path").alias("file_path"), "repository", "file_hash", F.coalesce("node_count", F.lit(0).cast("long")).alias("node_count"), F.current_timestamp().alias("indexed_at"))
+        store.replace_files(written(rows), nodes, edges)
 
     files = spark.readStream.schema(schema).parquet(corpus_path)
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -57,8 +57,8 @@ PACK_TEXTS = {
     "python": ("from m.n import x as y\nclass A(B, object):\n    def f(self): pass\n", [("m.n", ("y",))], {("A", "class"), ("f", "function")}, {("A", "B", "extends")}),
     "go": ('import "fmt"\ntype A struct {\n\tB\n}\nfunc (a A) Run() {}\n', [("fmt", ())], {("A", "class"), ("Run", "function")}, {("A", "B", "extends")}),
     "java": ("import a.b.C;\npublic class A extends B implements D {\n  public void run() {}\n}\n", [("a.b.C", ())], {("A", "class"), ("run", "function")}, {("A", "B", "extends"), ("A", "D", "implements")}),
-    "csharp": ("using System.Text;\npublic class A : B, IC {\n  public void Run() {}\n}\n", [("System.Text", ())], {("A", "class"), ("Run", "function")}, {("A", "B", "extends"), ("A", "IC", "implements")}),
-    "vbnet": ("Imports System\nPublic Class A\n  Inherits B\n  Public Sub Run()\n", [("System", ())], {("A", "class"), ("Run", "function")}, {("A", "B", "extends")}),
+    "csharp": ("using System.Text;\nusing X = Sys.Text;\npublic class A : B, IC {\n  public void Run() {}\n}\n", [("System.Text", ()), ("Sys.Text", ("X",))], {("A", "class"), ("Run", "function")}, {("A", "B", "extends"), ("A", "IC", "implements")}),
+    "vbnet": ("Imports System\nImports X = Sys.Text\nPublic Class A\n  Inherits B\n  Public Sub Run()\n", [("System", ()), ("Sys.Text", ("X",))], {("A", "class"), ("Run", "function")}, {("A", "B", "extends")}),
     "rust": ("use std::io::{Read, Write};\nstruct A;\nimpl T for A {\n  fn run() {}\n}\n", [("std::io", ("Read", "Write"))], {("A", "class"), ("run", "function")}, {("A", "T", "implements")}),
     "sql": ("CREATE TABLE a (id INT REFERENCES b);\nCREATE INDEX i ON a (id);\n", [], {("a", "class"), ("i", "variable")}, {("a", "b", "extends")}),
     "bash": ("source ./env.sh\nmain() {\n  prepare\n}\n", [("./env.sh", ())], {("main", "function")}, {("main", "prepare", "calls")}),
@@ -77,18 +77,53 @@ def test_facts(lang):
 
 
 def test_metrics():
-    text = "function f(a, b) {\n  if (a && b) { return a ? 1 : 2; }\n  // if\n  for (;;) {}\n}\n"
+    text = "function f(a, b) {\n  if (a && b) { return a ? 1 : 2; }\n  // if (\n  for (;;) {}\n}\n"
     r = metrics.Registry()
     s = r.scores(text, "javascript", "f.js")
     assert s["cyclomatic"] == 1 + 3 + 0.5 and s["interface-surface"] == 3.0 and s["dependencies"] == 0
-    deps = metrics.dependencies("import a from 'fs';\nimport b from 'left';\nimport c from '../x/y';\n", "javascript", "f")
-    assert deps == 0.5 + 1.5 + 1 + 2 * 2
     r.register("broken", lambda *_: 1 / 0, 1.0)
     assert r.scores(text, "javascript", "f")["broken"] == 0.0
     r.unregister("broken")
     assert r.total({"cyclomatic": 10.0, "dependencies": 10.0}) == 10.0
 
 
+def test_decisions():
+    """Labels need their colon, strings and comments don't count, and other languages are read alike."""
+    score = lambda c: metrics.cyclomatic(c, "typescript", "f")
+    assert score("export default x;") == 1 and score("switch (x) { case 1: f(); default: g(); }") == 4
+    assert score("if (a) {} else if (b) {} while (c) {} do {} while (d); try {} catch (e) {}") == 6
+    assert score("s = 'if (a)'; /* while (b) */ // for (c)\n") == 1 and score("if x:\n  pass\nelif y:\n  pass\n") == 1
+    assert score("a = b || c && '&&';") == 2.0 and score("a = b ? c : d;") == 2
+
+
+def test_dependencies_and_density():
+    of = lambda c: metrics.dependencies(c, "javascript", "f")
+    assert of("import a from 'fs';\nimport b from 'left';\nimport c from '../x/y';\n") == 0.5 + 1.5 + 1 + 2 * 1
+    assert of("import '../../x';\nimport './y/z/w';\n") == 2 + 2 * 2 and of("import x from './a';") == 1 + 2
+    assert of("const a = require('os'); const b = require.resolve('left'); import('node:fs');") == 0.5 + 1.5 + 1.5
+    assert of("// import a from 'left'\n/* require('x') */") == 0
+    dense = lambda c: metrics.density(c, "javascript", "f")
+    lines = "x = 1;\n" * 98
+    assert dense("import a from 'left';\nimport b from '../../b';\n" + lines) == min(40, 2 / 100 * 100 / 20 * 40) + 12 + 15
+    assert dense("import a from 'left';") == 40 + 30 and dense(lines) == 0
+
+
+def test_loc_impact():
+    of = lambda c: metrics.loc_impact(c, "typescript", "f")
+    assert of("word\n" * 80) == 40 + 25 + 10 and of("word\n" * 81) == 40 + 25 + 10.1 + 4
+    assert of("// only\n* a\n/* comment\n\n") == 0
+    # Two functions of 3 and 5 lines, whose braces open on and after their heads; a loop's don't count.
+    text = "function a() {\n  x;\n}\nasync b(\n)\nc = (\n{\n  for (;;) { y; }\n  z;\n}\n"
+    sizes = metrics.function_sizes(text)
+    assert sizes == [3, 4] and of(text) == metrics.tenth(10 / 2 + 3.5 / 2 + 4 / 8)
+
+
+def test_columns_of_equal_matches(spark):
+    corpus = inline(spark, {"a.txt": "foo, foo foofoo\nno\nfoo"})
+    out = rules.scan(corpus, [rules.learned("p", "foo")]).collect()
+    assert sorted((r.line, r.column) for r in out) == [(1, 1), (1, 6), (1, 10), (1, 13), (3, 1)]
+
+
 def test_squeeze():
     text = "// c\nimport { a, b } from 'x';\nimport { z } from 'y';\nconst s = '// no';\nexport function f() {\n  return a;\n}\nfunction g() {\n  return b;\n}\n"
     out = rewrite.squeeze(text, "typescript")

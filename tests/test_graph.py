@@ -3,10 +3,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import clones, graph, layers, rewrite, sequences
+from lodestone.operators import clones, extract, graph, layers, rewrite, sequences
 from lodestone.operators.store import GraphStore
 from lodestone.sources import changed, directory, glob_to_regex, ignored, inline
-from lodestone.streaming import idempotent
+from lodestone.streaming import current_index, idempotent
 
 
 @pytest.fixture
@@ -55,6 +55,15 @@ def test_layers(spark):
     assert found == [("src/core/b.ts", 11), ("src/core/b.ts", 30)]
 
 
+def test_each_row_is_a_diff_of_its_own(spark):
+    one = "diff --git a/{0} b/{0}\n--- a/{0}\n+++ b/{0}\n@@ -1 +{1},2 @@\n x\n+import y from '../ui/a';\n"
+    rows = [(one.format("src/core/a.ts", 3),), (one.format("src/core/b.ts", 8),), (one.format("src/core/b.ts", 8),), ("",), (None,)]
+    out = layers.parse_diff(spark.createDataFrame(rows, "diff string").repartition(3)).collect()
+    assert sorted((r.file, r.line_no) for r in out) == [("src/core/a.ts", 4), ("src/core/b.ts", 9), ("src/core/b.ts", 9)]
+    keyed = layers.parse_diff(spark.createDataFrame([(1, rows[0][0]), (1, rows[1][0])], "id int, diff string")).collect()
+    assert sorted((r.id, r.file, r.line_no) for r in keyed) == [(1, "src/core/a.ts", 4), (1, "src/core/b.ts", 9)]
+
+
 def test_store(spark, tmp_path):
     s = GraphStore(spark, str(tmp_path / "s"))
     none = "cast(null as map<string,string>) as metadata"
@@ -85,10 +94,48 @@ def test_store(spark, tmp_path):
     assert s.stale(corpus).first().status == "new"
     s.record_files(s.stale(corpus).select("file_path", "repository", "file_hash", F.lit(1).cast("long").alias("node_count"), F.current_timestamp().alias("indexed_at")))
     assert s.stale(corpus).first().status == "unchanged"
+    assert [r.id for r in s.intents_of_file("fa").collect()] == [2] and s.intents_of_file("fb").count() == 0
+    files = spark.createDataFrame([("default", "fa", datetime.datetime(2020, 1, 1)), ("default", "fb", datetime.datetime(2020, 1, 1)), ("r1", "fa", datetime.datetime(2020, 1, 1))], "repository string, path string, modified timestamp")
+    assert [(r.repository, r.path) for r in s.unmodified(files).collect()] == [("default", "fa")]
+    s.export_json(str(tmp_path / "json"))
+    other = GraphStore(spark, str(tmp_path / "other"))
+    other.import_json(str(tmp_path / "json"))
+    assert sorted(map(str, other.read("nodes").collect())) == sorted(map(str, s.read("nodes").collect()))
     s.clear()
     assert s.read("nodes").count() == 0
 
 
+def test_commits_name_all_tables_at_once(spark, tmp_path, monkeypatch):
+    s = GraphStore(spark, str(tmp_path / "s"))
+    none = "cast(null as map<string,string>) as metadata"
+    nodes = spark.createDataFrame([("a", "r", "file", "A", "fa")], "id string, repository string, type string, label string, file_path string").selectExpr("*", none)
+    edges = spark.createDataFrame([("a", "a", "imports", "r")], "src string, dst string, type string, repository string").selectExpr("*", none)
+    s.apply_delta(nodes, edges)
+    before = s._commits()
+    assert len(before) == 1 and set(s._versions()) == {"nodes", "edges"}
+    # Whoever takes the next number first holds it; the other's tables are never seen.
+    late = GraphStore(spark, str(tmp_path / "s"))
+    monkeypatch.setattr(late, "_commits", lambda: [])
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.write_all({"nodes": nodes.limit(0)})
+    assert s._commits() == before and s.read("nodes").count() == 1
+
+
+def test_external_and_default_imports(spark):
+    corpus = inline(spark, {"src/a.ts": "import D, { e } from 'left/pad';\nimport './b';\nimport F from './gone';\n", "src/b.ts": "export class B {}\n"})
+    nodes, edges = graph.index(*extract.fact_tables(extract.facts(corpus)), corpus)
+    assert {(r.id, r.label) for r in nodes.where("type = 'file'").collect()} == {("file:src/a.ts", "a.ts"), ("file:src/b.ts", "b.ts"), ("file:left/pad", "pad"), ("file:./gone", "gone")}
+    assert {(r.src, r.dst) for r in edges.where("type = 'imports'").collect()} == {("file:src/a.ts", x) for x in ("file:left/pad", "sym:D", "file:src/b.ts", "file:./gone", "sym:F")}
+
+
+def test_calls_in_both_directions(spark):
+    edges = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("c", "d", "imports")], "src string, dst string, type string")
+    start = spark.createDataFrame([("b",)], "id string")
+    out = {(r.direction, tuple(r.path)) for r in graph.call_hierarchy(start, edges).collect()}
+    assert out == {("incoming", ("b",)), ("incoming", ("b", "a")), ("outgoing", ("b",)), ("outgoing", ("b", "c"))}
+    assert graph.call_hierarchy(start, edges, "incoming").count() == 2
+
+
 def test_refactor(spark):
     corpus = inline(spark, {"a.ts": "foo(foo1, foo)", "b.ts": "$x"})
     op = rewrite.Operation
@@ -143,6 +190,27 @@ def test_streams(spark, tmp_path):
     assert sorted(r.x for r in spark.table("once").collect()) == ["a", "b"]
 
 
+def test_streamed_files_become_nodes_and_edges(spark, tmp_path):
+    """A second batch replaces what was known of a changed file and keeps the rest."""
+    schema = "repository string, path string, lang string, content string"
+    put = lambda files, n: inline(spark, files).write.parquet(str(tmp_path / "in" / n))
+    store = GraphStore(spark, str(tmp_path / "store"))
+    run = lambda: current_index(spark, str(tmp_path / "in" / "*"), store, str(tmp_path / "checkpoint"), schema).awaitTermination()
+    put({"a.ts": "import { B } from './b';\nexport class A {}\n", "b.ts": "export class B {}\n"}, "1")
+    run()
+    counts = lambda: {r.file_path: r.node_count for r in store.read("indexed_files").collect()}
+    ids = lambda: {r.id for r in store.read("nodes").collect()}
+    assert counts() == {"a.ts": 2, "b.ts": 2} and ids() == {"file:a.ts", "file:b.ts", "sym:A@a.ts", "sym:B@b.ts"}
+    put({"b.ts": "import { A } from './a';\nexport class C {}\n"}, "2")
+    run()
+    assert ids() == {"file:a.ts", "file:b.ts", "sym:A@a.ts", "sym:C@b.ts"}
+    edges = {(r.src, r.dst, r.type) for r in store.read("edges").collect()}
+    assert edges == {("file:a.ts", "file:b.ts", "imports"), ("file:b.ts", "file:a.ts", "imports"), ("file:a.ts", "sym:A@a.ts", "defines"), ("file:b.ts", "sym:C@b.ts", "defines")}
+    n = len(store._commits())
+    run()
+    assert len(store._commits()) == n
+
+
 def test_components_of_long_cycles(spark):
     ring = [(f"n{i:02d}", f"n{(i + 1) % 9:02d}") for i in range(9)]
     more = [("n03", "x"), ("x", "y"), ("y", "z"), ("z", "y"), ("z", "w"), ("s", "s"), ("v", "n00"), ("y", "y"), (None, "q")]
