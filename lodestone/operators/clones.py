@@ -39,7 +39,12 @@ def members(df: DataFrame, key: str, text: str) -> DataFrame:
 def window_hashes(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """key, pos (from 0), h1, h2: two hashes of each run of so many words."""
     # The words are a column of their own, so that the lambda below doesn't split the text anew.
-    own = df.select(F.col(key).alias("key"), words(F.lower(F.col(text))).alias("w")).where(F.size("w") >= size)
+    return runs_of_windows(df.select(F.col(key).alias("key"), words(F.lower(F.col(text))).alias("w")), size)
+
+
+def runs_of_windows(own: DataFrame, size: int) -> DataFrame:
+    """key, pos (from 0), h1, h2: two hashes of each run of so many words of own(key, w)."""
+    own = own.where(F.size("w") >= size)
     run = lambda i: F.slice("w", i, size)
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.struct(F.xxhash64(run(i)).alias("h1"), F.hash(run(i)).alias("h2")))
     each = own.select("key", F.posexplode(runs).alias("pos", "h"))
@@ -55,17 +60,28 @@ def token_clones(df: DataFrame, key: str, text: str, size: int = TILE) -> DataFr
     """doc_a, doc_b, start_a, start_b, n_tokens: maximal common runs of at least ``size`` words of two
     distinct texts.  Windows of one text alone leave before the join; what remains meets by hash, and
     neighbouring meetings on one diagonal are one run."""
-    each = written(window_hashes(distinct_texts(df, key, text), "key", "text", size))
-    several = each.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2")
-    each = each.join(several, ["h1", "h2"], "left_semi")
-    a, b = (each.select("h1", "h2", F.col("key").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
-    met = a.join(b, ["h1", "h2"]).where("doc_a < doc_b").withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
+    return shared_runs(window_hashes(distinct_texts(df, key, text), "key", "text", size), size)
+
+
+def shared_runs(windows: DataFrame | None, size: int, met: DataFrame | None = None) -> DataFrame:
+    """doc_a, doc_b, start_a, start_b, n_tokens: maximal runs of windows(key, pos, h1, h2) that two keys
+    share, or of windows that have met already (doc_a, pos_a, doc_b, pos_b)."""
+    met = _meetings(windows) if met is None else met
+    met = met.withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
     nth = F.row_number().over(Window.partitionBy("doc_a", "doc_b", "diagonal").orderBy("pos_a"))
     runs = met.withColumn("run", F.col("pos_a") - nth).groupBy("doc_a", "doc_b", "diagonal", "run")
     out = runs.agg(F.min("pos_a").alias("start_a"), F.min("pos_b").alias("start_b"), (F.count(F.lit(1)) + (size - 1)).alias("n_tokens"))
     return out.select("doc_a", "doc_b", "start_a", "start_b", "n_tokens")
 
 
+def _meetings(windows: DataFrame) -> DataFrame:
+    each = written(windows)
+    several = each.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2")
+    each = each.join(several, ["h1", "h2"], "left_semi")
+    a, b = (each.select("h1", "h2", F.col("key").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
+    return a.join(b, ["h1", "h2"]).where("doc_a < doc_b")
+
+
 def longest(clones: DataFrame) -> DataFrame:
     """For each pair its longest run, the first of equal ones."""
     w = Window.partitionBy("doc_a", "doc_b").orderBy(F.desc("n_tokens"), "start_a", "start_b")

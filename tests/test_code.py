@@ -1,7 +1,9 @@
+import re
+
 import pytest
 
 from lodestone import api
-from lodestone.operators import code, extract, metrics, rewrite, rules
+from lodestone.operators import code, extract, metrics, programs, rewrite, rules
 from lodestone.sources import inline
 
 BAD = {
@@ -134,6 +136,83 @@ def test_squeeze():
     assert rewrite.squeeze("", "python")["reduction"] == 0.0
 
 
+def plain_tokens(text, python=False):
+    """The normalised tokens, by one character class after the other."""
+    keywords, out, i = (programs.PYTHON_KEYWORDS if python else programs.KEYWORDS), [], 0
+    while i < len(text):
+        rest = text[i:]
+        if rest.startswith("//") or python and rest[0] == "#":
+            i += len(rest.split("\n")[0])
+        elif rest.startswith("/*") and "*/" in rest[2:]:
+            i += rest.index("*/", 2) + 2
+        elif python and rest[:3] in ("\'\'\'", '"""') and rest[:3] in rest[3:]:
+            out.append("L")
+            i += rest.index(rest[:3], 3) + 3
+        elif rest[0] in "'\"`" and rest[0] in rest[1:]:
+            out.append("L")
+            i += rest.index(rest[0], 1) + 1
+        elif m := re.match(r"[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?n?", rest):
+            out.append("L")
+            i += m.end()
+        elif m := re.match(r"[A-Za-z_$][A-Za-z0-9_$]*", rest):
+            out.append(m[0] if m[0] in keywords else "I")
+            i += m.end()
+        elif m := re.match(r"[+\-*/%=<>!&|^~?:]+", rest):
+            out.append("O")
+            i += m.end()
+        else:
+            if rest[0] in "{}[]();,.":
+                out.append(rest[0])
+            i += 1
+    return out
+
+
+def test_tokens_equal_a_plain_tokenizer(spark):
+    from lodestone.plans.coding import SAMPLES, TWINS
+
+    texts = {**SAMPLES, **TWINS, "a.ts": "x = 'it' + \"/* no */\" /* a\nb */ - `t ${1}`; y=//c\n/*open 1e-5n 'q", "b.py": "s = \'\'\'# no\nx\'\'\' # yes\nreturn None", "c.js": "", "d.js": "é@\\ a"}
+    out = {r.file: r.w for r in programs.tokenised(inline(spark, texts, "r")).collect()}
+    assert out == {f"r/{p}": plain_tokens(t, p.endswith(".py")) for p, t in texts.items()}
+
+
+def test_renamed_copies_are_clones(spark):
+    from lodestone.plans.coding import TWINS
+
+    corpus = inline(spark, {**TWINS, "lib/again.ts": TWINS["lib/totals.ts"].replace("rows", "lines").replace("10", "77")}, "r")
+    assert {(r.file, r.representative) for r in programs.clone_classes(corpus).collect() if "s.ts" in r.file or "again" in r.file} == {
+        ("r/lib/again.ts", "r/lib/again.ts"), ("r/lib/totals.ts", "r/lib/again.ts"), ("r/lib/scores.ts", "r/lib/scores.ts")}
+    found = programs.code_clones(corpus)
+    (one,) = found.collect()
+    assert (one.file_a, one.start_a, one.end_a, one.file_b, one.start_b, one.end_b) == ("r/lib/again.ts", 1, 11, "r/lib/scores.ts", 1, 12)
+    a, b = plain_tokens(TWINS["lib/totals.ts"]), plain_tokens(TWINS["lib/scores.ts"])
+    shared = max(n for n in range(len(a)) if any(a[-n:] == b[j : j + n] for j in range(len(b))))
+    assert one.n_tokens == shared >= 60
+    sides = programs.clone_findings(found).collect()
+    assert {(r.file_path, r.line, r.message) for r in sides} == {("r/lib/again.ts", 1, f"Clone of r/lib/scores.ts:1-12 ({shared} tokens)"), ("r/lib/scores.ts", 1, f"Clone of r/lib/again.ts:1-11 ({shared} tokens)")}
+    part = spark.createDataFrame([(1, "if (a.b > 2 && a.c) { d += a.b * a.c; }"), (2, "nothing like it"), (3, None)], "id long, text string")
+    hits = {(r.id, r.file, r.start_line, r.end_line) for r in programs.find_fragments(part, "id", "text", corpus).collect()}
+    assert hits == {("1", "r/lib/again.ts", 6, 8), ("1", "r/lib/totals.ts", 6, 8), ("1", "r/lib/scores.ts", 7, 9)}
+
+
+def test_skeletons(spark):
+    from lodestone.plans.coding import TWINS
+
+    assert programs.skeleton_of("  let a: string = 'x' +  f(1.5, b);\n\n  return `t`") == "let $ID:$TYPE = $LIT + $FN($NUM, $ID);\nreturn $LIT"
+    text = "x;\nconst f = (a) => {\n  g();\n}\nclass A extends B {\n  run(x) {\n    y();\n  }\n}\nasync function h() {\n}\n"
+    assert [b[:4] for b in programs.blocks_of(text)] == [("f", "lambda", 2, 4), ("h", "function", 10, 11), ("h", "function", 10, 11), ("run", "method", 6, 8), ("A", "class", 5, 9)]
+    corpus = inline(spark, TWINS, "r")
+    pairs = {(r.file_a, r.label_a, r.start_a, r.file_b, r.label_b, r.start_b, r.similarity) for r in programs.structural_clones(corpus).collect()}
+    assert ("r/lib/scores.ts", "scores", 4, "r/lib/totals.ts", "totals", 3) in {p[:6] for p in pairs}
+    assert all(p[0] < p[3] and p[6] >= 0.5 for p in pairs)
+    assert programs.structural_clones(inline(spark, {"a.ts": "function f() {\n}\n", "b.ts": "function f() {\n}\n"})).count() == 0  # they say nothing
+
+
+def test_fragment_patterns(spark):
+    assert programs.fragment_pattern("const total = price * 2 + total2 * 3.5;\nreturn total;") == "const $ID_0 = $ID_1 * $NUM_0 + $ID_2 * $NUM_1;\nreturn $ID_0;"
+    df = programs.fragment_patterns(spark.createDataFrame([("a b a",), (None,)], "t string"), "t")
+    assert [r.pattern for r in df.collect()] == ["$ID_0 $ID_1 $ID_0", None]
+
+
 def test_learned_rules(spark):
     assert rules.learned("My Rule!", "/foo/i").pattern == "(?i)foo" and rules.learned("x", "(").pattern == r"\("
     one = rules.learned("My Rule", "fo+", message="saw ${value} in ${snippet}")
