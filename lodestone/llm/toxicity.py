@@ -4,20 +4,27 @@ Linear classifiers are trained in numpy from texts confirmed as toxic and from u
 which hold toxic ones too.  With the class prior p, the risk of calling a text clean is estimated as
 ``max(0, R_unlabelled - p * R_positive)``: where the difference turns negative, which a true risk
 can't, a step is taken against it.  Several classifiers, each with its own part of the unlabelled
-texts, are averaged, and their output is calibrated on labelled rows that none of them saw.
+texts, are averaged.  No text is ever learnt from as a clean one: labels give the positive texts and,
+as a bare count, the class prior.  Where the averaged classifiers find more toxic texts among the
+unlabelled than the prior allows, which little data makes them do, the bias is lowered until the mean
+of their scores is the prior.
 
 Features are the distinct words of a text and their first 4, 5 and 6 letters.  Candidates are the
 features of at least three sampled positive texts; how many texts hold them is counted over all
 documents outside the held-out fold.  Kept are those that positive texts hold more often than the
 documents by more than chance makes likely.  Whether their shares agree with the class prior is not
-asked, as the prior may be wrong.  The gradient steps and the calibration use bounded samples
-(POSITIVE, UNLABELLED, CALIBRATION rows at most, the first by a hash of their ids); counting and scoring
-read every text whole, and broadcast the candidates of the bounded sample and at most FEATURES weights.
+asked, as the prior may be wrong.  The gradient steps use bounded samples (POSITIVE and UNLABELLED rows
+at most, by a hash of their ids); counting and scoring read every text whole, and broadcast the
+candidates of the bounded sample and at most FEATURES weights.
+
+LEAST_GAIN and the way of the bias were chosen by cross-validation within the learning folds, each of
+which took its turn as the one that is scored; the held-out fold took no part.
 
 Defined cases: null and empty texts get the score of a text without features; null labels and labels
 of unknown documents count for nothing, and of conflicting labels the larger holds; rows with a null
 id are scored but never learnt from; repeated rows are scored each; without positive labels every
-score is 0; an empty table gives no rows; other columns are kept or not read.
+score is 0; an empty table gives no rows; texts and words of any length are taken whole, but a word's
+feature ends with its 40th letter; other columns are kept or not read.
 """
 
 from __future__ import annotations
@@ -31,12 +38,14 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import picked, release, table, tidied, written
 
-POSITIVE, UNLABELLED, CALIBRATION = 3000, 9000, 6000
+POSITIVE, UNLABELLED = 3000, 9000
 FEATURES, CLASSIFIERS, STEPS = 50_000, 3, 800
 #: The likelihood ratio statistic of a feature's shares must be so large.
 LEAST_GAIN = 8.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 PREFIXES = (4, 5, 6)
+#: Longer words are not remembered, so that what a task holds is bounded.
+REMEMBERED = 64
 
 
 def fold(key: Column) -> Column:
@@ -44,11 +53,6 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _calibrates(key: Column) -> Column:
-    """A tenth of the rows; all lie outside the held-out fold."""
-    return (F.crc32(key.cast("string").cast("binary")) % 20).isin(1, 9)
-
-
 def words(text: str) -> set[str]:
     import re
 
@@ -64,21 +68,19 @@ def _first(rows: DataFrame, n: int) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, float]:
-    """role (p, u or c), label, text: a bounded sample of documents outside the held-out fold; and
-    the class prior, from all labels outside it."""
+    """role (p or u), text: a bounded sample of documents outside the held-out fold; and the class prior,
+    from all labels outside it."""
     known = picked(labels, key=labels[key].cast("long"), label=labels[label].cast("int")).where("key IS NOT NULL AND label IS NOT NULL")
-    known = known.where(fold(F.col("key")) != HELD_OUT).groupBy("key").agg(F.max("label").alias("label"))
-    known = written(known.withColumn("calibrates", _calibrates(F.col("key"))))
+    known = written(known.where(fold(F.col("key")) != HELD_OUT).groupBy("key").agg(F.max("label").alias("label")))
     ids = docs.select(docs[key].cast("long").alias("key")).where("key IS NOT NULL")
-    ids = ids.where((fold(F.col("key")) != HELD_OUT) & ~_calibrates(F.col("key"))).distinct()
-    # At most POSITIVE + UNLABELLED + CALIBRATION rows, so the broadcast is bounded.
-    picks = _first(known.where("label = 1 AND NOT calibrates"), POSITIVE).select("key", F.lit("p").alias("role"), "label")
-    picks = picks.unionByName(_first(ids, UNLABELLED).select("key", F.lit("u").alias("role"), F.lit(None).cast("int").alias("label")))
-    picks = written(picks.unionByName(_first(known.where("calibrates"), CALIBRATION).select("key", F.lit("c").alias("role"), "label")))
+    ids = ids.where(fold(F.col("key")) != HELD_OUT).distinct()
+    # At most POSITIVE + UNLABELLED rows, so the broadcast is bounded.
+    picks = _first(known.where("label = 1"), POSITIVE).select("key", F.lit("p").alias("role"))
+    picks = written(picks.unionByName(_first(ids, UNLABELLED).select("key", F.lit("u").alias("role"))))
     # Of repeated ids any text will do: the longest, so that the choice is the same each time.
     own = picked(docs, key=docs[key].cast("long"), text=F.coalesce(docs[text], F.lit("")))
     found = own.join(F.broadcast(picks), "key")
-    found = found.groupBy("key", "role").agg(F.max("label").alias("label"), F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    found = found.groupBy("key", "role").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
     return written(found), float(np.clip((toxic + 1) / (n + 10), 0.005, 0.5))
 
@@ -99,7 +101,9 @@ def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tup
                 for w in words(t) if t else ():
                     fs = seen.get(w)
                     if fs is None:
-                        fs = seen[w] = tuple(at[f] for f in described(w) if f in at)
+                        fs = tuple(at[f] for f in described(w) if f in at)
+                        if len(w) <= REMEMBERED:
+                            seen[w] = fs
                     if fs:
                         found.update(fs)
                 total[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
@@ -179,39 +183,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def slope(positive: _Rows, unlabelled: _Rows, w: np.ndarray, b: float, prior: float, ridge: float) -> np.ndarray:
+    """The direction of a step, for weights and bias: the gradient of the estimated risk under the
+    logistic loss, or, where the part for clean texts is negative, against that part."""
+    zp, zu = positive.scores(w) + b, unlabelled.scores(w) + b
+    # Loss of calling x clean: log(1 + exp(z)), its slope sigmoid(z); of calling it toxic: log(1 + exp(-z)).
+    clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    up, uu = _sigmoid(zp) / positive.n, _sigmoid(zu) / unlabelled.n
+    if clean >= 0:
+        gp, gu = prior * (up - 1 / positive.n) - prior * up, uu
+    else:  # a risk below zero is an artefact of fitting: step back
+        gp, gu = prior * up, -uu
+    return np.append(positive.gradient(gp) + unlabelled.gradient(gu) + ridge * w, gp.sum() + gu.sum())
+
+
 def train(positive: _Rows, unlabelled: _Rows, prior: float, steps: int = STEPS, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk estimate under the logistic loss."""
+    """Weights and bias that minimise the non-negative risk estimate."""
     w, b = np.zeros(positive.width), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        zp, zu = positive.scores(w) + b, unlabelled.scores(w) + b
-        # Loss of calling x clean: log(1 + exp(z)), its slope sigmoid(z); of calling it toxic: log(1 + exp(-z)).
-        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up, uu = _sigmoid(zp) / positive.n, _sigmoid(zu) / unlabelled.n
-        if clean >= 0:
-            gp, gu = prior * (up - 1 / positive.n) - prior * up, uu
-        else:  # a risk below zero is an artefact of fitting: step back
-            gp, gu = prior * up, -uu
-        g = np.append(positive.gradient(gp) + unlabelled.gradient(gu) + ridge * w, gp.sum() + gu.sum())
+        g = slope(positive, unlabelled, w, b, prior, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - float(step[-1])
     return w, b
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through the labelled outputs (ridge towards 1, 0)."""
-    a, c = 1.0, 0.0
-    for _ in range(100):
-        p = _sigmoid(a * z + c)
-        r, q = y - p, p * (1 - p)
-        g = np.array([(r * z).sum() - (a - 1), r.sum() - 0.1 * c])
-        h = np.array([[(q * z * z).sum() + 1, (q * z).sum()], [(q * z).sum(), q.sum() + 0.1]])
-        step = np.linalg.solve(h, g)
-        a, c = a + float(np.clip(step[0], -1, 1)), c + float(np.clip(step[1], -1, 1))
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(a, 1e-3), c
+def excess(z: np.ndarray, prior: float) -> float:
+    """What must go off the log odds z of unlabelled texts for their mean score to be no more than the
+    prior."""
+    low, high = 0.0, 40.0
+    if not len(z) or _sigmoid(z).mean() <= prior:
+        return 0.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _sigmoid(z - middle).mean() > prior else (low, middle)
+    return high
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[dict[str, float], float]:
@@ -223,20 +230,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def featurise(batches: Iterator[pd.DataFrame]):
         for batch in batches:
             found = [sorted({at[f] for w in words(t) for f in described(w) if f in at}) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "role": batch["role"], "label": batch["label"], "found": found})
+            yield pd.DataFrame({"key": batch["key"], "role": batch["role"], "found": found})
 
-    rows = sampled.mapInPandas(tidied(featurise), "key long, role string, label int, found array<int>").toPandas().sort_values(["role", "key"])
-    sets = {r: [np.asarray(x, dtype=np.int64) for x in rows.loc[rows["role"] == r, "found"]] for r in "puc"}
-    y = rows.loc[rows["role"] == "c", "label"].to_numpy(dtype=float)
+    rows = sampled.mapInPandas(tidied(featurise), "key long, role string, found array<int>").toPandas().sort_values(["role", "key"])
+    sets = {r: [np.asarray(x, dtype=np.int64) for x in rows.loc[rows["role"] == r, "found"]] for r in "pu"}
     if not names or not sets["p"] or not sets["u"]:
         return {}, float("-inf")
     positive, total, bias = _Rows(sets["p"], len(names)), np.zeros(len(names)), 0.0
     for i in range(CLASSIFIERS):
         w, b = train(positive, _Rows(sets["u"][i::CLASSIFIERS] or sets["u"], len(names)), prior)
         total, bias = total + w / CLASSIFIERS, bias + b / CLASSIFIERS
-    if len(y):
-        a, c = calibrated(_Rows(sets["c"], len(names)).scores(total) + bias, y)
-        total, bias = a * total, a * bias + c
+    bias -= excess(_Rows(sets["u"], len(names)).scores(total) + bias, prior)
     return {f: float(x) for f, x in zip(names, total)}, bias
 
 
@@ -256,7 +260,9 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "
                 for w in words(t) if t else ():
                     fs = seen.get(w)
                     if fs is None:
-                        fs = seen[w] = tuple(f for f in described(w) if f in own)
+                        fs = tuple(f for f in described(w) if f in own)
+                        if len(w) <= REMEMBERED:
+                            seen[w] = fs
                     if fs:
                         found.update(fs)
                 z = bias + math.fsum(own[f] for f in found)

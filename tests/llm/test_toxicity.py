@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -52,6 +54,81 @@ def test_risk_correction():
     assert w[0] > 2 and abs(w[1:]).max() < w[0] / 2 and b < 0
 
 
+def plain_risk(positive, unlabelled, w, b, prior):
+    """(risk of calling positives toxic, risk of calling texts clean), text by text."""
+    z = lambda row: b + sum(w[i] for i in row)
+    mean = lambda rows, loss: sum(loss(z(r)) for r in rows) / len(rows)
+    toxic, clean = lambda x: math.log1p(math.exp(-x)), lambda x: math.log1p(math.exp(x))
+    return prior * mean(positive, toxic), mean(unlabelled, clean) - prior * mean(positive, clean)
+
+
+def test_steps_follow_the_risk():
+    rng = np.random.default_rng(3)
+    rows = lambda n: [np.flatnonzero(rng.random(5) < 0.5) for _ in range(n)]
+    p, u, w, b, prior = rows(9), rows(30), rng.normal(size=5), 0.3, 0.2
+    for scale, first in ((1, True), (1, False)):
+        # With texts that look cleaner than the positives' share allows, the clean risk is negative.
+        b = 0.3 if first else -3.0
+        prior = 0.2 if first else 0.9
+        w = w if first else np.abs(w) * 3
+        un = u if first else [np.zeros(0, dtype=int)] * 30
+        risk = lambda w, b, un=un, prior=prior: plain_risk(p, un, w, b, prior)
+        assert (risk(w, b)[1] >= 0) == first
+        value = (lambda w, b: sum(risk(w, b))) if first else (lambda w, b: -risk(w, b)[1])
+        h = 1e-6
+        want = [(value(w + h * e, b) - value(w - h * e, b)) / (2 * h) for e in np.eye(5)] + [(value(w, b + h) - value(w, b - h)) / (2 * h)]
+        got = t.slope(t._Rows(p, 5), t._Rows(un, 5), w, b, prior, 0.0)
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_vocabulary_and_scores_equal_a_plain_version(spark):
+    rows, labels = corpus(500)
+    rows += [(9000, "vile " + "y" * 300_000), (9001, None)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learn = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    positive = {i for i, y in labels if y == 1 and i in learn}
+    features = lambda x: {f for w in re.findall(r"\w+", (x or "").lower()) for f in [w[:40] + "$", *[w[:n] for n in (4, 5, 6) if len(w) > n]]}
+    p, u = ({}, {})
+    for i, x in rows:
+        for f in features(x) if i in learn else ():
+            u[f] = u.get(f, 0) + 1
+            p[f] = p.get(f, 0) + (i in positive)
+    n, m = len(positive), len(learn)
+
+    def gain(f):
+        if p[f] * m < u[f] * n:
+            return -1
+        part = lambda x, k: x * math.log(x * (n + m) / ((p[f] + u[f]) * k))
+        return 2 * (part(p[f], n) + part(u[f], m))
+
+    want = sorted(f for f in p if p[f] >= 3 and gain(f) >= t.LEAST_GAIN)
+    sampled, prior = t.sample(docs, known, "doc_id", "text", "toxic")
+    assert sorted(t.vocabulary(sampled, docs, "doc_id", "text")) == want
+    of = [y for i, y in labels if i in learn]
+    assert abs(prior - (sum(of) + 1) / (len(of) + 10)) < 1e-12
+    weights, bias = t.fit(docs, known)
+    assert set(weights) == set(want)
+    for r in t.score(docs, weights, bias).collect():
+        z = bias + sum(weights.get(f, 0) for f in features(r.text))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_bias_is_lowered_to_the_prior():
+    z = np.random.default_rng(1).normal(size=500)
+    off = t.excess(z, 0.1)
+    assert abs((1 / (1 + np.exp(off - z))).mean() - 0.1) < 1e-9 and t.excess(z - 5, 0.1) == 0 == t.excess(z[:0], 0.1)
+
+
+def test_clean_labels_are_never_learnt_from(spark):
+    """Which documents are labelled clean does not matter, only how many."""
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    outside = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2 and i % 7]
+    toxic = [(i, 1) for i, y in labels if y]
+    one, two = (t.fit(docs, spark.createDataFrame(toxic + [(i, 0) for i in own], "doc_id long, toxic int")) for own in (outside[:60], outside[-60:]))
+    assert one == two
+
+
 def test_without_positives_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
