@@ -14,6 +14,8 @@ from lodestone.tables import written
 
 # Fixed values of the signature scheme: functions, prime, bands, least similarity, shingle size.
 FUNCTIONS, PRIME, BANDS, LEAST, SHINGLE, TILE = 128, 2147483647, 16, 0.5, 5, 30
+#: Rows of one value that meet in one task.
+HOT = 1024
 COEFFICIENTS = [((i * 2654435761 + 97) % (PRIME - 1) + 1, (i * 40503 * 65537 + 11) % PRIME) for i in range(1, FUNCTIONS + 1)]
 
 
@@ -44,7 +46,8 @@ def window_hashes(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 def runs_of_windows(own: DataFrame, size: int) -> DataFrame:
     """key, pos (from 0), h1, h2: two hashes of each run of so many words of own(key, w)."""
-    own = own.where(F.size("w") >= size)
+    # Each word is hashed once, not once for every run that it is in.
+    own = own.where(F.size("w") >= size).select("key", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     run = lambda i: F.slice("w", i, size)
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: F.struct(F.xxhash64(run(i)).alias("h1"), F.hash(run(i)).alias("h2")))
     each = own.select("key", F.posexplode(runs).alias("pos", "h"))
@@ -78,8 +81,19 @@ def _meetings(windows: DataFrame) -> DataFrame:
     each = written(windows)
     several = each.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2")
     each = each.join(several, ["h1", "h2"], "left_semi")
-    a, b = (each.select("h1", "h2", F.col("key").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
-    return a.join(b, ["h1", "h2"]).where("doc_a < doc_b")
+    return met_by(each, ["h1", "h2"], "key", "pos")
+
+
+def met_by(each: DataFrame, on: list[str], key: str, *more: str) -> DataFrame:
+    """doc_a, doc_b and the other columns of both: the pairs of different keys, smaller first, that agree
+    in ``on``.  Where over HOT rows agree, one side is dealt into parts and the other copied to each, so
+    that no group's pairs are one task's."""
+    hot = written(each.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).withColumn("parts", F.ceil(F.col("n") / HOT).cast("int")).drop("n"))
+    dealt = each.join(hot, on, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    side = lambda df, x: df.select(*on, "part", F.col(key).alias(f"doc_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+    a = side(dealt.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")), "a")
+    b = side(dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
+    return a.join(b, [*on, "part"]).where("doc_a < doc_b").drop(*on, "part")
 
 
 def longest(clones: DataFrame) -> DataFrame:
@@ -141,8 +155,7 @@ def lsh_pairs(signed: DataFrame, least: float = LEAST) -> DataFrame:
     each = signed.select("key", F.explode(bands).alias("b")).select("key", "b.band", "b.value")
     several = each.groupBy("band", "value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "value")
     each = each.join(several, ["band", "value"], "left_semi")
-    a, b = (each.select("band", "value", F.col("key").alias(f"doc_{x}")) for x in "ab")
-    pairs = a.join(b, ["band", "value"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    pairs = met_by(each, ["band", "value"], "key").select("doc_a", "doc_b").distinct()
     side = lambda x: signed.select(F.col("key").alias(f"doc_{x}"), F.col("signature").alias(f"s_{x}"))
     out = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").select("doc_a", "doc_b", similarity(F.col("s_a"), F.col("s_b")).alias("similarity"))
     return out.where(F.col("similarity") >= least)
@@ -156,9 +169,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def contained(fragments: DataFrame, fkey: str, ftext: str, docs: DataFrame, key: str, text: str, size: int = 13) -> DataFrame:
     """fragment, doc, n_shared: how many distinct windows of a fragment a text holds."""
-    mine = window_hashes(fragments, fkey, ftext, size).select(F.col("key").alias("fragment"), "h1", "h2").distinct()
+    mine = written(window_hashes(fragments, fkey, ftext, size).select(F.col("key").alias("fragment"), "h1", "h2").distinct())
+    # Of the texts only windows that a fragment has go on, each once.
     theirs = window_hashes(docs, key, text, size).select(F.col("key").alias("doc"), "h1", "h2")
-    return mine.join(theirs, ["h1", "h2"]).distinct().groupBy("fragment", "doc").agg(F.count(F.lit(1)).alias("n_shared"))
+    theirs = theirs.join(mine.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
+    return mine.join(theirs, ["h1", "h2"]).groupBy("fragment", "doc").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 _SYMBOLS = r"[{}\[\]()<>;,:!?=+\-*/%&|^~]+"  # fixed: the runs that confidence compares
@@ -199,6 +214,39 @@ def plan_risk(items: DataFrame, matches: DataFrame, item: str = "item_id", score
     return out.withColumn("risk", risk)
 
 
+def suggested_action(risk: Column) -> Column:
+    return F.when(risk == "high", "reuse_existing").when(risk == "medium", "refactor_plan").otherwise("proceed")
+
+
+def blocking_matches(matches: DataFrame, item: str, match: str, score: str = "confidence", most: int = 3) -> DataFrame:
+    """item, rank, match, score: the best few matches of each item, ties by name."""
+    rank = F.row_number().over(Window.partitionBy(item).orderBy(F.desc(score), match)).cast("long")
+    return matches.select(item, match, score).withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def step_queries(steps: DataFrame, item: str = "step") -> DataFrame:
+    """item, query: what to look for a plan's step by - its key terms, the functions it makes, its action."""
+    own = F.concat(F.coalesce("key_terms", F.array().cast("array<string>")), F.coalesce("functions_to_create", F.array().cast("array<string>")), F.array("action"))
+    return steps.select(item, F.array_join(F.filter(own, lambda x: x != ""), " ").alias("query"))
+
+
+def analyse_plan(steps: DataFrame, corpus: DataFrame, item: str = "step", least: float = 0.3, most: int = 5) -> DataFrame:
+    """item, query, n_high, n_middle, best, risk, action, matches (the best three files with their scores).
+
+    A file answers a step by the share of the query's distinct words that it has; at least ``least`` of
+    them, and of each step its ``most`` best files count."""
+    asked = written(step_queries(steps, item))
+    terms = asked.select(item, F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(query), '[a-z_][a-z0-9_]*', 0)"))).alias("term"))
+    n = terms.groupBy(item).agg(F.count(F.lit(1)).alias("n_terms"))
+    files = corpus.select(F.concat_ws("/", "repository", "path").alias("file"), F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(content), '[a-z_][a-z0-9_]*', 0)"))).alias("term"))
+    hits = files.join(terms, "term").groupBy(item, "file").agg(F.count(F.lit(1)).alias("n"))
+    scored = hits.join(n, item).select(item, "file", half_up(F.col("n") / F.col("n_terms"), 2).alias("confidence")).where(F.col("confidence") >= least)
+    scored = written(blocking_matches(scored, item, "file", most=most).drop("rank"))
+    best = blocking_matches(scored, item, "file").groupBy(item).agg(F.array_sort(F.collect_list(F.struct("rank", "file", "confidence"))).alias("matches"))
+    out = asked.join(plan_risk(asked, scored, item), item).join(best, item, "left").withColumn("action", suggested_action(F.col("risk")))
+    return out.select(item, "query", "n_high", "n_middle", "best", "risk", "action", "matches")
+
+
 def overall_risk(risks: DataFrame) -> DataFrame:
     n, high, middle = F.count(F.lit(1)), F.count_if(F.col("risk") == "high"), F.count_if(F.col("risk") == "medium")
     out = risks.agg(n.alias("n_steps"), high.alias("n_high"), middle.alias("n_medium"))

@@ -62,5 +62,22 @@ def markdown(findings: DataFrame) -> DataFrame:
     return parts.agg(F.expr("listagg(t, '\\n\\n') WITHIN GROUP (ORDER BY o)").alias("report"))
 
 
+def markdown_findings(findings: DataFrame) -> DataFrame:
+    """severity_rank, file_path, line, text: an entry of a report for each of findings as scan gives them,
+    to be read in the order of the first three.  Entries stay rows: a report of all of them has no bound."""
+    place = F.when(F.coalesce("file_path", F.lit("")) != "", F.concat(F.lit("`"), F.col("file_path"), F.lit(":"), F.col("line"), F.lit("`"))).otherwise(F.concat(F.lit("line "), F.col("line")))
+    head = F.concat(F.lit("- **`["), F.upper("severity"), F.lit("]`** "), place, F.lit(" \u2014 "), F.col("message"))
+    snippet = F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit("\n  ```\n  "), F.replace(F.col("snippet"), F.lit("`"), F.lit("\\`")), F.lit("\n  ```"))).otherwise("")
+    return findings.select(severity_rank(F.col("severity")).alias("severity_rank"), "file_path", "line", F.concat(head, snippet).alias("text"))
+
+
+def write_markdown(findings: DataFrame, counts: DataFrame, path: str) -> None:
+    """A report as text files that, read in the order of their names, are one document: totals, then all
+    findings, worst first."""
+    total = markdown(counts).select(F.lit(-1).alias("severity_rank"), F.lit("").alias("file_path"), F.lit(0).cast("long").alias("line"), F.concat("report", F.lit("\n\n## Findings\n")).alias("text"))
+    entries = total.unionByName(markdown_findings(findings).withColumns({"severity_rank": F.col("severity_rank").cast("int"), "line": F.col("line").cast("long")}))
+    entries.orderBy("severity_rank", "file_path", "line", "text").select("text").write.text(path)
+
+
 def as_json(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*findings.columns)).alias("json"))

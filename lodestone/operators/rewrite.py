@@ -73,6 +73,12 @@ _IMPORT = {
 }
 _IMPORT["javascript"] = _IMPORT["typescript"]
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
+# Words that are no use of an imported name, whatever the language.
+NO_NAMES = frozenset(
+    "const let var function class return if else for while do switch case break continue new this super typeof instanceof void delete try catch finally throw "
+    "async await yield export import from of in as true false null undefined def pass elif except raise with lambda nonlocal global print range len int str "
+    "float list dict set tuple bool None True False and or not is assert self cls".split()
+)
 
 
 def import_names(statement: str) -> list[str]:
@@ -90,17 +96,31 @@ def import_names(statement: str) -> list[str]:
     return []
 
 
+def whole_import(statement: str, lang: str) -> str | None:
+    """The import of the whole module that stands for a statement, or null if it goes."""
+    if lang == "python":
+        if m := re.search(r"from\s+(\S+)\s+import\s+", statement) or re.search(r"import\s+(\w+),", statement):
+            return f"import {m[1]}"
+        return statement
+    if m := re.search(r"import\s+\{[\s\S]*?\}\s+from\s+(['\"])(.+?)\1", statement):
+        name = re.sub(r"[^A-Za-z0-9_$]", "_", m[2])
+        return f"import * as {'_' if name[:1].isdigit() else ''}{name} from '{m[2]}';"
+    return statement if re.search(r"import\s+\w+\s+from\s+(['\"])(.+?)\1", statement) else None
+
+
 def shrink_imports(code: str, lang: str, strategy: str) -> tuple[str, int]:
-    """Conservative keeps all; balanced drops those whose names occur nowhere else; aggressive puts
-    one line with the number of imports in their place."""
+    """Conservative keeps all; balanced drops those whose names occur nowhere else; aggressive makes of
+    each an import of the whole module, where a rule says how, and drops or keeps the rest."""
     pattern = _IMPORT.get(lang)
     if strategy == "conservative" or pattern is None:
         return code, 0
     found = list(pattern.finditer(code))
     if strategy == "aggressive":
-        return (pattern.sub("", code) if not found else code[: found[0].start()] + f"[{len(found)} imports]" + pattern.sub("", code[found[0].end() :])), len(found)
+        whole = [whole_import(m[0], lang) for m in found]
+        made = iter(whole)
+        return pattern.sub(lambda m: next(made) or "", code), whole.count(None)
     body = pattern.sub("", code)
-    used, n = set(_WORD.findall(body)), 0
+    used, n = set(_WORD.findall(body)) - NO_NAMES, 0
 
     def keep(m: re.Match) -> str:
         nonlocal n

@@ -1,9 +1,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import api
-from lodestone.operators import code, extract, metrics, programs, rewrite, rules
+from lodestone.operators import code, extract, findings, metrics, programs, rewrite, rules
 from lodestone.sources import inline
 
 BAD = {
@@ -35,18 +36,18 @@ CLEAN = {
 }
 
 
-def found(lang, text):
+def matches(lang, text):
     return [f for r in (code.CODE_RULES, code.DESIGN_RULES) for f in code.findings("f", lang, text, r)]
 
 
 @pytest.mark.parametrize("rule", BAD)
 def test_violations(rule):
-    assert rule in {f[0] for f in found(*BAD[rule])}
+    assert rule in {f[0] for f in matches(*BAD[rule])}
 
 
 @pytest.mark.parametrize("lang", CLEAN)
 def test_clean_texts(lang):
-    assert found(lang, CLEAN[lang]) == []
+    assert matches(lang, CLEAN[lang]) == []
 
 
 def test_lines_and_columns_are_exact():
@@ -213,6 +214,28 @@ def test_fragment_patterns(spark):
     assert [r.pattern for r in df.collect()] == ["$ID_0 $ID_1 $ID_0", None]
 
 
+def test_imports_of_whole_modules():
+    text = "import { a, b } from './x-y';\nimport {\n  c,\n} from '9z';\nimport D from 'd';\nimport 'e';\nimport * as f from 'f';\ncall();\n"
+    out, n = rewrite.shrink_imports(text, "typescript", "aggressive")
+    assert out.split() == "import * as __x_y from './x-y'; import * as _9z from '9z'; import D from 'd'; call();".split() and n == 2
+    out, n = rewrite.shrink_imports("from a.b import c, d\nimport e, f\nimport g\nx()\n", "python", "aggressive")
+    assert out == "import a.b\nimport e\nimport g\nx()\n" and n == 0
+    # A word of the language is no use of a name.
+    assert rewrite.shrink_imports("import { list } from 'x';\nlist;\n", "typescript", "balanced")[1] == 1
+
+
+def test_report_entries(spark, tmp_path):
+    corpus = inline(spark, {"b.js": "x = eval('a');", "a.ts": "let a: any = 1;"}, "r")
+    found = api.scan_patterns(corpus)
+    rows = [r.text for r in findings.markdown_findings(found).orderBy("severity_rank", "file_path", "line").collect()]
+    assert rows[0].startswith("- **`[") and any("`b.js:1`" in r and "eval" in r for r in rows)
+    assert rows.index(next(r for r in rows if "eval" in r)) < rows.index(next(r for r in rows if "any" in r))
+    counts = found.select("severity", "category").withColumn("n", F.lit(1).cast("long"))
+    findings.write_markdown(found, counts, str(tmp_path / "report"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert whole.startswith("# Findings: ") and whole.index("## By severity") < whole.index("## Findings") < whole.index("eval")
+
+
 def test_learned_rules(spark):
     assert rules.learned("My Rule!", "/foo/i").pattern == "(?i)foo" and rules.learned("x", "(").pattern == r"\("
     one = rules.learned("My Rule", "fo+", message="saw ${value} in ${snippet}")

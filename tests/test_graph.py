@@ -225,3 +225,23 @@ def test_members_name_each_documents_representative(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, None), (5, "a")], "doc_id long, text string")
     got = {r.key: r.representative for r in clones.members(df, "doc_id", "text").collect()}
     assert got == {1: 1, 3: 1, 5: 1, 2: 2, 4: None}
+
+
+def test_hot_groups_meet_in_parts(spark, monkeypatch):
+    """A group far over the limit gives the same pairs, in several parts."""
+    monkeypatch.setattr(clones, "HOT", 4)
+    each = spark.createDataFrame([(1, i, 10 * i) for i in range(30)] + [(2, 5, 1), (2, 6, 2), (3, 7, 3)], "g long, key long, pos long")
+    out = clones.met_by(each, ["g"], "key", "pos").collect()
+    want = {(a, b, 10 * a, 10 * b) for a in range(30) for b in range(a + 1, 30)} | {(5, 6, 1, 2)}
+    assert {(r.doc_a, r.doc_b, r.pos_a, r.pos_b) for r in out} == want and len(out) == len(want)
+
+
+def test_plans_are_held_against_a_corpus(spark):
+    corpus = inline(spark, {"a.ts": "function loadRows(table) { read(table); }", "b.ts": "function loadRows() {}", "c.ts": "unrelated words"}, "r")
+    steps = [(1, ["table"], ["loadRows"], "read"), (2, None, ["saveRows"], "write"), (3, ["table", "x", "y"], ["loadRows"], "unrelated")]
+    df = spark.createDataFrame(steps, "step long, key_terms array<string>, functions_to_create array<string>, action string")
+    out = {r.step: r for r in clones.analyse_plan(df, corpus).collect()}
+    assert out[1].query == "table loadRows read" and out[1].risk == "high" and out[1].action == "reuse_existing"
+    assert [(m.file, m.confidence) for m in out[1].matches] == [("r/a.ts", 1.0), ("r/b.ts", 0.33)]
+    assert (out[2].risk, out[2].action, out[2].matches) == ("none", "proceed", None)
+    assert [(m.file, m.confidence) for m in out[3].matches] == [("r/a.ts", 0.4)] and out[3].risk == "none"
