@@ -8,11 +8,15 @@ dominates, takes the one with least waste as often as the counts allow, and back
 waste so far still permits fewer sequences than the incumbent, which a best-fit solution gives
 first.  It ends when the incumbent meets the lower bound or after a fixed number of nodes.
 
+Every row says how many sequences there are and how many any packing needs at least, so that a search
+which ended early can be told from one that met its bound.
+
 Pieces then find their places by their rank among the pieces of their length.  Ranks are counted
-within 256 groups a length, so that a length which a third of all pieces share is not one task's.
+within groups of a length, the more of them the more pieces there are, so that a length which a third
+of all pieces share is not one task's.
 
-Defined cases: null texts count as empty and give one piece, the end id; repeated rows are packed
-each; an empty table gives no rows; other input columns are not read.
+Defined cases: null texts count as empty and give one piece, the end id; long texts are tokenised whole;
+repeated rows are packed each; an empty table gives no rows; other input columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
-GROUPS = 256
+#: Groups of a length at least, and pieces for each group of larger inputs.
+GROUPS, PER_GROUP = 256, 1 << 16
 #: Bounds of the search: fillings tried for one bin, alternatives kept for it, nodes in all.
 FILLINGS, ALTERNATIVES, NODES = 400, 4, 20_000
 
@@ -260,17 +265,19 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 
 
 def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
-    """items, which must be readable again as they are (a written table), with sequence_id and
-    offset.  Ranks among equal lengths follow order, then nothing: equal rows are interchangeable."""
-    group = F.pmod(F.xxhash64(*[F.col(c) for c in order or items.columns]), F.lit(GROUPS))
+    """items, which must be readable again as they are (a written table), with sequence_id, offset,
+    n_sequences and least_sequences.  Ranks among equal lengths follow order, then nothing: equal rows
+    are interchangeable."""
+    group = F.pmod(F.xxhash64(*[F.col(c) for c in order or items.columns]), F.lit(max(GROUPS, -(-items.count() // PER_GROUP))))
     own = items.withColumn("__group", group)
     counted = own.groupBy(length, "__group").agg(F.count(F.lit(1)).alias("__n"))
-    # At most capacity lengths of GROUPS groups: half a million rows whatever the data's size.
+    # A row for each group of each length: they are joined to the pieces, never sent to all.
     counted = written(counted)
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in counted.groupBy(length).agg(F.sum("__n")).collect():
         counts[size] = n
-    where = places(plan(counts, capacity))
+    found, least = plan(counts, capacity), lower_bound(counts, capacity)
+    where, used = places(found), sum(n for _, n in found)
     before = F.sum("__n").over(Window.partitionBy(length).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1))
     starts = counted.select(length, "__group", F.coalesce(before, F.lit(0)).alias("__start"))
     rank = F.row_number().over(Window.partitionBy(length, "__group").orderBy(*(order or items.columns)))
@@ -289,14 +296,16 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, ord
             nth = r - keys[1][at]
             batch["sequence_id"] = rest["sequence"][at] + nth // rest["each"][at]
             batch["offset"] = rest["offset"][at] + nth % rest["each"][at] * size
+            batch["n_sequences"], batch["least_sequences"] = used, least
             yield batch
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return ranked.mapInPandas(tidied(put), f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInPandas(tidied(put), f"{kinds}, sequence_id long, offset long, n_sequences long, least_sequences long")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
-    """key, piece, start, length, ids_crc32, ids if asked for, sequence_id, offset."""
+    """key, piece, start, length, ids_crc32, ids if asked for, sequence_id, offset, n_sequences,
+    least_sequences."""
     cut = written(pieces(docs, key, text, capacity, with_ids, vocabulary, ranks))
     return pack(cut, "length", capacity, ("key", "piece", "ids_crc32", "start")).withColumnRenamed("key", key)
 

@@ -37,9 +37,9 @@ def test_plan_is_optimal_on_small_cases(items):
 
 
 def test_search_beats_the_incumbent():
-    items = [6, 5, 5, 4, 4, 3, 3]  # best fit into 10 leaves a piece over; two more tries fit all in 3
-    counts = np.bincount(items, minlength=11)
-    assert sum(n for _, n in p.plan(counts, 10)) == 3
+    for items, fit, best in (([6, 5, 5, 4, 4, 3, 3], 3, 3), ([6, 5, 3, 2, 2, 2], 3, 2)):
+        counts = np.bincount(items, minlength=11)
+        assert (sum(n for _, n in p.best_fit(counts, 10)), sum(n for _, n in p.plan(counts, 10))) == (fit, best)
 
 
 def test_domination():
@@ -81,6 +81,36 @@ def test_places_are_gapless_and_hold_the_ids(spark):
         assert at <= 64
     total = sum(r.length for r in out)
     assert len(by) == -(-total // 64)
+    assert {(r.n_sequences, r.least_sequences) for r in out} == {(len(by), len(by))}
+
+
+def test_a_search_that_ends_early_says_so(spark, monkeypatch):
+    """Pieces of 6, 5, 3, 2, 2, 2 into 10: best fit puts 6 and 3 together, and needs a third sequence."""
+    items = spark.createDataFrame([(i, n) for i, n in enumerate([6, 5, 3, 2, 2, 2])], "key long, length long")
+    assert {(r.n_sequences, r.least_sequences) for r in p.pack(items, capacity=10, order=("key",)).collect()} == {(2, 2)}
+    full = p.plan
+    monkeypatch.setattr(p, "plan", lambda counts, capacity: full(counts, capacity, 0))
+    assert {(r.n_sequences, r.least_sequences) for r in p.pack(items, capacity=10, order=("key",)).collect()} == {(3, 2)}
+
+
+def test_more_groups_for_more_pieces(spark, monkeypatch):
+    monkeypatch.setattr(p, "GROUPS", 1)
+    monkeypatch.setattr(p, "PER_GROUP", 7)
+    items = spark.createDataFrame([(i, 1 + (i % 3 > 0) * 4) for i in range(200)], "key long, length long")
+    out = p.pack(items, capacity=10, order=("key",)).collect()
+    spots = Counter()
+    for r in out:
+        for at in range(r.offset, r.offset + r.length):
+            spots[r.sequence_id, at] += 1
+    assert len(out) == 200 and set(spots.values()) == {1} and len({s for s, _ in spots}) == -(-sum(r.length for r in out) // 10)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=80))
+def test_ids_are_those_of_the_named_library(text):
+    global slow
+    slow = globals().get("slow") or __import__("tokenizers").Tokenizer.from_file(p._file(p.VOCABULARY))
+    assert p.encoder()(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
 def test_empty(spark):

@@ -39,6 +39,19 @@ def test_stages_keep_the_columns(spark, sf):
     assert not any(re.search(packing.SPECIAL, r.text or "") for r in docs.collect())
 
 
+def test_copies_of_clashing_rows(spark, sf):
+    """Two texts under one id, repeated rows, and columns with names that are used inside."""
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text, 0, "a"), (1, other, 0, "b"), (2, text + " end", 1, "c"), (3, other, 1, "d"), (1, text, 0, "a"), (None, text, 2, "e"), (None, text, 2, "e"), (4, None, 3, "f"), (5, "", 3, "g"), (4, None, 3, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, key string")
+    out = c.without_copies(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[1], rows[5], rows[6], rows[7], rows[8]], key=str)
+    rated = c.without_toxic(spark, docs.withColumn("Score_", docs["score"]), sf)
+    assert rated.columns == [*docs.columns, "Score_"] and rated.count() == len(rows)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
