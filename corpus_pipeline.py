@@ -5,13 +5,14 @@ all but the last return the columns of documents.  Between stages the documents
 again, so that each stage's input is a table and a lost executor costs no more than one stage.
 
 Defined cases: documents with null or empty texts pass every stage (they are not toxic, copies of
-nothing, and pack as their end id); rows with a null id are kept; of repeated rows with one id one is
-kept; an empty table gives no rows.
+nothing, and pack as their end id); rows with a null id are kept; of repeated rows with one id and text
+one is kept, while different texts of one id are documents of their own; columns of any name beside those
+of documents are kept up to the packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table, written
@@ -23,17 +24,26 @@ from lodestone.llm.toxicity import THRESHOLD, toxicity
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifiers, trained on these documents and the labels, don't reject."""
-    rated = toxicity(docs, table(spark, sf_dir, "labels"), name="__score")
-    return rated.where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    rated = toxicity(docs, table(spark, sf_dir, "labels"), name=name)
+    return rated.where(F.col(name) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id."""
-    found = ngram_jaccard(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = known.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    """Of each class of near copies the document with the smallest id.
+
+    Documents are told apart by a hash of id and text.  Everything is grouped with partial aggregation,
+    so that an id or a text which a third of all rows share is not one task's.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), F.col("text").alias("text"), F.struct(*columns).alias("row"))
+    known = keyed.where("id IS NOT NULL")
+    found = ngram_jaccard(known, key="key").select("key", F.col("component_id").alias("class")).distinct()
+    least = known.select("key", "id").distinct().join(found, "key").groupBy("class").agg(F.min(F.struct("id", "key")).alias("least"))
+    kept = known.join(least.select(F.col("least.key").alias("key")), "key", "left_semi")
+    one = kept.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
