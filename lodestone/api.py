@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import lines
-from lodestone.operators import clones, code, extract, findings, graph, layers, metrics, rewrite, routing, rules, sequences, store
+from lodestone.operators import clones, code, extract, findings, graph, layers, metrics, programs, rewrite, routing, rules, sequences, store
 from lodestone.sources import inline
+from lodestone.tables import written
 
 CATALOGUE: list[rules.Rule] = list(rules.TEXT_RULES)
 
@@ -25,15 +26,18 @@ check_layers, check_layers_of_diff = layers.check_files, layers.check_diff
 
 
 def index_codebase(spark: SparkSession, corpus: DataFrame, path: str, repository: str = "default") -> dict[str, int]:
-    """Indexes a repository into the store at a path, in place of what it held; returns counts."""
+    """Indexes a repository into the store at a path, in place of what it held, as one commit; returns
+    counts."""
     own = store.GraphStore(spark, path)
-    own.clear_repository(repository)
-    nodes, edges = graph.index(*extract.fact_tables(extract.facts(corpus)), corpus)
-    own.insert_nodes(nodes)
-    own.insert_edges(graph.valid_edges(own.read("nodes"), edges))
+    nodes, edges = graph.index(*extract.fact_tables(written(extract.facts(corpus))), corpus)
+    nodes, edges = written(nodes), written(edges)
     count = nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("node_count"))
     files = corpus.select(F.col("path").alias("file_path"), "repository", F.sha2("content", 256).alias("file_hash")).join(count, "file_path", "left")
-    own.record_files(files.select("file_path", "repository", "file_hash", F.coalesce("node_count", F.lit(0)).alias("node_count"), F.current_timestamp().alias("indexed_at")))
+    files = files.select("file_path", "repository", "file_hash", F.coalesce("node_count", F.lit(0)).alias("node_count"), F.current_timestamp().alias("indexed_at"))
+    kept = {n: own.read(n).where(F.coalesce("repository", F.lit("default")) != repository) for n in ("nodes", "edges", "indexed_files")}
+    every = written(store.insert(kept["nodes"], nodes, own.KEYS["nodes"]))
+    linked = store.insert(kept["edges"], graph.valid_edges(every, edges), own.KEYS["edges"])
+    own.write_all({"nodes": every, "edges": linked, "indexed_files": store.upsert(kept["indexed_files"], files, own.KEYS["indexed_files"])})
     return {name: own.read(name).count() for name in ("nodes", "edges", "indexed_files")}
 
 
@@ -66,8 +70,9 @@ def symbol_insights(corpus: DataFrame, symbol: str) -> DataFrame:
     return found.unionByName(doc_mentions(corpus, symbol).select("repository", "path", "line_no", F.lit("mention").alias("kind")))
 
 
-def scan_patterns(corpus: DataFrame, categories=None, severities=None, ids=None) -> DataFrame:
-    """Findings of the code rules and of the catalogue's declarative rules."""
+def scan_patterns(corpus: DataFrame, categories=None, severities=None, ids=None, max_files: int | None = None) -> DataFrame:
+    """Findings of the code rules and of the catalogue's declarative rules, in all files or the first ones."""
+    corpus = corpus if max_files is None else written(first_files(corpus, max_files))
     built_in = code.scan(corpus)
     for column, allowed in (("category", categories), ("severity", severities), ("pattern_id", ids)):
         if allowed is not None:
@@ -105,16 +110,36 @@ def find_clones(corpus: DataFrame, fragment: str, least: float = 0.3, limit: int
     return clones.confidence(own, "fragment", "content").where(F.col("confidence") >= least).orderBy(F.desc("confidence"), "repository", "path").limit(limit).drop("content", "fragment")
 
 
-def blueprint_search(corpus: DataFrame, limit: int = 50) -> DataFrame:
-    """Token and structural clones of a corpus as merged findings, best first."""
-    own = corpus.select(F.concat_ws("::", "repository", "path").alias("path"), "content")
-    runs = clones.token_clones(own, "path", "content")
+def blueprint_search(corpus: DataFrame, limit: int = 50, size: int = clones.TILE, least: float = clones.LEAST) -> DataFrame:
+    """path, start, end (lines), method, confidence, n_merged: token and structural clones of a corpus as
+    merged findings, best first."""
+    runs, shapes = written(programs.code_clones(corpus, size)), written(programs.structural_clones(corpus, least))
     token = F.least(F.lit(1.0), 0.5 + F.col("n_tokens") / 500 * 0.5)
-    side = lambda s: runs.select(F.col(f"doc_{s}").alias("path"), F.col(f"start_{s}").alias("start"), (F.col(f"start_{s}") + F.col("n_tokens")).alias("end"), F.lit("token").alias("method"), token.alias("confidence"))
-    same = clones.skeleton_groups(own, "path", "content").select("skeleton")
-    shapes = own.withColumn("skeleton", F.md5(clones.skeleton(F.col("content")).cast("binary"))).join(same, "skeleton")
-    shapes = shapes.select("path", F.lit(0).cast("long").alias("start"), F.size(F.split("content", r"\s+")).cast("long").alias("end"), F.lit("structure").alias("method"), F.lit(1.0).alias("confidence"))
-    return clones.merged(side("a").unionByName(side("b")).unionByName(shapes)).orderBy(F.desc("confidence"), "path", "start").limit(limit)
+    side = lambda df, x, method, c: df.select(F.col(f"file_{x}").alias("path"), F.col(f"start_{x}").alias("start"), F.col(f"end_{x}").alias("end"), F.lit(method).alias("method"), c.alias("confidence"))
+    found = side(runs, "a", "token", token).unionByName(side(runs, "b", "token", token))
+    for x in "ab":
+        found = found.unionByName(side(shapes, x, "structure", F.col("similarity")))
+    return clones.merged(found.distinct()).orderBy(F.desc("confidence"), "path", "start").limit(limit)
+
+
+def code_clones(corpus: DataFrame, size: int = clones.TILE) -> DataFrame:
+    """Clones of program text by normalised tokens, longest first."""
+    return programs.code_clones(corpus, size).orderBy(F.desc("n_tokens"), "file_a", "file_b", "start_a", "start_b")
+
+
+def structural_clones(corpus: DataFrame, least: float = clones.LEAST) -> DataFrame:
+    """Blocks of one shape in different files, most alike first."""
+    return programs.structural_clones(corpus, least).orderBy(F.desc("similarity"), "file_a", "file_b", "start_a", "start_b")
+
+
+def batch_find_clones(corpus: DataFrame, fragments: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
+    """Where files hold parts of many fragments, each place once."""
+    return programs.find_fragments(fragments, key, text, corpus, size).dropDuplicates([key, "file", "start_line"])
+
+
+def first_files(corpus: DataFrame, most: int) -> DataFrame:
+    """The first files of a corpus by repository and path."""
+    return corpus.orderBy("repository", "path").limit(most)
 
 
 def estimate(spark: SparkSession, text: str) -> DataFrame:

@@ -104,6 +104,28 @@ def structural_clones(spark, d):
     return programs.structural_clones(_programs(spark, d))
 
 
+def _scripts(spark, d):
+    return scripts_of_pages(table(spark, d, "pages"))
+
+
+def script_declarations(spark, d):
+    return extract.facts(_scripts(spark, d)).where("fact = 'declaration'").select("repository", "path", "name", "kind", "line")
+
+
+def script_outline(spark, d):
+    return extract.outline(extract.facts(_scripts(spark, d)))
+
+
+def script_graph_nodes(spark, d):
+    files = _scripts(spark, d)
+    return graph.index(*extract.fact_tables(extract.facts(files)), files)[0].drop("metadata")
+
+
+def script_graph_edges(spark, d):
+    files = _scripts(spark, d)
+    return graph.index(*extract.fact_tables(extract.facts(files)), files)[1].drop("metadata")
+
+
 def metrics_formulas(spark, d):
     """The metrics that are counts of patterns."""
     out = metrics.measure(_programs(spark, d))
@@ -157,6 +179,7 @@ def error_windows(spark, d):
 
 _Q = [code_rules, design_rules, extract_facts, code_outline, code_graph_nodes, code_graph_edges, circular_dependencies, metrics_code, squeeze_code, symbol_insights, layer_check, diff_check, component_rules, isolated_files, large_files, stream_index, error_windows]
 _Q += [program_tokens, program_clone_classes, program_clones, program_fragments, block_skeletons, structural_clones, metrics_formulas]
+_Q += [script_declarations, script_outline, script_graph_nodes, script_graph_edges]
 QUERIES = {f.__name__: f for f in _Q}
 
 
@@ -214,6 +237,12 @@ _VIOLATED = f"""found AS (SELECT file, line_no, unnest(regexp_extract_all(line,
         (SELECT min_by(layer, ord) FROM comp WHERE starts_with(target, p) OR starts_with(p, target)) AS to_layer FROM aimed)
     SELECT * FROM laid WHERE from_layer <> to_layer AND NOT EXISTS (SELECT 1 FROM allowed WHERE a = from_layer AND b = to_layer)"""
 _DEEP = lambda c: f"len(list_filter(string_split({c}, '/'), lambda x: x <> ''))"
+_DECLARED = rf"""{_FILES}, scripts AS (SELECT * FROM files WHERE path LIKE '%.js'), sl AS (SELECT repository, path, i AS line, l[i] AS t FROM (SELECT *, string_split(content, chr(10)) AS l FROM scripts), unnest(range(1, len(l) + 1)) AS u(i)),
+    each AS (SELECT repository, path, line, 1 AS o, 'function' AS kind, regexp_extract(t, '^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)', 1) AS name FROM sl
+      UNION ALL SELECT repository, path, line, 2, 'class', regexp_extract(t, '^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)', 1) FROM sl
+      UNION ALL SELECT repository, path, line, 3, 'variable', regexp_extract(t, '^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)', 1) FROM sl),
+    declared AS (SELECT * FROM each WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY repository, path, name ORDER BY o, line) = 1)"""
+_NAMED = lambda kind, c: f"CASE WHEN repository = 'default' THEN '' ELSE repository || '::' END || '{kind}:' || {c}"
 _COMPONENTS, _RELATIONS = _rows(COMPONENTS, "path, layer"), _rows(RELATIONS, "source, target, type")
 _PARTS = [("src", "app"), ("src/ui", "ui")]
 ORACLES = {
@@ -240,6 +269,11 @@ ORACLES = {
     "large_files": r"SELECT doc_id::VARCHAR AS path, len(string_split_regex(text, '\r?\n'))::BIGINT AS n_lines FROM documents WHERE len(string_split_regex(text, '\r?\n')) > 20",
     "stream_index": "SELECT source AS repository, count(*) AS n_files, count(text) AS n_hashed FROM documents GROUP BY 1",
     "error_windows": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY 1",
+    "script_declarations": f"WITH {_DECLARED} SELECT repository, path, name, kind, line FROM declared",
+    "script_outline": f"WITH {_DECLARED} SELECT repository, path, string_agg('- ' || kind || ' ' || name || ' (line ' || line || ')', chr(10) ORDER BY line, name) AS outline FROM declared GROUP BY 1, 2",
+    "script_graph_nodes": f"""WITH {_DECLARED} SELECT {_NAMED('file', 'path')} AS id, repository, 'file' AS type, path AS label, path AS file_path FROM scripts
+      UNION ALL SELECT {_NAMED('sym', "name || '@' || path")}, repository, kind, name, path FROM declared""",
+    "script_graph_edges": f"""WITH {_DECLARED} SELECT {_NAMED('file', 'path')} AS src, {_NAMED('sym', "name || '@' || path")} AS dst, 'defines' AS type, repository FROM declared""",
     "program_tokens": f"WITH {_TOKENS} SELECT file, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens FROM whole",
     "program_clone_classes": f"WITH {_TOKENS} SELECT file, min(file) OVER (PARTITION BY w) AS representative FROM whole",
     "program_clones": f"""WITH {_TOKENS}, first AS (SELECT min(file) AS file, w FROM whole GROUP BY w), {_WIN('first', 30)},

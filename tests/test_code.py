@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import api
-from lodestone.operators import code, extract, findings, metrics, programs, rewrite, rules
+from lodestone.operators import code, extract, findings, metrics, programs, rewrite, rules, store
 from lodestone.sources import inline
 
 BAD = {
@@ -264,7 +264,16 @@ def test_tools(spark, tmp_path):
     assert "IStore" in api.injection_template(spark, "View", ["Store"]).first().template
     assert api.analyze(corpus).where("tier = 1").count() == len(SAMPLES)
     assert api.route_code(corpus, strict=True).count() == len(SAMPLES)
-    assert api.blueprint_search(corpus).count() >= 0 and api.pattern_catalogue(spark).count() >= 6
+    from lodestone.plans.coding import TWINS
+
+    twins = inline(spark, TWINS, "r")
+    assert {(r.path, r.start, r.end, r.method) for r in api.blueprint_search(twins).collect()} == {("r/lib/totals.ts", 1, 11, "both"), ("r/lib/scores.ts", 1, 12, "both")}
+    assert api.code_clones(twins).count() == 1 and api.structural_clones(twins).first().similarity >= api.structural_clones(twins).collect()[-1].similarity
+    part = spark.createDataFrame([(1, "if (a.b > 2 && a.c) { d += a.b * a.c; }")], "id long, text string")
+    assert api.batch_find_clones(twins, part, "id", "text").count() == 2
+    assert {r.file_path for r in api.scan_patterns(corpus, max_files=2).collect()} <= {"README.md", "bin/start.sh"}
+    assert len(store.GraphStore(spark, str(tmp_path / "store"))._commits()) == 1
+    assert api.pattern_catalogue(spark).count() >= 6
 
 
 def test_rings_of_files_of_any_length(spark):
