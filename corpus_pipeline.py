@@ -53,7 +53,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All pieces of all documents, with their ids and places in sequences of a fixed length."""
+    """All pieces of all documents, with their ids (as bytes, four for each id, the lowest first) and
+    places in sequences of a fixed length."""
     return pack_documents(docs, with_ids=True)
 
 

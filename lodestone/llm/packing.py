@@ -86,7 +86,8 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
-    """key, piece, start, length, ids_crc32 and, if asked for, ids: one row for each piece."""
+    """key, piece, start, length, ids_crc32 and, if asked for, ids: one row for each piece.  ids are the
+    bytes that ids_crc32 is of, four for each id, the lowest first."""
 
     def cut(batches):
         import zlib
@@ -99,14 +100,15 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
                     ids = np.append(encode(t or ""), np.uint32(END_ID)).astype("<u4")
                     for i, (s, n) in enumerate(cuts(len(ids), capacity)):
                         own = ids[s : s + n]
-                        rows.append((k, i, s, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] * with_ids)))
+                        data = own.tobytes()
+                        rows.append((k, i, s, n, zlib.crc32(data), *([data] * with_ids)))
                 out = pd.DataFrame(rows, columns=names)
                 out["key"] = out["key"].astype("Int64")
                 yield out
 
     names = ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     own = picked(docs, key=docs[key].cast("long"), text=F.coalesce(docs[text], F.lit("")))
-    return own.mapInPandas(tidied(cut), "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return own.mapInPandas(tidied(cut), "key long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # The plan -------------------------------------------------------------------------------------
@@ -287,20 +289,19 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, ord
     keys = where["length"].to_numpy(np.int64), where["first"].to_numpy(np.int64)
     rest = {c: where[c].to_numpy(np.int64) for c in ("sequence", "each", "offset")}
 
-    def put(batches):
+    # Only lengths and ranks go to Python: what else a row holds, such as its ids, stays where it is.
+    def put(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
         base = int(keys[1].max()) + 1 if len(keys[1]) else 1  # lengths and ranks in one number
-        flat = keys[0] * base + keys[1]
-        for batch in batches:
-            size, r = batch[length].to_numpy(np.int64), batch.pop("__rank").to_numpy(np.int64)
-            at = np.searchsorted(flat, size * base + np.minimum(r, base - 1), side="right") - 1
-            nth = r - keys[1][at]
-            batch["sequence_id"] = rest["sequence"][at] + nth // rest["each"][at]
-            batch["offset"] = rest["offset"][at] + nth % rest["each"][at] * size
-            batch["n_sequences"], batch["least_sequences"] = used, least
-            yield batch
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return ranked.mapInPandas(tidied(put), f"{kinds}, sequence_id long, offset long, n_sequences long, least_sequences long")
+        n, r = size.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.searchsorted(keys[0] * base + keys[1], n * base + np.minimum(r, base - 1), side="right") - 1
+        nth = r - keys[1][at]
+        return pd.DataFrame({"sequence_id": rest["sequence"][at] + nth // rest["each"][at], "offset": rest["offset"][at] + nth % rest["each"][at] * n})
+
+    put.__annotations__ = {"size": pd.Series, "rank": pd.Series, "return": pd.DataFrame}
+    spot = F.pandas_udf(put, "sequence_id long, offset long")(F.col(length), F.col("__rank"))
+    placed = ranked.withColumn("__spot", spot)
+    more = F.lit(used).cast("long").alias("n_sequences"), F.lit(least).cast("long").alias("least_sequences")
+    return placed.select(*items.columns, F.col("__spot.sequence_id").alias("sequence_id"), F.col("__spot.offset").alias("offset"), *more)
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:

@@ -2,4 +2,4 @@
 
 from lodestone.llm import neardup, overlap, packing, pieces, pii, sharding, topk, toxicity, urls, warc
 
-MODULES = [sharding, topk, toxicity, pii, urls, overlap, neardup, pieces, warc, topk, packing]
+MODULES = [sharding, toxicity, pii, urls, overlap, neardup, pieces, warc, topk, packing]

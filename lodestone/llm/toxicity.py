@@ -85,14 +85,36 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     return written(found), float(np.clip((toxic + 1) / (n + 10), 0.005, 0.5))
 
 
+def digest(feature: str) -> int:
+    """64 bits that stand for a feature where its text would take too much memory."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(feature)
+
+
 def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tuple[np.ndarray, int]:
     """How many texts hold each of the named features, and the number of texts, over all documents
-    with an id outside the held-out fold; repeated rows count each."""
-    held = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    with an id outside the held-out fold; repeated rows count each.  Tasks know the features by a sorted
+    array of digests, eight bytes each."""
+    digests = np.array([digest(f) for f in names], dtype=np.uint64)
+    order = np.argsort(digests, kind="stable")
+    held = docs.sparkSession.sparkContext.broadcast(digests[order].tobytes())
 
     def count(batches: Iterator[pd.DataFrame]):
-        at, seen = held.value, {}
-        total, texts = np.zeros(len(at), dtype=np.int64), 0
+        from array import array
+        from bisect import bisect_left
+
+        known, seen = array("Q", held.value), {}
+        total, texts = np.zeros(len(known), dtype=np.int64), 0
+
+        def places(word: str) -> tuple[int, ...]:
+            out = []
+            for d in map(digest, described(word)):
+                i = bisect_left(known, d)
+                if i < len(known) and known[i] == d:
+                    out.append(i)
+            return tuple(out)
+
         for batch in batches:
             texts += len(batch)
             for t in batch["text"]:
@@ -101,7 +123,7 @@ def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tup
                 for w in words(t) if t else ():
                     fs = seen.get(w)
                     if fs is None:
-                        fs = tuple(at[f] for f in described(w) if f in at)
+                        fs = places(w)
                         if len(w) <= REMEMBERED:
                             seen[w] = fs
                     if fs:
@@ -120,7 +142,8 @@ def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tup
         if r.at < 0:
             texts = r.n
         else:
-            out[r.at] = r.n
+            out[order[r.at]] = r.n
+    held.destroy()
     return out, texts
 
 

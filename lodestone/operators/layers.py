@@ -124,15 +124,24 @@ def composition(relations: DataFrame) -> DataFrame:
     return relations.where((F.col("type") == "composes") & ~F.col("target").startswith(F.col("source")))
 
 
+def _above(path: str) -> Column:
+    """The folders that a path lies in, as it writes them."""
+    parts = F.split(F.col(path), "/")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return F.when(F.size(parts) > 1, each).otherwise(F.array().cast("array<string>"))
+
+
 def isolation(files: DataFrame, components: DataFrame) -> DataFrame:
-    """Files under a component that has child components, but under none of them."""
-    own = components.select(F.col("path").alias("parent"))
-    child = components.select(F.col("path").alias("child"))
-    below = child.join(F.broadcast(own), F.col("child").startswith(F.concat(F.col("parent"), F.lit("/"))))
-    parents = below.select("parent").distinct()
-    inside = files.join(F.broadcast(parents), F.col("path").startswith(F.concat(F.col("parent"), F.lit("/"))))
-    covered = files.join(F.broadcast(below), F.col("path").startswith(F.concat(F.col("child"), F.lit("/")))).select("path", "parent").distinct()
-    return inside.join(covered, ["path", "parent"], "left_anti")
+    """Files under a component that has child components, but under none of them.  Files and components
+    meet by the folders that they lie in, so neither needs to be small."""
+    own = components.select(F.col("path").alias("parent")).distinct()
+    child = components.select(F.col("path").alias("child")).distinct()
+    below = child.select("child", F.explode(_above("child")).alias("parent")).join(own, "parent")
+    within = files.select("path").distinct().select("path", F.explode(_above("path")).alias("folder"))
+    inside = within.withColumnRenamed("folder", "parent").join(below.select("parent").distinct(), "parent")
+    covered = within.withColumnRenamed("folder", "child").join(below, "child").select("path", "parent").distinct()
+    left = inside.join(covered, ["path", "parent"], "left_anti")
+    return files.join(left, "path").select(*files.columns, "parent")
 
 
 def large_files(corpus: DataFrame, most: int = 400) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline as c
+import numpy as np
 from lodestone.llm import packing, pii, toxicity
 from tests.llm.test_overlap import plain
 from tests.llm.test_toxicity import corpus
@@ -67,6 +68,6 @@ def test_ids_are_those_of_the_redacted_texts(spark, tmp_path):
     for k, t in rows:
         for kind, a, b in reversed(pii.base_spans(t)):
             t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
-        pieces = sorted((r.piece, r.length, r.ids) for r in out if r.doc_id == k)
+        pieces = sorted((r.piece, r.length, np.frombuffer(r.ids, dtype="<u4").tolist()) for r in out if r.doc_id == k)
         assert [x for _, _, ids in pieces for x in ids] == [*encode(t), packing.END_ID]
         assert all(len(ids) == n for _, n, ids in pieces)

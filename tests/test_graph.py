@@ -245,3 +245,12 @@ def test_plans_are_held_against_a_corpus(spark):
     assert [(m.file, m.confidence) for m in out[1].matches] == [("r/a.ts", 1.0), ("r/b.ts", 0.33)]
     assert (out[2].risk, out[2].action, out[2].matches) == ("none", "proceed", None)
     assert [(m.file, m.confidence) for m in out[3].matches] == [("r/a.ts", 0.4)] and out[3].risk == "none"
+
+
+def test_isolated_files_equal_a_plain_version(spark):
+    parts = ["src", "src/ui", "src/ui/deep", "lib", "/abs", "/abs/in", "srcs"]
+    paths = ["src/a", "src/ui/b", "src/ui/deep/c", "src/uix/d", "lib/e", "/abs/f", "/abs/in/g", "srcs/h", "top", "src", "src/a"]
+    out = layers.isolation(spark.createDataFrame([(p, 1) for p in paths], "path string, n int"), spark.createDataFrame([(p,) for p in parts], "path string")).collect()
+    below = {p: [c for c in parts if c.startswith(p + "/")] for p in parts}
+    want = [(f, p) for f in paths for p in parts if below[p] and f.startswith(p + "/") and not any(f.startswith(c + "/") for c in below[p])]
+    assert sorted((r.path, r.parent) for r in out) == sorted(want) and len(want) == 5

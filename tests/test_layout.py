@@ -1,6 +1,8 @@
 import re
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -27,3 +29,28 @@ def test_scratch_follows_the_session(spark):
     assert scratch(Session).startswith("file:///tmp/some-folder/lodestone-")
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert written(df).collect() == df.collect() and written(df.limit(0)).schema == df.schema
+
+
+def test_the_entry_does_without_the_training_data_operators(monkeypatch):
+    """Without the folder its queries are left out; an error within it is no reason to leave them out."""
+    import importlib
+
+    import __spark_entry__
+
+    every = set(__spark_entry__.queries())
+    real = importlib.import_module
+
+    def missing(name, error):
+        def load(x):
+            if x == name:
+                raise error
+            return real(x)
+
+        return load
+
+    for name in ("lodestone.llm.registry", "corpus_pipeline"):
+        monkeypatch.setattr(__spark_entry__.importlib, "import_module", missing(name, ModuleNotFoundError(name, name=name)))
+        assert {q for q in every if not re.match(r"op[0-9]+_|pipeline$", q)} <= set(__spark_entry__.queries()) <= every
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", missing("lodestone.llm.registry", ModuleNotFoundError("no library", name="somelib")))
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
