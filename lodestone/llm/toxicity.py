@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,9 @@ FEATURES, CLASSIFIERS, STEPS = 50_000, 3, 800
 LEAST_GAIN = 8.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 PREFIXES = (4, 5, 6)
-#: Longer words are not remembered, so that what a task holds is bounded.
-REMEMBERED = 64
+#: Longer words are not remembered, nor more words than KNOWN, and of a batch PART texts are made strings
+#: at a time, so that what a task holds is bounded.
+REMEMBERED, KNOWN, PART = 64, 50_000, 256
 
 
 def fold(key: Column) -> Column:
@@ -63,6 +65,12 @@ def described(word: str) -> list[str]:
     return [f"{word[:40]}$", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
+def strings(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of an array, of which few at a time are strings of Python."""
+    for a in range(0, len(texts), PART):
+        yield from texts.slice(a, PART).to_pylist()
+
+
 def _first(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("key"), "key").limit(n)
 
@@ -100,7 +108,7 @@ def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tup
     order = np.argsort(digests, kind="stable")
     held = docs.sparkSession.sparkContext.broadcast(digests[order].tobytes())
 
-    def count(batches: Iterator[pd.DataFrame]):
+    def count(batches: Iterator[pa.RecordBatch]):
         from array import array
         from bisect import bisect_left
 
@@ -117,7 +125,7 @@ def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tup
 
         for batch in batches:
             texts += len(batch)
-            for t in batch["text"]:
+            for t in strings(batch.column("text")):
                 # A feature counts once a text, however many words share it.
                 found: set[int] = set()
                 for w in words(t) if t else ():
@@ -129,16 +137,16 @@ def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tup
                     if fs:
                         found.update(fs)
                 total[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
-            if len(seen) > 100_000:
-                seen.clear()
+                if len(seen) > KNOWN:
+                    seen.clear()
         some = np.flatnonzero(total)
         # The number of texts goes under -1.
-        yield pd.DataFrame({"at": np.append(some, -1), "n": np.append(total[some], texts)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], texts))], names=["at", "n"])
 
     own = picked(docs, key=docs[key].cast("long"), text=docs[text]).where("key IS NOT NULL")
     own = own.where(fold(F.col("key")) != HELD_OUT).select("text")
     out, texts = np.zeros(len(names), dtype=np.int64), 0
-    for r in own.mapInPandas(tidied(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in own.mapInArrow(tidied(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         if r.at < 0:
             texts = r.n
         else:
@@ -169,7 +177,7 @@ def vocabulary(sampled: DataFrame, docs: DataFrame, key: str, text: str) -> list
         for batch in batches:
             for t in batch["text"]:
                 seen.update({f for w in words(t) for f in described(w)})
-                if len(seen) > 200_000:
+                if len(seen) > KNOWN:
                     yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
                     seen.clear()
         if seen:
@@ -271,13 +279,13 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "
     """docs with a column for the probability that a text is toxic."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import math
 
         own, seen = held.value, {}
         for batch in texts:
             out = np.empty(len(batch))
-            for i, t in enumerate(batch):
+            for i, t in enumerate(strings(batch)):
                 # A feature counts once a text, however many words share it.
                 found: set[str] = set()
                 for w in words(t) if t else ():
@@ -290,13 +298,13 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "
                         found.update(fs)
                 z = bias + math.fsum(own[f] for f in found)
                 out[i] = 1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if z > -700 else 0.0
-            if len(seen) > 100_000:
-                seen.clear()
-            yield pd.Series(out)
+                if len(seen) > KNOWN:
+                    seen.clear()
+            yield pa.array(out)
         release()
 
-    rate.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(rate, "double")(docs[text]))
+    rate.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(name, F.arrow_udf(rate, "double")(docs[text]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", name: str = "score") -> DataFrame:
