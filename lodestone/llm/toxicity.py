@@ -29,7 +29,7 @@ feature ends with its 40th letter; other columns are kept or not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,9 +45,11 @@ FEATURES, CLASSIFIERS, STEPS = 50_000, 3, 800
 LEAST_GAIN = 8.0
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 PREFIXES = (4, 5, 6)
-#: Longer words are not remembered, nor more words than KNOWN, and of a batch PART texts are made strings
-#: at a time, so that what a task holds is bounded.
-REMEMBERED, KNOWN, PART = 64, 50_000, 256
+#: No more counts than KNOWN are held at a time, and of a batch PART texts are made strings at a time, so
+#: that what a task holds is bounded.
+KNOWN, PART = 50_000, 256
+#: What is not a word's letter in ASCII texts becomes a space.
+SPACED = {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i) == "_")}
 
 
 def fold(key: Column) -> Column:
@@ -56,6 +58,8 @@ def fold(key: Column) -> Column:
 
 
 def words(text: str) -> set[str]:
+    if text.isascii():
+        return set(text.lower().translate(SPACED).split())
     import re
 
     return set(re.findall(r"\w+", text.lower()))
@@ -65,6 +69,26 @@ def described(word: str) -> list[str]:
     return [f"{word[:40]}$", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
+def lookup(known: Iterable[str]) -> dict[int, set[str]]:
+    """The known features by the letters they have of a word, whole words under 0."""
+    out: dict[int, set[str]] = {0: set()} | {n: set() for n in PREFIXES}
+    for f in known:
+        if f.endswith("$"):
+            out[0].add(f[:-1])
+        else:
+            out[len(f)].add(f)
+    return out
+
+
+def features(text: str, known: dict[int, set[str]]) -> list[str]:
+    """The features of a text that a lookup has, each once, however many words share it."""
+    own = words(text)
+    found = [f"{w}$" for w in known[0] & {w[:40] for w in own}]
+    for n in PREFIXES:
+        found += known[n] & {w[:n] for w in own if len(w) > n}
+    return found
+
+
 def strings(texts: pa.Array) -> Iterator[str | None]:
     """The texts of an array, of which few at a time are strings of Python."""
     for a in range(0, len(texts), PART):
@@ -93,52 +117,18 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     return written(found), float(np.clip((toxic + 1) / (n + 10), 0.005, 0.5))
 
 
-def digest(feature: str) -> int:
-    """64 bits that stand for a feature where its text would take too much memory."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(feature)
-
-
 def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tuple[np.ndarray, int]:
     """How many texts hold each of the named features, and the number of texts, over all documents
-    with an id outside the held-out fold; repeated rows count each.  Tasks know the features by a sorted
-    array of digests, eight bytes each."""
-    digests = np.array([digest(f) for f in names], dtype=np.uint64)
-    order = np.argsort(digests, kind="stable")
-    held = docs.sparkSession.sparkContext.broadcast(digests[order].tobytes())
+    with an id outside the held-out fold; repeated rows count each."""
+    held = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def count(batches: Iterator[pa.RecordBatch]):
-        from array import array
-        from bisect import bisect_left
-
-        known, seen = array("Q", held.value), {}
-        total, texts = np.zeros(len(known), dtype=np.int64), 0
-
-        def places(word: str) -> tuple[int, ...]:
-            out = []
-            for d in map(digest, described(word)):
-                i = bisect_left(known, d)
-                if i < len(known) and known[i] == d:
-                    out.append(i)
-            return tuple(out)
-
+        at = held.value
+        known, total, texts = lookup(at), np.zeros(len(at), dtype=np.int64), 0
         for batch in batches:
             texts += len(batch)
             for t in strings(batch.column("text")):
-                # A feature counts once a text, however many words share it.
-                found: set[int] = set()
-                for w in words(t) if t else ():
-                    fs = seen.get(w)
-                    if fs is None:
-                        fs = places(w)
-                        if len(w) <= REMEMBERED:
-                            seen[w] = fs
-                    if fs:
-                        found.update(fs)
-                total[np.fromiter(found, dtype=np.int64, count=len(found))] += 1
-                if len(seen) > KNOWN:
-                    seen.clear()
+                total[[at[f] for f in features(t, known)] if t else []] += 1
         some = np.flatnonzero(total)
         # The number of texts goes under -1.
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], texts))], names=["at", "n"])
@@ -150,7 +140,7 @@ def corpus_counts(docs: DataFrame, names: list[str], key: str, text: str) -> tup
         if r.at < 0:
             texts = r.n
         else:
-            out[order[r.at]] = r.n
+            out[r.at] = r.n
     held.destroy()
     return out, texts
 
@@ -257,10 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sampled, prior = sample(docs, labels, key, text, label)
     names = vocabulary(sampled, docs, key, text)
     at = {f: i for i, f in enumerate(names)}
+    known = lookup(at)
 
     def featurise(batches: Iterator[pd.DataFrame]):
         for batch in batches:
-            found = [sorted({at[f] for w in words(t) for f in described(w) if f in at}) for t in batch["text"]]
+            found = [sorted(at[f] for f in features(t, known)) for t in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "role": batch["role"], "found": found})
 
     rows = sampled.mapInPandas(tidied(featurise), "key long, role string, found array<int>").toPandas().sort_values(["role", "key"])
@@ -282,24 +273,14 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float, text: str = "
     def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import math
 
-        own, seen = held.value, {}
+        own = held.value
+        known = lookup(own)
         for batch in texts:
             out = np.empty(len(batch))
             for i, t in enumerate(strings(batch)):
-                # A feature counts once a text, however many words share it.
-                found: set[str] = set()
-                for w in words(t) if t else ():
-                    fs = seen.get(w)
-                    if fs is None:
-                        fs = tuple(f for f in described(w) if f in own)
-                        if len(w) <= REMEMBERED:
-                            seen[w] = fs
-                    if fs:
-                        found.update(fs)
+                found = features(t, known) if t else ()
                 z = bias + math.fsum(own[f] for f in found)
                 out[i] = 1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if z > -700 else 0.0
-                if len(seen) > KNOWN:
-                    seen.clear()
             yield pa.array(out)
         release()
 

@@ -151,3 +151,19 @@ def test_counts_cover_all_documents(spark, monkeypatch):
     counts, texts = t.corpus_counts(docs.union(docs.limit(0)), ["scummy$", "worta", "none$"], "doc_id", "text")
     assert texts == len(kept) and counts[0] == sum(i % 50 == 0 for i in kept) and counts[2] == 0
     assert counts[1] == sum(any(w.startswith("worta") for w in rows[i][1].split()) for i in kept)
+
+
+def test_words_and_features_equal_plain_ones():
+    """Texts of ASCII letters alone are split in another way than others, with the same words."""
+    import re
+
+    random.seed(8)
+    signs = [chr(i) for i in range(128)] + list("äßİ  ٣_") + ["word"] * 40 + ["x" * 60]
+    texts = ["", "".join(signs), "".join(map(chr, range(128)))] + ["".join(random.choices(signs, k=random.randint(1, 60))) for _ in range(500)]
+    plain = [set(re.findall(r"\w+", x.lower())) for x in texts]
+    assert [t.words(x) for x in texts] == plain
+    everything = sorted({f for own in plain for w in own for f in t.described(w)})
+    known = set(everything[::2])
+    for x, own in zip(texts, plain):
+        found = t.features(x, t.lookup(known))
+        assert len(found) == len(set(found)) and set(found) == {f for w in own for f in t.described(w)} & known
