@@ -34,10 +34,7 @@ def index_codebase(spark: SparkSession, corpus: DataFrame, path: str, repository
     count = nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("node_count"))
     files = corpus.select(F.col("path").alias("file_path"), "repository", F.sha2("content", 256).alias("file_hash")).join(count, "file_path", "left")
     files = files.select("file_path", "repository", "file_hash", F.coalesce("node_count", F.lit(0)).alias("node_count"), F.current_timestamp().alias("indexed_at"))
-    kept = {n: own.read(n).where(F.coalesce("repository", F.lit("default")) != repository) for n in ("nodes", "edges", "indexed_files")}
-    every = written(store.insert(kept["nodes"], nodes, own.KEYS["nodes"]))
-    linked = store.insert(kept["edges"], graph.valid_edges(every, edges), own.KEYS["edges"])
-    own.write_all({"nodes": every, "edges": linked, "indexed_files": store.upsert(kept["indexed_files"], files, own.KEYS["indexed_files"])})
+    own.replace_repository(repository, written(files), nodes, edges)
     return {name: own.read(name).count() for name in ("nodes", "edges", "indexed_files")}
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import half_up, normalised, words
-from lodestone.tables import written
+from lodestone.tables import join_in_parts, written
 
-# Fixed values of the signature scheme: functions, prime, bands, least similarity, shingle size.
-FUNCTIONS, PRIME, BANDS, LEAST, SHINGLE, TILE = 128, 2147483647, 16, 0.5, 5, 30
+# Fixed values of the signature scheme: functions, prime, base of a shingle's number, bands, least similarity,
+# shingle size; words of a clone.
+FUNCTIONS, PRIME, BASE, BANDS, LEAST, SHINGLE, TILE = 128, 2147483647, 1000003, 16, 0.5, 5, 30
 #: Rows of one value that meet in one task.
 HOT = 1024
 COEFFICIENTS = [((i * 2654435761 + 97) % (PRIME - 1) + 1, (i * 40503 * 65537 + 11) % PRIME) for i in range(1, FUNCTIONS + 1)]
@@ -112,34 +113,56 @@ def skeleton_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.groupBy("skeleton").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")).where("n > 1")
 
 
-def _shingle_hashes(text: str) -> np.ndarray:
-    import hashlib
+def shingle_hashes(text: str) -> np.ndarray:
+    """The distinct hashes of a text's windows of SHINGLE characters, white space collapsed: a window's
+    code points are the digits of a number to the base BASE, modulo PRIME."""
     import re
 
     t = re.sub(r"[ \t\n\r\f]+", " ", text).strip(" ")
-    own = {t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)}
-    return np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:4], "big") for s in own], dtype=np.uint64)
+    points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    n = len(points) - SHINGLE + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(SHINGLE):
+        h = (h * np.uint64(BASE) + points[i : i + n]) % np.uint64(PRIME)
+    return np.unique(h)
+
+
+def least_values(h: np.ndarray) -> np.ndarray:
+    """For each function the least of its values over the hashes.  PRIME is 2**31 - 1, so a remainder is
+    the sum of two parts of 31 bits."""
+    a, b = (np.array([c[i] for c in COEFFICIENTS], dtype=np.uint64)[:, None] for i in (0, 1))
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    out = np.full(FUNCTIONS, PRIME, dtype=np.uint64)
+    for i in range(0, len(h), 4096):  # parts bound the memory of long texts; products stay below 2**63
+        x = a * h[i : i + 4096] + b
+        for _ in range(2):
+            x = (x & prime) + (x >> bits)
+        x[x >= prime] -= prime
+        out = np.minimum(out, x.min(axis=1))
+    return out.astype(np.int64)
 
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, signature: for each of 128 universal hash functions the least value over the shingles;
     texts shorter than a shingle are left out."""
 
+    kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
+
     def run(batches: Iterator[pd.DataFrame]):
-        a, b = (np.array([c[i] for c in COEFFICIENTS], dtype=np.uint64)[:, None] for i in (0, 1))
         for batch in batches:
             keys, out = [], []
             for k, t in zip(batch["key"], batch["text"]):
-                h = _shingle_hashes(t)
+                h = shingle_hashes(t)
                 if len(h):
                     keys.append(k)
-                    # Products stay below 2**63; parts of 4096 shingles bound the memory of long texts.
-                    out.append(np.min([((a * h[i : i + 4096] + b) % np.uint64(PRIME)).min(axis=1) for i in range(0, len(h), 4096)], axis=0).astype(np.int64))
+                    out.append(least_values(h))
             if keys:
                 yield pd.DataFrame({"key": keys, "signature": out})
 
     own = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return own.mapInPandas(run, "key long, signature array<long>")
+    return own.mapInPandas(run, f"key {kind}, signature array<long>")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -147,12 +170,17 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.lit(float(FUNCTIONS))
 
 
+def bands(signed: DataFrame) -> DataFrame:
+    """key, band, value: a signature's bands, each as a hash of its values."""
+    rows = FUNCTIONS // BANDS
+    each = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("value")) for i in range(BANDS)])
+    return signed.select("key", F.explode(each).alias("b")).select("key", "b.band", "b.value")
+
+
 def lsh_pairs(signed: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_a, doc_b, similarity: pairs that share a band and agree in enough functions.  Bands of one
     text alone leave before the join."""
-    rows = FUNCTIONS // BANDS
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("value")) for i in range(BANDS)])
-    each = signed.select("key", F.explode(bands).alias("b")).select("key", "b.band", "b.value")
+    each = bands(signed)
     several = each.groupBy("band", "value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "value")
     each = each.join(several, ["band", "value"], "left_semi")
     pairs = met_by(each, ["band", "value"], "key").select("doc_a", "doc_b").distinct()
@@ -173,7 +201,7 @@ def contained(fragments: DataFrame, fkey: str, ftext: str, docs: DataFrame, key:
     # Of the texts only windows that a fragment has go on, each once.
     theirs = window_hashes(docs, key, text, size).select(F.col("key").alias("doc"), "h1", "h2")
     theirs = theirs.join(mine.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
-    return mine.join(theirs, ["h1", "h2"]).groupBy("fragment", "doc").agg(F.count(F.lit(1)).alias("n_shared"))
+    return join_in_parts(mine, written(theirs), ["h1", "h2"]).groupBy("fragment", "doc").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 _SYMBOLS = r"[{}\[\]()<>;,:!?=+\-*/%&|^~]+"  # fixed: the runs that confidence compares

@@ -1,18 +1,21 @@
-"""A graph store in parquet: versioned tables, upserts and deletes by anti join, change detection.
+"""A graph store: nodes, edges, indexed files, notes and settings as a log of changes.
 
-Each write makes new versions of tables beside the old ones and then names the versions of all tables in
-one commit, so readers see whole versions only, of all tables alike; what was read before stays readable.
+Every method is one commit of what it changes (see ``log``): readers see whole versions of all tables alike,
+a file's update writes a file's rows, and no writer's change is lost, as a commit is only taken on top of the
+version it was computed from.  Methods that are refused start again from the newer version; who reads for
+himself takes a ``snapshot()``, and its ``commit`` raises ``Conflict`` if another writer came first.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import schemas
+from lodestone.operators.log import Change, Conflict, Kept, Snapshot, TableLog
+from lodestone.tables import in_order
+
+__all__ = ["Change", "Conflict", "GraphStore", "change_status", "insert", "upsert"]
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,7 +25,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def insert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The old rows, and new ones whose key they lack; of new rows with one key one."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti").select(*old.columns))
+    return old.unionByName(absent(old, new, keys))
+
+
+def absent(old: DataFrame, new: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
+    """New rows whose key the old ones lack; of new rows with one key one."""
+    keys = list(keys)
+    return new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti").select(*old.columns)
 
 
 def change_status(now: DataFrame, stored: DataFrame) -> DataFrame:
@@ -32,107 +41,103 @@ def change_status(now: DataFrame, stored: DataFrame) -> DataFrame:
     return now.join(old, ["repository", "file_path"], "left").withColumn("status", status).drop("__old")
 
 
-class GraphStore:
-    TABLES = {"nodes": schemas.NODES, "edges": schemas.EDGES, "indexed_files": schemas.INDEXED_FILES, "intents": schemas.INTENTS, "meta": "key STRING, value STRING"}
-    KEYS = {"nodes": ["id"], "edges": ["src", "dst", "type"], "indexed_files": ["file_path", "repository"], "meta": ["key"]}
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _commits(self) -> list:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(f.getPath().getName() for f in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
-
-    def _versions(self, name: str | None = None) -> dict[str, str]:
-        """The version of every table, as one commit names them all."""
-        commits = self._commits()
-        if not commits:
-            return {}
-        rows = self.spark.read.schema("tables MAP<STRING, STRING>").json(f"{self.path}/_commits/{commits[-1]}").collect()
-        return dict(rows[0].tables)
-
-    def read(self, name: str) -> DataFrame:
-        version = self._versions().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{version}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        self.write_all({name: df})
-
-    def write_all(self, tables: dict[str, DataFrame]) -> None:
-        """New versions of several tables, which readers see all at once or not at all.  A commit is a
-        file of the next number, made by a rename that fails if the number is taken: of two writers one
-        raises, and nothing of it is seen."""
-        last = self._commits()
-        named = self._versions()
-        for name, df in tables.items():
-            named[name] = f"{name}-{uuid.uuid4().hex}"
-            df.select(*[c.split()[0] for c in _split(self.TABLES[name])]).write.parquet(f"{self.path}/{named[name]}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        number = int(last[-1].split(".")[0]) + 1 if last else 0
-        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        own, to = path(f"{self.path}/_pending/{uuid.uuid4().hex}"), path(f"{self.path}/_commits/{number:012d}.json")
-        out = fs.create(own, False)
-        out.write(bytearray(json.dumps({"tables": named}).encode()))
-        out.close()
-        fs.mkdirs(to.getParent())
-        if fs.exists(to) or not fs.rename(own, to):
-            fs.delete(own, False)
-            raise RuntimeError(f"another writer made commit {number}")
+def _of(repository: str):
+    return F.coalesce("repository", F.lit("default")) == repository
+
+
+class GraphStore(TableLog):
+    TABLES = {
+        "nodes": Kept(schemas.NODES, ("id",)),
+        "edges": Kept(schemas.EDGES, ("src", "dst", "type")),
+        "indexed_files": Kept(schemas.INDEXED_FILES, ("file_path", "repository")),
+        "intents": Kept(schemas.INTENTS, ("id",)),
+        "meta": Kept("key STRING, value STRING", ("key",)),
+    }
+    KEYS = {name: list(t.keys) for name, t in TABLES.items()}
+    #: Commits of a table that readers merge before the streaming index folds them.
+    MERGED = 32
+
+    def write_all(self, tables: dict[str, DataFrame], read: int) -> int:
+        """Replaces tables as a whole; refused unless ``read``, the version they were made from, is the last."""
+        return self.snapshot(read).commit(Change(whole=tables))
 
     # Nodes and edges
 
-    def insert_nodes(self, nodes: DataFrame) -> None:
-        self.write("nodes", insert(self.read("nodes"), nodes, self.KEYS["nodes"]))
+    def insert_nodes(self, nodes: DataFrame) -> int:
+        return self.change(lambda s: Change(put={"nodes": absent(s.read("nodes"), nodes, self.KEYS["nodes"])}))
 
-    def insert_edges(self, edges: DataFrame) -> None:
-        self.write("edges", insert(self.read("edges"), edges, self.KEYS["edges"]))
+    def insert_edges(self, edges: DataFrame) -> int:
+        return self.change(lambda s: Change(put={"edges": absent(s.read("edges"), edges, self.KEYS["edges"])}))
 
-    def apply_delta(self, nodes: DataFrame, edges: DataFrame) -> None:
+    def apply_delta(self, nodes: DataFrame, edges: DataFrame) -> int:
         """Nodes replace those of their id, edges are added unless they exist; edges of replaced nodes stay."""
-        self.write_all({
-            "nodes": upsert(self.read("nodes"), nodes.dropDuplicates(["id"]), ["id"]),
-            "edges": insert(self.read("edges"), edges, self.KEYS["edges"]),
-        })
-
-    def replace_files(self, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
-        """What is known of some files, as one commit: files are rows of indexed_files; their old nodes and
-        the edges at those go, unless an end outside the files still names a node that is there again."""
-        names = files.select("repository", "file_path").distinct()
-        old = self.read("nodes")
-        kept = old.join(names, ["repository", "file_path"], "left_anti").select(*old.columns)
-        nodes = nodes.dropDuplicates(["id"])
-        own = old.join(names, ["repository", "file_path"], "left_semi").select("id").unionByName(nodes.select("id")).distinct()
-        known = self.read("edges")
-        left = known.join(own.withColumnRenamed("id", "src"), "src", "left_anti").select(*known.columns)
-        every = upsert(kept, nodes, ["id"])
-        left = left.join(every.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(*known.columns)
-        self.write_all({"nodes": every, "edges": insert(left, edges, self.KEYS["edges"]), "indexed_files": upsert(self.read("indexed_files"), files, self.KEYS["indexed_files"])})
-
-    def update_metadata(self, changes: DataFrame) -> None:
+        return self.change(lambda s: Change(put={"nodes": nodes.dropDuplicates(["id"]), "edges": absent(s.read("edges"), edges, self.KEYS["edges"])}))
+
+    def replace_files(self, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> int:
+        """What is known of some files: files are rows of indexed_files; their old nodes and the edges that
+        start at those go, and so do edges of others to nodes that aren't there again."""
+
+        def made(s: Snapshot) -> Change:
+            names = files.select("repository", "file_path").distinct()
+            old = s.read("nodes").join(names, ["repository", "file_path"], "left_semi").select("id")
+            new = nodes.dropDuplicates(["id"])
+            known = s.read("edges")
+            own = old.unionByName(new.select("id")).distinct()
+            lost = old.join(new.select("id"), "id", "left_anti")
+            gone = known.join(own.withColumnRenamed("id", "src"), "src", "left_semi").select(*self.KEYS["edges"])
+            gone = gone.unionByName(known.join(lost.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*self.KEYS["edges"])).distinct()
+            return Change(put={"nodes": new, "edges": edges.dropDuplicates(self.KEYS["edges"]), "indexed_files": files}, gone={"nodes": old, "edges": gone})
+
+        return self.change(made)
+
+    def replace_repository(self, repository: str, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> int:
+        """What is known of a repository.  Nodes that another repository has stay its own; edges are kept
+        if both ends are nodes."""
+
+        def made(s: Snapshot) -> Change:
+            out = Change()
+            other = {n: s.read(n).where(~_of(repository)) for n in ("nodes", "edges", "indexed_files")}
+            for n in other:
+                out.gone[n] = s.read(n).where(_of(repository)).select(*self.KEYS[n])
+            out.put["nodes"] = absent(other["nodes"], nodes, self.KEYS["nodes"])
+            ids = other["nodes"].select("id").unionByName(nodes.select("id")).distinct()
+            ends = lambda c: ids.withColumnRenamed("id", c)
+            both = edges.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi")
+            out.put["edges"] = absent(other["edges"], both, self.KEYS["edges"])
+            out.put["indexed_files"] = files.dropDuplicates(self.KEYS["indexed_files"])
+            return out
+
+        return self.change(made)
+
+    def update_metadata(self, changes: DataFrame) -> int:
         """Replaces the metadata of nodes; changes: id, metadata."""
-        own = self.read("nodes")
-        new = own.drop("metadata").join(changes.select("id", F.col("metadata")), "id")
-        self.write("nodes", upsert(own, new, ["id"]))
+        own = changes.select("id", "metadata").dropDuplicates(["id"])
+        return self.change(lambda s: Change(put={"nodes": s.read("nodes").drop("metadata").join(own, "id")}))
+
+    def _without(self, s: Snapshot, ids: DataFrame) -> Change:
+        """Nodes and every edge at them go."""
+        edges, out = s.read("edges"), []
+        for end in ("src", "dst"):
+            out.append(edges.join(ids.withColumnRenamed("id", end), end, "left_semi").select(*self.KEYS["edges"]))
+        return Change(gone={"nodes": ids, "edges": out[0].unionByName(out[1]).distinct()})
+
+    def delete_nodes(self, ids: DataFrame) -> int:
+        return self.change(lambda s: self._without(s, ids.select("id").distinct()))
 
-    def delete_nodes(self, ids: DataFrame, also: dict[str, DataFrame] | None = None) -> None:
-        """Nodes and every edge at them; other tables to write with them."""
-        own = ids.select("id").distinct()
-        edges = self.read("edges")
-        left = edges.join(own.withColumnRenamed("id", "src"), "src", "left_anti").join(own.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        self.write_all({"edges": left.select(*edges.columns), "nodes": self.read("nodes").join(own, "id", "left_anti"), **(also or {})})
+    def remove_file(self, path: str, repository: str = "default") -> int:
+        def made(s: Snapshot) -> Change:
+            own = (F.col("file_path") == path) & _of(repository)
+            out = self._without(s, s.read("nodes").where(own).select("id"))
+            out.gone["indexed_files"] = s.read("indexed_files").where(own)
+            return out
 
-    def remove_file(self, path: str, repository: str = "default") -> None:
-        own = (F.col("file_path") == path) & (F.coalesce("repository", F.lit("default")) == repository)
-        self.delete_nodes(self.read("nodes").where(own), {"indexed_files": self.read("indexed_files").where(~own)})
+        return self.change(made)
 
-    def clear(self) -> None:
-        self.write_all({name: self.spark.createDataFrame([], self.TABLES[name]) for name in ("nodes", "edges", "indexed_files")})
+    def clear(self) -> int:
+        return self.change(lambda s: Change(whole={n: self.spark.createDataFrame([], self.TABLES[n].schema) for n in ("nodes", "edges", "indexed_files")}))
 
-    def clear_repository(self, repository: str) -> None:
-        self.write_all({name: self.read(name).where(F.coalesce("repository", F.lit("default")) != repository) for name in ("nodes", "edges", "indexed_files")})
+    def clear_repository(self, repository: str) -> int:
+        return self.change(lambda s: Change(gone={n: s.read(n).where(_of(repository)) for n in ("nodes", "edges", "indexed_files")}))
 
     def node(self, id: str) -> DataFrame:
         return self.read("nodes").where(F.col("id") == id)
@@ -151,8 +156,8 @@ class GraphStore:
 
     # Files, settings, annotations
 
-    def record_files(self, files: DataFrame) -> None:
-        self.write("indexed_files", upsert(self.read("indexed_files"), files, self.KEYS["indexed_files"]))
+    def record_files(self, files: DataFrame) -> int:
+        return self.change(lambda s: Change(put={"indexed_files": files.dropDuplicates(self.KEYS["indexed_files"])}))
 
     def intents_of_file(self, path: str) -> DataFrame:
         """The intents noted for a file, newest first."""
@@ -172,31 +177,33 @@ class GraphStore:
     def import_json(self, path: str) -> None:
         """The nodes and edges of a folder that export_json wrote, in place of the store's own."""
         rows = self.spark.read.schema("table STRING, row STRING").json(path)
-        parsed = lambda n: rows.where(F.col("table") == n).select(F.from_json("row", self.TABLES[n]).alias("r")).select("r.*")
-        self.write_all({n: parsed(n) for n in ("nodes", "edges")})
+        parsed = lambda n: rows.where(F.col("table") == n).select(F.from_json("row", self.TABLES[n].schema).alias("r")).select("r.*")
+        self.change(lambda s: Change(whole={n: parsed(n) for n in ("nodes", "edges")}))
 
     def stale(self, corpus: DataFrame) -> DataFrame:
         """repository, file_path, file_hash, status of each file of a corpus, by content hash."""
         now = corpus.select("repository", F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_hash"))
         return change_status(now, self.read("indexed_files"))
 
-    def set_meta(self, key: str, value: str) -> None:
-        new = self.spark.createDataFrame([(key, value)], self.TABLES["meta"])
-        self.write("meta", upsert(self.read("meta"), new, ["key"]))
+    def set_meta(self, key: str, value: str) -> int:
+        return self.change(lambda s: Change(put={"meta": self.spark.createDataFrame([(key, value)], self.TABLES["meta"].schema)}))
 
     def get_meta(self, key: str) -> str | None:
         row = self.read("meta").where(F.col("key") == key).first()
         return row.value if row else None
 
-    def add_intents(self, intents: DataFrame) -> None:
+    def add_intents(self, intents: DataFrame) -> int:
         """intents without ids: numbered on from the largest, in the order of their texts."""
-        own = self.read("intents")
-        last = own.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        nth = F.row_number().over(Window.orderBy("created_at", "file_path", "query_text"))
-        self.write("intents", own.unionByName(intents.withColumn("id", nth + F.lit(last).cast("long")).select(*own.columns)))
+        own = in_order(intents, "created_at", "file_path", "query_text")
 
-    def delete_intent(self, id: int) -> None:
-        self.write("intents", self.read("intents").where(F.col("id") != id))
+        def made(s: Snapshot) -> Change:
+            last = s.read("intents").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            return Change(put={"intents": own.withColumn("id", F.col("nth") + F.lit(last).cast("long"))})
+
+        return self.change(made)
+
+    def delete_intent(self, id: int) -> int:
+        return self.change(lambda s: Change(gone={"intents": self.spark.createDataFrame([(id,)], "id long")}))
 
     def search_intents(self, text: str, limit: int = 20) -> DataFrame:
         hit = F.lit(False)
@@ -204,15 +211,3 @@ class GraphStore:
             hit = hit | F.lower(c).contains(text.lower())
         return self.read("intents").where(hit).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
-
-def _split(ddl: str) -> list[str]:
-    """The columns of a DDL string, not split within brackets."""
-    out, depth, own = [], 0, ""
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(own.strip())
-            own = ""
-        else:
-            own += c
-    return [*out, own.strip()]

@@ -169,7 +169,11 @@ _CLONES = f"""{_SHARED}, met AS (SELECT a.k AS doc_a, b.k AS doc_b, a.pos AS pos
   clones AS (SELECT doc_a, doc_b, min(pos_a) AS start_a, min(pos_b) AS start_b, count(*) + 29 AS n_tokens FROM nth GROUP BY doc_a, doc_b, pos_a - pos_b, run)"""
 _NORM = lambda t: f"trim(regexp_replace({t}, '{_WS}', ' ', 'g'))"
 _SETS = lambda src, key: f"sh AS (SELECT {key} AS key, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS s FROM (SELECT {key}, {_NORM('text')} AS t FROM {src}) WHERE length(t) >= 5)"
-_SIGS = lambda src, key: f"""{_SETS(src, key)}, hs AS (SELECT key, list_transform(s, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM sh),
+#: A shingle's code points as the digits of a number, modulo the prime.
+_NUMBER = "0::BIGINT"
+for _i in range(clones.SHINGLE):
+    _NUMBER = f"(({_NUMBER} * {clones.BASE} + unicode(x[{_i + 1}])) % {clones.PRIME})"
+_SIGS = lambda src, key: f"""{_SETS(src, key)}, hs AS (SELECT key, list_transform(s, lambda x: {_NUMBER}) AS h FROM sh),
   sg AS (SELECT key, [{', '.join(f'list_min(list_transform(h, lambda x: ({a}::BIGINT * x + {b}::BIGINT) % {clones.PRIME}::BIGINT))' for a, b in clones.COEFFICIENTS)}] AS g FROM hs)"""
 _LSH = f"""WITH {_DISTINCT}, {_SIGS('dt', 'key')}, bands AS (SELECT key, b AS band, array_to_string(g[b * 8 + 1:b * 8 + 8], ',') AS v FROM sg, unnest(range(16)) AS t(b)),
   cand AS (SELECT DISTINCT a.key AS doc_a, b.key AS doc_b FROM bands a JOIN bands b ON a.band = b.band AND a.v = b.v AND a.key < b.key),

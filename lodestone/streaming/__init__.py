@@ -37,7 +37,8 @@ def windowed_errors(events: DataFrame, ts: str = "ts", size: str = "1 hour", lat
 
 def current_index(spark: SparkSession, corpus_path: str, store: GraphStore, checkpoint: str, schema: str) -> StreamingQuery:
     """Indexes new and changed files of a growing parquet corpus in a store, each batch once: their nodes
-    and edges take the place of what was known of them, in one commit with the files' hashes.
+    and edges take the place of what was known of them, in one commit with the files' hashes, which writes
+    no more than these.
 
     A batch only takes files whose hash the store doesn't hold, so running it again changes nothing.
     Imports are resolved to files of the batch and of the store.
@@ -57,6 +58,7 @@ def current_index(spark: SparkSession, corpus_path: str, store: GraphStore, chec
         rows = files.join(counts, ["repository", "path"], "left")
         rows = rows.select(F.col("path").alias("file_path"), "repository", "file_hash", F.coalesce("node_count", F.lit(0).cast("long")).alias("node_count"), F.current_timestamp().alias("indexed_at"))
         store.replace_files(written(rows), nodes, edges)
+        store.compact(store.MERGED)
 
     files = spark.readStream.schema(schema).parquet(corpus_path)
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
