@@ -94,7 +94,8 @@ def by_variance(rows: DataFrame, dimensions: int) -> np.ndarray:
     r = rows.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     n = r.n or 1
     with np.errstate(all="ignore"):
-        spread = np.array([(r[f"q{i}"] or 0) / n - ((r[f"s{i}"] or 0) / n) ** 2 for i in range(dimensions)], dtype=float)
+        s, q = (np.array([r[f"{x}{i}"] or 0 for i in range(dimensions)], dtype=float) / n for x in "sq")
+        spread = q - s * s
     return np.argsort(-np.nan_to_num(spread), kind="stable")
 
 
