@@ -12,7 +12,9 @@ from lodestone.plans.cloning import _LSH
 from lodestone.plans.common import table
 from lodestone.tables import scratch, spread, written
 
-_NONE = F.lit(None).cast("map<string,string>").alias("metadata")
+
+def _none():
+    return F.lit(None).cast("map<string,string>").alias("metadata")
 
 
 def store_commits(spark, d):
@@ -20,9 +22,9 @@ def store_commits(spark, d):
     anew without edges, those labelled as neither good nor toxic are deleted; then the changes are folded."""
     docs = spread(table(spark, d, "documents").select("doc_id", "source", "lang")).withColumn("id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
     labels = table(spark, d, "labels").select("doc_id", "quality", "toxic")
-    node = lambda df, label: df.select("id", F.col("source").alias("repository"), F.lit("file").alias("type"), label.alias("label"), F.col("doc_id").cast("string").alias("file_path"), _NONE)
-    sources = docs.select("source").distinct().select(F.concat(F.lit("src:"), "source").alias("id"), F.col("source").alias("repository"), F.lit("class").alias("type"), F.col("source").alias("label"), F.lit("").alias("file_path"), _NONE)
-    edges = docs.select(F.col("id").alias("src"), F.concat(F.lit("src:"), "source").alias("dst"), F.lit("defines").alias("type"), F.col("source").alias("repository"), _NONE)
+    node = lambda df, label: df.select("id", F.col("source").alias("repository"), F.lit("file").alias("type"), label.alias("label"), F.col("doc_id").cast("string").alias("file_path"), _none())
+    sources = docs.select("source").distinct().select(F.concat(F.lit("src:"), "source").alias("id"), F.col("source").alias("repository"), F.lit("class").alias("type"), F.col("source").alias("label"), F.lit("").alias("file_path"), _none())
+    edges = docs.select(F.col("id").alias("src"), F.concat(F.lit("src:"), "source").alias("dst"), F.lit("defines").alias("type"), F.col("source").alias("repository"), _none())
     store = GraphStore(spark, scratch(spark))
     store.apply_delta(node(docs, F.col("lang")).unionByName(sources), edges)
     toxic = written(docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
