@@ -112,7 +112,9 @@ class Snapshot:
         return len(self.parts.get(name, {}).get("changes", []))
 
     def _scan(self, schema: StructType, folders: list[str]) -> DataFrame:
-        return self.log.spark.read.schema(schema).parquet(*[f"{self.log.path}/{f}" for f in folders])
+        """One scan over the folders of a table: each is a value of a partition column named commit."""
+        name = folders[0].split("/")[0]
+        return self.log.spark.read.schema(schema).option("basePath", f"{self.log.path}/{name}").parquet(*[f"{self.log.path}/{f}" for f in folders])
 
     def read(self, name: str) -> DataFrame:
         table, parts = self.log.TABLES[name], self.parts.get(name, {"base": None, "changes": []})
@@ -164,7 +166,7 @@ class TableLog:
             self.TABLES = tables
 
     def _write(self, name: str, kind: str, df: DataFrame) -> str:
-        table, at = self.TABLES[name], f"{name}/{kind}-{uuid.uuid4().hex}"
+        table, at = self.TABLES[name], f"{name}/commit={kind}-{uuid.uuid4().hex}"
         if table.by:
             # A folder's rows are written together, not by every task a few, but a large folder by several.
             df.hint("rebalance", *table.by).sortWithinPartitions(*table.by, *[k for k in table.keys if k not in table.by]).write.partitionBy(*table.by).parquet(f"{self.path}/{at}")

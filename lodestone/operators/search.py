@@ -65,8 +65,7 @@ class TextIndex(TableLog):
         lost = old.groupBy("range").agg(F.collect_set("key").alias("lost"))  # RANGE keys at most
         rows = s.read("postings").join(lost, "range").where(F.arrays_overlap("keys", "lost"))
         each = F.arrays_zip(F.col("keys").alias("key"), F.col("counts").alias("count"), F.col("lengths").alias("length"))
-        rows = rows.withColumn("each", F.filter(each, lambda x: ~F.array_contains("lost", x["keys"])))
-        rows = rows.withColumn("each", F.transform("each", lambda x: F.struct(x["keys"].alias("key"), x["counts"].alias("count"), x["lengths"].alias("length"))))
+        rows = rows.withColumn("each", F.filter(each, lambda x: ~F.array_contains("lost", x["key"])))
         rows = written(rows.select("part", "term", "range", "each"))
         return rows.where(F.size("each") > 0).select("part", "term", "range", *_row(F.col("each"))), rows.where(F.size("each") == 0)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import clones, extract, graph, layers, rewrite, sequences
-from lodestone.operators.store import GraphStore
+from lodestone.operators.store import Conflict, GraphStore
 from lodestone.sources import changed, directory, glob_to_regex, ignored, inline
 from lodestone.streaming import current_index, idempotent
 
@@ -111,14 +111,26 @@ def test_commits_name_all_tables_at_once(spark, tmp_path, monkeypatch):
     nodes = spark.createDataFrame([("a", "r", "file", "A", "fa")], "id string, repository string, type string, label string, file_path string").selectExpr("*", none)
     edges = spark.createDataFrame([("a", "a", "imports", "r")], "src string, dst string, type string, repository string").selectExpr("*", none)
     s.apply_delta(nodes, edges)
-    before = s._commits()
-    assert len(before) == 1 and set(s._versions()) == {"nodes", "edges"}
-    # Whoever takes the next number first holds it; the other's tables are never seen.
+    assert s.version == 0 and set(s.snapshot().parts) == {"nodes", "edges"}
+    # Of two writers that read one version the first is taken, and the other's tables are never seen.
     late = GraphStore(spark, str(tmp_path / "s"))
-    monkeypatch.setattr(late, "_commits", lambda: [])
-    with pytest.raises(RuntimeError, match="another writer"):
-        late.write_all({"nodes": nodes.limit(0)})
-    assert s._commits() == before and s.read("nodes").count() == 1
+    read = late.version
+    s.insert_nodes(nodes.withColumn("id", F.lit("b")))
+    with pytest.raises(Conflict, match="another writer"):
+        late.write_all({"nodes": nodes.limit(0)}, read)
+    assert s.version == 1 and {r.id for r in s.read("nodes").collect()} == {"a", "b"}
+    # A method that is refused starts again from the newer version: nothing is lost.
+    make, tries = s.snapshot, []
+
+    def overtaken(*a):
+        own = make(*a)
+        if not tries:
+            tries.append(late.insert_nodes(nodes.withColumn("id", F.lit("c"))))
+        return own
+
+    monkeypatch.setattr(s, "snapshot", overtaken)
+    s.delete_nodes(nodes.select("id"))
+    assert tries == [2] and s.version == 3 and {r.id for r in late.read("nodes").collect()} == {"b", "c"} and late.read("edges").count() == 0
 
 
 def test_external_and_default_imports(spark):
@@ -206,9 +218,9 @@ def test_streamed_files_become_nodes_and_edges(spark, tmp_path):
     assert ids() == {"file:a.ts", "file:b.ts", "sym:A@a.ts", "sym:C@b.ts"}
     edges = {(r.src, r.dst, r.type) for r in store.read("edges").collect()}
     assert edges == {("file:a.ts", "file:b.ts", "imports"), ("file:b.ts", "file:a.ts", "imports"), ("file:a.ts", "sym:A@a.ts", "defines"), ("file:b.ts", "sym:C@b.ts", "defines")}
-    n = len(store._commits())
+    n = store.version
     run()
-    assert len(store._commits()) == n
+    assert store.version == n
 
 
 def test_components_of_long_cycles(spark):
