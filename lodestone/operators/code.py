@@ -159,25 +159,54 @@ def python_eval(text: str, clean: str) -> Iterator[Finding]:
 
 # Design rules ---------------------------------------------------------------------------------------
 
-# What tells the concerns of a class apart.
+# What tells the concerns of a class apart, value objects, and parts left undone.
 CONCERNS = {
-    "database": r"\b(?:query|select|insert|update|delete|repository|database|db|sql|save|find(?:One|All|By)\w*)\s*\(",
-    "ui": r"\b(?:render|display|show|draw|innerHTML|createElement|template)\w*\s*\(",
-    "business_logic": r"\b(?:calculate|compute|validate|process|apply|evaluate)\w*\s*\(",
-    "external_service": r"\b(?:fetch|axios|http|request|sendEmail|sendMail|publish)\w*\s*[.(]",
-    "logging": r"\b(?:console|logger|log)\.\w+\s*\(|\blog\s*\(",
-    "file_io": r"\b(?:readFile|writeFile|appendFile|unlink|mkdir|readdir)\w*\s*\(",
-    "serialization": r"\bJSON\.(?:parse|stringify)\s*\(|\b(?:serialize|deserialize|toJSON)\w*\s*\(",
+    "database": r"db\.|\.query\(|\.find\(|\.save\(|\.update\(|\.delete\(|repository|\.insert\(|\.create\(|\.findOne\(|\.findAll\(",
+    "ui": r"\.render\(|\.display\(|formatHTML|\.innerHTML|createElement|\.appendChild|document\.|window\.|\.show\(|\.alert\(|console\.log",
+    "business_logic": r"calculate|compute|validate|process|transform|\.map\(|\.filter\(|\.reduce\(|\bapply\b|\brules?\b|\bpolicy\b",
+    "external_service": r"fetch\(|axios|http\.|\.post\(|\.get\(|sendEmail|\.send\(|api\.|request\(|\.emit\(|publish",
+    "logging": r"logger\.|log\.info|log\.error|log\.warn|console\.log|console\.error",
+    "file_io": r"fs\.|readFile|writeFile|\.pipe\(|stream",
+    "serialization": r"JSON\.stringify|JSON\.parse|\.toString\(|serialize|deserialize",
 }
-VALUE_OBJECTS = re.compile(r"(?:Error|Exception|Date|Map|Set|WeakMap|WeakSet|Array|Object|Promise|RegExp|URL|Buffer|Dto|DTO|Entity|Model|Event|Options|Config|Builder|Proxy)$")
+VALUE_SUFFIXES = "Dto DTO ValueObject Vo VO Data Record Model Entity Event Message Request Response Result Error Config Options Settings Props State Input Output".split()
+VALUE_NAMES = "string number boolean Date RegExp Map Set Array Object Promise Error".split()
+NOT_DONE = (
+    r"""throw\s+(?:new\s+)?(?:NotImplementedError|Error)\s*\(\s*['"`][^'"`]*not\s+implemented[^'"`]*['"`]""",
+    r"""throw\s+(?:new\s+)?(?:Error|NotImplementedError)\s*\(\s*['"`](?:TODO|stub|impl[^'"`]*|)['"`]\)""",
+    r"""throw\s+(?:new\s+)?NotImplementedError\b""",
+)
+_NOT_DONE = re.compile("|".join(NOT_DONE), re.I)
+
+
+def value_object(name: str) -> bool:
+    """Whether a type carries values alone: a listed name, or one that ends in a listed word after others."""
+    return name in VALUE_NAMES or any(name.endswith(x) and name != x for x in VALUE_SUFFIXES)
+
+
 UTILITIES = frozenset("Math JSON Object Array Number String Date Promise console process Symbol Reflect Buffer".split())
 
 
+_TYPED_MEMBER = re.compile(r"\b(?:private|public|protected|readonly)\s+\w+\s*:\s*\w")
+_ABSTRACT_TYPE = re.compile(r":\s*(?:I[A-Z]|Abstract|Readonly|Partial|Pick|Omit)")
+_OWN_RESULT = re.compile(r"this\.\w+\s*=|return\s+this\.")
+
+
+def own_work(line: str) -> str:
+    """What a line of a class does itself: nothing if it declares a typed member or hands its work to a
+    part (``this.part.do(``) without keeping or returning the result; else what precedes a type by contract."""
+    line = line.strip()
+    handed_on = re.match(r"(?:await\s+)?this\.\w+\.", line) or (re.search(r"this\.\w+\.\w+\s*\(", line) and not _OWN_RESULT.match(line))
+    return "" if handed_on or _TYPED_MEMBER.search(line) else _ABSTRACT_TYPE.split(line)[0]
+
+
 def single_responsibility(text: str, clean: str, most: int = 1) -> Iterator[Finding]:
     for name, a, b, head in classes(clean):
-        found = sorted(c for c, p in CONCERNS.items() if re.search(p, clean[a + len(head) : b])) if head.lstrip().startswith("class") else []
-        if len(found) > most:
-            yield "srp", "warning", "architecture", a, f"{name} mixes {', '.join(found)}"
+        if head.lstrip().startswith("class"):
+            done = "\n".join(map(own_work, clean[a + len(head) : b].split("\n")))
+            found = sorted(c for c, p in CONCERNS.items() if re.search(p, done))
+            if len(found) > most:
+                yield "srp", "warning", "architecture", a, f"{name} mixes {', '.join(found)}"
 
 
 def open_closed(text: str, clean: str, most: int = 3, gap: int = 3) -> Iterator[Finding]:
@@ -185,7 +214,7 @@ def open_closed(text: str, clean: str, most: int = 3, gap: int = 3) -> Iterator[
         n = len(re.findall(r"\bcase\b", clean[m.end() : block_end(clean, m.end() - 1)]))
         if n > most:
             yield "ocp-switch", "warning", "architecture", m.start(), f"a switch of {n} cases"
-    lines = [(clean.count("\n", 0, m.start()), m.start()) for m in re.finditer(r"\bif\s*\(", clean)]
+    lines = [(clean.count("\n", 0, m.start()), m.start()) for m in re.finditer(r"""\bif\s*\([^\n]*===?\s*(["'`])\s+\1\)""", clean)]  # the insides of strings are blanks
     island: list[tuple[int, int]] = []
     for at in [*lines, (1 << 60, 0)]:
         if island and at[0] - island[-1][0] > gap:
@@ -193,12 +222,9 @@ def open_closed(text: str, clean: str, most: int = 3, gap: int = 3) -> Iterator[
                 yield "ocp-if-chain", "info", "architecture", island[0][1], f"a chain of {len(island)} conditions"
             island = []
         island.append(at)
-    checks = re.findall(r"\bif\s*\([^)\n]*\b(?:typeof|instanceof)\b", clean)
+    checks = [m.start() for m in re.finditer(r"""\bif\s*\(\s*(?:typeof\s+\w+\s*===?\s*["'`]|instanceof\b)""", clean)]
     if len(checks) > most:
-        yield "ocp-type-checks", "info", "architecture", clean.index(checks[0]), f"{len(checks)} checks of types"
-
-
-_NOT_DONE = re.compile(r"throw\s+new\s+(?:Error\s*\(\s*[\"'`](?:(?:not implemented|unsupported|not supported)[^\"'`]*)?[\"'`]|NotImplementedError|UnsupportedOperation\w*)", re.I)
+        yield "ocp-type-checks", "info", "architecture", checks[0], f"{len(checks)} checks of types"
 
 
 def liskov(text: str, clean: str) -> Iterator[Finding]:
@@ -207,13 +233,15 @@ def liskov(text: str, clean: str) -> Iterator[Finding]:
             continue
         for m in _NOT_DONE.finditer(text, a, b):
             yield "lsp-not-implemented", "error", "correctness", m.start(), f"{name} refuses what its parent does"
+        generic = False  # the first of a class stands for all
         for n, at in methods(clean, a, b):
             brace = clean.find("{", at)
             body = clean[brace + 1 : block_end(clean, brace) - 1] if 0 <= brace < b else "x"
             if not body.strip() or re.fullmatch(r"\s*return\s*;?\s*", body):
                 yield "lsp-empty", "warning", "correctness", at, f"{name}.{n} does nothing"
-            elif m := re.search(r"throw\s+new\s+Error\s*\(", body):
+            elif not generic and (m := re.search(r"throw\s+new\s+Error\s*\(", body)):
                 if not _NOT_DONE.search(text, brace, brace + len(body)):
+                    generic = True
                     yield "lsp-generic-throw", "warning", "correctness", brace + 1 + m.start(), f"{name}.{n} throws a plain error"
 
 
@@ -235,7 +263,7 @@ def dependency_inversion(text: str, clean: str) -> Iterator[Finding]:
     for name, a, b, head in classes(clean):
         if not head.startswith("class"):
             continue
-        made = [(m[1], m.start()) for m in re.finditer(r"\bnew\s+([A-Z]\w*)\s*\(", clean[:b]) if m.start() >= a and not VALUE_OBJECTS.search(m[1])]
+        made = [(m[1], m.start()) for m in re.finditer(r"\bnew\s+([A-Z]\w*)\s*\(", clean[:b]) if m.start() >= a and not value_object(m[1])]
         for what, at in made:
             yield "dip-new", "warning", "architecture", at, f"{name} makes its own {what}"
         for m in re.finditer(r"(?<![\w.$])([A-Z]\w*)\.[a-z]\w*\s*\(", clean[:b]):

@@ -47,17 +47,22 @@ def parse_manifest(text: str) -> Manifest:
 def parse_diff(diffs: DataFrame, text: str = "diff") -> DataFrame:
     """file, line_no, content, and the diffs' other columns: the lines that unified diffs add, by line of
     the new file.  Each row is a diff of its own, whether or not others are equal; rows are numbered in
-    a written table, and each is one group."""
+    a written table, and each is one group.  Files are named by ``diff --git`` lines; only before the first of
+    these does a pair of ``---`` and ``+++`` lines that a hunk follows name one, so added text like ``++ b/x`` is text."""
     key = [c for c in diffs.columns if c != text]
     each = lines(written(diffs.withColumn("__diff", F.monotonically_increasing_id())), text, number="n")
-    w = Window.partitionBy("__diff").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    row, line = Window.partitionBy("__diff").orderBy("n"), F.col("line")
+    w = row.rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumns({"git": F.max(line.startswith("diff --git ")).over(w), "above": F.lag("line").over(row), "below": F.lead("line").over(row)})
+    plain = ~F.col("git") & line.startswith("+++ b/") & F.col("above").startswith("--- ") & F.col("below").startswith("@@")
+    name = F.when(line.startswith("diff --git "), F.regexp_extract("line", r" b/(.*)$", 1)).when(plain, F.substring("line", 7, 1 << 30))
     each = each.withColumns({
-        "file": F.last(F.when(F.col("line").rlike(r"^diff --git "), F.regexp_extract("line", r" b/(.*)$", 1)).otherwise(F.when(F.col("line").rlike(r"^\+\+\+ b/"), F.regexp_extract("line", r"^\+\+\+ b/(.*)$", 1))), True).over(w),
-        "hunk": F.last(F.when(F.col("line").startswith("@@"), F.col("n")), True).over(w),
-        "head": F.last(F.when(F.col("line").startswith("diff --git "), F.col("n")), True).over(w),
-        "begin": F.last(F.when(F.col("line").startswith("@@"), F.regexp_extract("line", r"\+([0-9]+)", 1).cast("long")), True).over(w),
+        "file": F.last(name, True).over(w),
+        "hunk": F.last(F.when(line.startswith("@@"), F.col("n")), True).over(w),
+        "head": F.last(F.when(name.isNotNull(), F.col("n")), True).over(w),
+        "begin": F.last(F.when(line.startswith("@@"), F.regexp_extract("line", r"\+([0-9]+)", 1).cast("long")), True).over(w),
     })
-    each = each.where((F.col("hunk") < F.col("n")) & (F.coalesce("head", F.lit(0)) < F.col("hunk")) & ~F.col("line").startswith("-") & ~F.col("line").startswith("\\"))
+    each = each.where((F.col("hunk") < F.col("n")) & (F.coalesce("head", F.lit(0)) < F.col("hunk")) & ~line.startswith("-") & ~line.startswith("\\"))
     nth = F.row_number().over(Window.partitionBy("__diff", "hunk").orderBy("n"))
     each = each.withColumn("line_no", F.col("begin") + nth - 1)
     return each.where(F.col("line").startswith("+")).select(*key, "file", F.col("line_no").cast("long").alias("line_no"), F.expr("substring(line, 2)").alias("content"))

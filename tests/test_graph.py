@@ -55,6 +55,16 @@ def test_layers(spark):
     assert found == [("src/core/b.ts", 11), ("src/core/b.ts", 30)]
 
 
+def test_added_text_is_no_header(spark):
+    hunk = "@@ -1,2 +1,4 @@\n x\n--- y\n+++ b/other\n+z\n"
+    git, bare = "diff --git a/f b/f\n--- a/f\n+++ b/f\n", "--- a/{0}\n+++ b/{0}\n"
+    rows = [(1, git + hunk), (2, bare.format("f") + hunk + bare.format("g") + "@@ -1 +7,2 @@\n x\n+y\n")]
+    out = layers.parse_diff(spark.createDataFrame(rows, "id int, diff string")).collect()
+    f = [("f", 2, "++ b/other"), ("f", 3, "z")]
+    assert sorted((r.file, r.line_no, r.content) for r in out if r.id == 1) == f
+    assert sorted((r.file, r.line_no, r.content) for r in out if r.id == 2) == [*f, ("g", 8, "y")]
+
+
 def test_each_row_is_a_diff_of_its_own(spark):
     one = "diff --git a/{0} b/{0}\n--- a/{0}\n+++ b/{0}\n@@ -1 +{1},2 @@\n x\n+import y from '../ui/a';\n"
     rows = [(one.format("src/core/a.ts", 3),), (one.format("src/core/b.ts", 8),), (one.format("src/core/b.ts", 8),), ("",), (None,)]
