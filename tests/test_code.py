@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -304,3 +305,31 @@ def test_one_generic_throw_stands_for_a_class():
 def _rules_of(text):
     clean = code.blanked(text, "typescript")
     return [f for rule in code.DESIGN_RULES["js"][1] for f in rule(text, clean)]
+
+
+def test_braces_pair_like_a_stack():
+    random.seed(5)
+    for _ in range(3000):
+        text = "".join(random.choices("{}\nx", k=random.randint(0, 30)))
+        stack, want = [], []
+        for i, c in enumerate(text):
+            if c == "{":
+                stack.append(i)
+            elif c == "}" and stack:
+                want.append([stack.pop(), i])
+        assert metrics.brace_pairs(text).tolist() == want, text
+
+
+def test_skeletons_take_each_token_once():
+    assert programs.skeleton_of("if (x) {\n\treturn `it's ${y}` + $z.then(this, 2n)\n}") == "if ($ID) {\nreturn $LIT + $z.$FN(this, $NUM)\n}"
+    assert programs.skeleton_of("") == "" and programs.skeleton_of("$run( a )") == "$$FN( $ID )"
+    blocks = programs.blocks_of("function f(a) {\n  const g = () => { a }\n}\n")
+    assert [b[:4] for b in blocks] == [("g", "lambda", 2, 3), ("f", "function", 1, 3)]
+
+
+def test_imports_of_whole_modules_of_each_form():
+    whole = lambda s: rewrite.whole_import(s, "typescript")
+    assert whole("import { a, b as c } from './x-1';") == "import * as __x_1 from './x-1';"
+    assert whole("import {a} from '7z'") == "import * as _7z from '7z';" and whole("import {} from '$q'") == "import * as $q from '$q';"
+    assert whole("import d from 'd';") == "import d from 'd';"
+    assert [whole(s) for s in ("import 'x';", "import * as n from 'x'", "import d, { a } from 'x'", "import type { A } from 'x'")] == [None] * 4
