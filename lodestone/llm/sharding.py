@@ -83,11 +83,14 @@ def assign_shards(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slo
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: tuple[str, ...] = SHARDS, splits: int = 4) -> None:
-    """Writes one folder a shard.  Each shard's rows go to ``splits`` tasks by a second hash, so that
-    a shard which a hot key fills is not one task's work."""
-    out = assign_shards(df, key, shards)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(splits))
-    out.repartition(F.col("shard"), salt).write.partitionBy("shard").parquet(path)
+    """Writes one folder a shard.  Each shard's rows go to ``splits`` tasks in turn, by their places in
+    the input, so that a shard which a hot key or equal rows fill is not one task's work.  df is a scan, or
+    another table whose tasks give their rows in the same order when they run again."""
+    turn = "turn"
+    while turn in {c.lower() for c in df.columns}:
+        turn += "_"
+    out = assign_shards(df, key, shards).withColumn(turn, F.pmod(F.monotonically_increasing_id(), F.lit(splits)))
+    out.repartition("shard", turn).drop(turn).write.partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType, shards: tuple[str, ...] = SHARDS) -> DataFrame:

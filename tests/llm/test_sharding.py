@@ -89,3 +89,18 @@ def test_whole_documents_are_written_and_read_back(spark, sf, tmp_path, monkeypa
     assert back.columns == [*docs.columns, "slot", "shard", "shard_name"]
     assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
     assert {r.doc_id: (r.shard, r.shard_name) for r in back.collect()} == out
+
+
+def test_equal_rows_of_one_shard_are_several_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "same", {"a": 1})] * 4000 + [(i, "own", {}) for i in range(8000)], "id long, turn string, m map<string,int>")
+    spark.conf.set("spark.sql.shuffle.partitions", 512)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s.write_shards(df, "id", str(tmp_path / "out"), ("a", "b", "c"), splits=8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 12000 and "turn" in back.columns and "turn_" not in back.columns
+    files = sorted(r["count"] for r in back.groupBy(s.F.input_file_name().alias("f")).count().collect())
+    assert files[-1] < 4 * files[len(files) // 2]
