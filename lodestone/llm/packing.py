@@ -269,7 +269,8 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
     """items, which must be readable again as they are (a written table), with sequence_id, offset,
     n_sequences and least_sequences.  Ranks among equal lengths follow order, then nothing: equal rows
-    are interchangeable."""
+    are interchangeable, but all of one group; where many may be equal, order is a column that numbers
+    the rows."""
     group = F.pmod(F.xxhash64(*[F.col(c) for c in order or items.columns]), F.lit(max(GROUPS, -(-items.count() // PER_GROUP))))
     own = items.withColumn("__group", group)
     counted = own.groupBy(length, "__group").agg(F.count(F.lit(1)).alias("__n"))
@@ -307,8 +308,9 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, ord
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """key, piece, start, length, ids_crc32, ids if asked for, sequence_id, offset, n_sequences,
     least_sequences."""
-    cut = written(pieces(docs, key, text, capacity, with_ids, vocabulary, ranks))
-    return pack(cut, "length", capacity, ("key", "piece", "ids_crc32", "start")).withColumnRenamed("key", key)
+    # Numbered as they are written: equal pieces of repeated rows are dealt to all groups.
+    cut = written(pieces(docs, key, text, capacity, with_ids, vocabulary, ranks).withColumn("number", F.monotonically_increasing_id()))
+    return pack(cut, "length", capacity, ("number",)).drop("number").withColumnRenamed("key", key)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

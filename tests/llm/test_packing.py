@@ -115,3 +115,14 @@ def test_ids_are_those_of_the_named_library(text):
 
 def test_empty(spark):
     assert p.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "same text")] * 4000 + [(i, f"text {i}") for i in range(8000)], "doc_id long, text string")
+    seen, full = [], p.pack
+    monkeypatch.setattr(p, "pack", lambda items, length, capacity, order: seen.append((items, order)) or full(items, length, capacity, order))
+    assert p.pack_documents(docs).count() == 12000
+    items, order = seen[0]
+    group = p.F.pmod(p.F.xxhash64(*order), p.F.lit(p.GROUPS))
+    sizes = sorted(r["count"] for r in items.where(p.F.col("key") == 1).groupBy(group.alias("g")).count().collect())
+    assert len(sizes) > p.GROUPS / 2 and sizes[-1] < 4 * max(4, sizes[len(sizes) // 2])
