@@ -34,17 +34,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id.
 
-    Documents are told apart by a hash of id and text.  Everything is grouped with partial aggregation,
-    so that an id or a text which a third of all rows share is not one task's.
+    Documents are told apart by a hash of id and text.  Of repeated rows one is left by each task before
+    any row moves, so that an id or a text which a third of all rows share is not one task's.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), F.col("text").alias("text"), F.struct(*columns).alias("row"))
     known = keyed.where("id IS NOT NULL")
     found = ngram_jaccard(known, key="key").select("key", F.col("component_id").alias("class")).distinct()
     least = known.select("key", "id").distinct().join(found, "key").groupBy("class").agg(F.min(F.struct("id", "key")).alias("least"))
-    kept = known.join(least.select(F.col("least.key").alias("key")), "key", "left_semi")
-    one = kept.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    one = known.groupBy("key").agg(F.first("row").alias("row"))
+    kept = one.join(least.select(F.col("least.key").alias("key")), "key", "left_semi")
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

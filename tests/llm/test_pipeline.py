@@ -71,3 +71,14 @@ def test_ids_are_those_of_the_redacted_texts(spark, tmp_path):
         pieces = sorted((r.piece, r.length, np.frombuffer(r.ids, dtype="<u4").tolist()) for r in out if r.doc_id == k)
         assert [x for _, _, ids in pieces for x in ids] == [*encode(t), packing.END_ID]
         assert all(len(ids) == n for _, n, ids in pieces)
+
+
+def test_repeated_rows_are_dropped_before_rows_move(spark, sf):
+    """Each task leaves one row of each id and text before the exchange, whatever share repeats it."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text)] * 2000 + [(i, f"{text} {i} x y") for i in range(2, 4)], "doc_id long, text string")
+    out = c.without_copies(spark, docs, sf)
+    assert [r.doc_id for r in out.collect()] == [1]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    whole = [line for line in plan.splitlines() if "first(row" in line]
+    assert whole and "Join LeftSemi" in plan and plan.index("Join LeftSemi") < plan.index("first(row")
