@@ -247,8 +247,9 @@ def _incidence(docs: DataFrame, width: int, blocks: int, apart: np.ndarray) -> D
                             degrees = np.full(int(hot.sum()), MOST)
                             yield _dealt(ids[first][row[hot]] % blocks, row[hot], number[hot].astype(np.uint64), degrees, ids[first], sizes[first], blocks, 2)
                             tokens, row = tokens[~hot], row[~hot]
-                    dest = ((tokens & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64)
-                    yield _dealt(dest, row, tokens >> np.uint64(24), None, ids[first], sizes[first], None)
+                    if len(tokens):  # all of a part's columns may be frequent ones
+                        dest = ((tokens & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64)
+                        yield _dealt(dest, row, tokens >> np.uint64(24), None, ids[first], sizes[first], None)
                 at = end
 
     return docs.mapInArrow(tidied(emit), _ROWS_DDL)
