@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.clones import LEAST, TILE, lsh_pairs, runs_of_windows, shared_runs, signatures
+from lodestone.operators.clones import LEAST, TILE, lsh_pairs, met_runs, runs_of_windows, signatures
+from lodestone.operators.windows import common_runs, hashed
 from lodestone.tables import written
 
 # The words that stay as they are in normalised tokens.
@@ -102,7 +103,7 @@ def code_clones(corpus: DataFrame, size: int = TILE) -> DataFrame:
     own = written(tokenised(corpus))
     first = own.groupBy(F.sha2(F.to_json("w"), 256).alias("h")).agg(F.min("file").alias("file"))
     distinct = own.join(first.select("file"), "file", "left_semi").select(F.col("file").alias("key"), "w")
-    found = written(shared_runs(runs_of_windows(distinct, size), size))
+    found = written(common_runs(distinct.select("key", F.xxhash64("key").alias("t"), hashed(F.col("w"))), size))
     lines = token_lines(corpus)
     for x in "ab":
         at = lines.select(F.col("file").alias(f"doc_{x}"), F.col("lines").alias(f"lines_{x}"))
@@ -250,7 +251,7 @@ def find_fragments(fragments: DataFrame, key: str, text: str, corpus: DataFrame,
     mine = runs_of_windows(tokenised(own).select(F.substring_index("file", "/", -1).alias("key"), "w"), size)
     theirs = runs_of_windows(tokenised(corpus).select(F.col("file").alias("key"), "w"), size)
     met = mine.select(F.col("key").alias("doc_a"), F.col("pos").alias("pos_a"), "h1", "h2").join(theirs.select(F.col("key").alias("doc_b"), F.col("pos").alias("pos_b"), "h1", "h2"), ["h1", "h2"])
-    found = written(shared_runs(None, size, met))
+    found = written(met_runs(met, size))
     lines = token_lines(corpus).select(F.col("file").alias("doc_b"), "lines")
     found = found.join(lines, "doc_b")
     return found.select(F.col("doc_a").alias(key), F.col("doc_b").alias("file"), _line_at(F.col("lines"), F.col("start_b")).alias("start_line"), _line_at(F.col("lines"), F.col("start_b") + F.col("n_tokens") - 1).alias("end_line"), "n_tokens")
