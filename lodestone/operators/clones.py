@@ -95,12 +95,6 @@ def met_by(each: DataFrame, on: list[str], key: str, *more: str) -> DataFrame:
     return a.join(b, [*on, "part"]).where("doc_a < doc_b").drop(*on, "part")
 
 
-def longest(clones: DataFrame) -> DataFrame:
-    """For each pair its longest run, the first of equal ones."""
-    w = Window.partitionBy("doc_a", "doc_b").orderBy(F.desc("n_tokens"), "start_a", "start_b")
-    return clones.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-
-
 def skeleton(text: Column) -> Column:
     """Words as W, numbers as N, white space collapsed; other characters stay."""
     return normalised(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "W"), "[0-9]+", "N"))

@@ -35,7 +35,7 @@ def clone_pairs(spark, d):
 
 
 def longest_clones(spark, d):
-    return clones.longest(clone_pairs(spark, d)).select("doc_a", "doc_b", "n_tokens", F.least(F.lit(1.0), 0.5 + F.col("n_tokens") / 500 * 0.5).alias("confidence"))
+    return clones.token_clones(_docs(spark, d), "doc_id", "text", longest=True).select("doc_a", "doc_b", "n_tokens", F.least(F.lit(1.0), 0.5 + F.col("n_tokens") / 500 * 0.5).alias("confidence"))
 
 
 def skeleton_groups(spark, d):
