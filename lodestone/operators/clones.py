@@ -16,6 +16,8 @@ from lodestone.tables import join_in_parts, written
 # Fixed values of the signature scheme: functions, prime, base of a shingle's number, bands, least similarity,
 # shingle size; words of a clone.
 FUNCTIONS, PRIME, BASE, BANDS, LEAST, SHINGLE, TILE = 128, 2147483647, 1000003, 16, 0.5, 5, 30
+#: Different hashes whose values are kept at once (512 bytes each), and occurrences that are looked up in them.
+KNOWN, OCCUR = 1 << 18, 1 << 22
 #: Rows of one value that meet in one task.
 HOT = 1024
 COEFFICIENTS = [((i * 2654435761 + 97) % (PRIME - 1) + 1, (i * 40503 * 65537 + 11) % PRIME) for i in range(1, FUNCTIONS + 1)]
@@ -114,26 +116,54 @@ def shingle_hashes(text: str) -> np.ndarray:
     points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     n = len(points) - SHINGLE + 1
     if n < 1:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(SHINGLE):
-        h = (h * np.uint64(BASE) + points[i : i + n]) % np.uint64(PRIME)
-    return np.unique(h)
-
-
-def least_values(h: np.ndarray) -> np.ndarray:
-    """For each function the least of its values over the hashes.  PRIME is 2**31 - 1, so a remainder is
-    the sum of two parts of 31 bits."""
-    a, b = (np.array([c[i] for c in COEFFICIENTS], dtype=np.uint64)[:, None] for i in (0, 1))
-    prime, bits = np.uint64(PRIME), np.uint64(31)
-    out = np.full(FUNCTIONS, PRIME, dtype=np.uint64)
-    for i in range(0, len(h), 4096):  # parts bound the memory of long texts; products stay below 2**63
-        x = a * h[i : i + 4096] + b
-        for _ in range(2):
-            x = (x & prime) + (x >> bits)
-        x[x >= prime] -= prime
-        out = np.minimum(out, x.min(axis=1))
-    return out.astype(np.int64)
+        return np.zeros(0, dtype=np.uint32)
+    h = points[SHINGLE - 1 :].copy()
+    for i in range(SHINGLE - 1):  # a point has 21 bits, so the sum has less than 55
+        h += points[i : i + n] * np.uint64(pow(BASE, SHINGLE - 1 - i, PRIME))
+    h = _folded(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Remainders by PRIME of numbers below 2**62.  PRIME is 2**31 - 1, so a number is congruent to the sum of
+    its two parts of 31 bits, which is below twice PRIME; a difference below zero wraps round to a large one."""
+    x = ((x & np.uint64(PRIME)) + (x >> np.uint64(31))).astype(np.uint32)
+    return np.minimum(x, x - np.uint32(PRIME))
+
+
+_A, _B = (np.array([c[i] for c in COEFFICIENTS], dtype=np.uint64) for i in (0, 1))
+
+
+def function_values(h: np.ndarray) -> np.ndarray:
+    """Of each hash the values of all functions, a row each."""
+    out = np.empty((len(h), FUNCTIONS), dtype=np.uint32)
+    for i in range(0, len(h), 256):  # parts stay in the cache; products stay below 2**62
+        out[i : i + 256] = _folded(h[i : i + 256, None].astype(np.uint64) * _A + _B)
+    return out
+
+
+def least_values(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text's distinct hashes the least value of each function.  Texts have most shingles in common, so
+    values are made once for up to KNOWN different hashes and looked up for each text."""
+    ends, out, start, found = np.cumsum([len(h) for h in texts]), [], 0, np.empty((4096, FUNCTIONS), dtype=np.uint32)
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + OCCUR)))
+        known = np.unique(np.concatenate(texts[start:stop]))
+        while len(known) > KNOWN and stop > start + 1:
+            stop = (start + stop) // 2
+            known = np.unique(np.concatenate(texts[start:stop]))
+        values = function_values(known) if len(known) <= KNOWN else None
+        for h in texts[start:stop]:
+            least = np.full(FUNCTIONS, PRIME, dtype=np.uint32)
+            at = h if values is None else np.searchsorted(known, h)
+            for i in range(0, len(at), len(found)):
+                some = at[i : i + len(found)]
+                rows = function_values(some) if values is None else np.take(values, some, axis=0, out=found[: len(some)], mode="clip")
+                np.minimum(least, rows.min(axis=0), out=least)
+            out.append(least.astype(np.int64))
+        start = stop
+    return out
 
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,14 +174,10 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]):
         for batch in batches:
-            keys, out = [], []
-            for k, t in zip(batch["key"], batch["text"]):
-                h = shingle_hashes(t)
-                if len(h):
-                    keys.append(k)
-                    out.append(least_values(h))
-            if keys:
-                yield pd.DataFrame({"key": keys, "signature": out})
+            hashes = [shingle_hashes(t) for t in batch["text"]]
+            some = [i for i, h in enumerate(hashes) if len(h)]
+            if some:
+                yield pd.DataFrame({"key": batch["key"].iloc[some].tolist(), "signature": least_values([hashes[i] for i in some])})
 
     own = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return own.mapInPandas(run, f"key {kind}, signature array<long>")

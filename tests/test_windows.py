@@ -65,3 +65,22 @@ def test_rolled_and_least_of():
         h = windows.rolled(x, n)
         assert len(h) == len(x) - n + 1 and np.array_equal(h[7:], windows.rolled(x[7:], n)) and len(np.unique(h)) == len(h)
         assert windows.least_of(x[::-1], n).tolist() == [min(x[::-1][i : i + n]) for i in range(len(x) - n + 1)]
+
+
+def test_values_are_made_once_for_texts_with_equal_shingles(monkeypatch):
+    """Signatures equal the plain definition, however few different hashes are kept; of equal texts values
+    are made once."""
+    texts = ["the quick brown fox jumps", "the quick brown fox jumped over", "zażółć gęślą jaźń \U0001f600 x", "the quick brown fox jumps"]
+    number = lambda s: sum(ord(c) * clones.BASE ** (4 - i) for i, c in enumerate(s)) % clones.PRIME
+    sets = [{number(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = [[min((a * x + b) % clones.PRIME for x in s) for a, b in clones.COEFFICIENTS] for s in sets]
+    hashes = [clones.shingle_hashes(t) for t in texts]
+    assert [set(h.tolist()) for h in hashes] == sets
+    made, real = [], clones.function_values
+    monkeypatch.setattr(clones, "function_values", lambda h: made.append(len(h)) or real(h))
+    assert [v.tolist() for v in clones.least_values(hashes)] == want
+    assert sum(made) == len(set().union(*sets))
+    for known, occur in ((30, 1000), (5, 1000), (1000, 1)):
+        monkeypatch.setattr(clones, "KNOWN", known)
+        monkeypatch.setattr(clones, "OCCUR", occur)
+        assert [v.tolist() for v in clones.least_values(hashes)] == want
