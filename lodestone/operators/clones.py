@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from lodestone.tables import join_in_parts, written
 FUNCTIONS, PRIME, BASE, BANDS, LEAST, SHINGLE, TILE = 128, 2147483647, 1000003, 16, 0.5, 5, 30
 #: Different hashes whose values are kept at once (512 bytes each), and occurrences that are looked up in them.
 KNOWN, OCCUR = 1 << 18, 1 << 22
+#: Texts of near copies whose sets are compared in one task.
+TOGETHER = 1024
 #: Rows of one value that meet in one task.
 HOT = 1024
 COEFFICIENTS = [((i * 2654435761 + 97) % (PRIME - 1) + 1, (i * 40503 * 65537 + 11) % PRIME) for i in range(1, FUNCTIONS + 1)]
@@ -110,8 +114,6 @@ def skeleton_groups(df: DataFrame, key: str, text: str) -> DataFrame:
 def shingle_hashes(text: str) -> np.ndarray:
     """The distinct hashes of a text's windows of SHINGLE characters, white space collapsed: a window's
     code points are the digits of a number to the base BASE, modulo PRIME."""
-    import re
-
     t = re.sub(r"[ \t\n\r\f]+", " ", text).strip(" ")
     points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     n = len(points) - SHINGLE + 1
@@ -207,6 +209,63 @@ def lsh_pairs(signed: DataFrame, least: float = LEAST) -> DataFrame:
     return out.where(F.col("similarity") >= least)
 
 
+def _marks(text: str) -> np.ndarray:
+    """64-bit hashes of a text's windows of SHINGLE characters, white space collapsed; with repetitions."""
+    t = re.sub(r"[ \t\n\r\f]+", " ", text).strip(" ")
+    points = np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    n = max(0, len(points) - SHINGLE + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(SHINGLE):
+        h = (h ^ points[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _common(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """n_common and n_union of the pairs of a bucket, whose texts are there once."""
+    place = {k: i for i, k in enumerate(texts.column("key").to_pylist())}
+    marks = [_marks(t) for t in texts.column("text").to_pylist()]
+    if not pairs.num_rows:
+        return pa.table({"doc_a": pairs.column("doc_a"), "doc_b": pairs.column("doc_b"), "n_common": pa.array([], pa.int64()), "n_union": pa.array([], pa.int64())})
+    known = np.unique(np.concatenate(marks))
+    sets = [np.searchsorted(known, np.unique(m)) for m in marks]
+    del marks
+    pairs = pairs.sort_by("doc_a")
+    held, last = np.zeros(len(known), dtype=bool), None
+    common, union = [], []
+    for a, b in zip(pairs.column("doc_a").to_pylist(), pairs.column("doc_b").to_pylist()):
+        x, y = sets[place[a]], sets[place[b]]
+        if a != last:
+            held[:] = False
+            held[x], last = True, a
+        n = int(np.count_nonzero(held[y]))
+        common.append(n)
+        union.append(len(x) + len(y) - n)
+    return pa.table({"doc_a": pairs.column("doc_a"), "doc_b": pairs.column("doc_b"), "n_common": pa.array(common, pa.int64()), "n_union": pa.array(union, pa.int64())})
+
+
+def exact_similarity(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_a, doc_b, n_common, n_union: the sizes of the pairs' sets of shingles.
+
+    Pairs are dealt to buckets with the texts that they name, each text once a bucket; sets are made there.
+    Near copies have their least partner in common, so pairs of one group mostly meet in one bucket; groups
+    of over TOGETHER pairs' texts are dealt as pairs of parts."""
+    pairs = written(pairs.select("doc_a", "doc_b"))
+    named = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("key"), F.col("doc_a").alias("first"))
+    leasts = written(named.groupBy("key").agg(F.min("first").alias("g")))
+    sizes = leasts.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+    at = pairs.join(leasts.withColumnRenamed("key", "doc_a"), "doc_a").join(sizes, "g")
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    buckets = max(1, -(-leasts.count() // TOGETHER))
+    group = F.xxhash64("g", part("doc_a"), part("doc_b"))
+    # A group in parts has buckets of its own; small groups share some.
+    at = written(at.select("doc_a", "doc_b", F.when(F.col("parts") > 1, group).otherwise(F.pmod(group, F.lit(buckets))).alias("bucket")))
+    asked = at.select(F.col("bucket").alias("own"), F.explode(F.array("doc_a", "doc_b")).alias("key")).distinct()
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(asked, "key")
+    kind = pairs.schema["doc_a"].dataType.simpleString()
+    return at.groupBy("bucket").cogroup(texts.groupBy("own")).applyInArrow(_common, f"doc_a {kind}, doc_b {kind}, n_common long, n_union long")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty ones are equal."""
     union = F.size(F.array_union(a, b))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import lines, shingles
+from lodestone.functions import lines
 from lodestone.operators import clones, sequences
 from lodestone.operators.rules import TEXT_RULES, count_matches
 from lodestone.plans.common import CORPUS, LINES, corpus, table
@@ -52,13 +52,7 @@ def lsh_pairs(spark, d):
 
 def jaccard_pairs(spark, d):
     """The pairs of lsh_pairs with their exact similarity."""
-    pairs = written(lsh_pairs(spark, d))
-    named = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("key")).distinct()
-    texts = _docs(spark, d).withColumnRenamed("doc_id", "key").join(named, "key", "left_semi")
-    sets = written(shingles(texts, "text", "s").select("key", "s"))
-    side = lambda x: sets.select(F.col("key").alias(f"doc_{x}"), F.col("s").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b")
-    return both.select("doc_a", "doc_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("n_common"), F.size(F.array_union("s_a", "s_b")).cast("long").alias("n_union"))
+    return clones.exact_similarity(lsh_pairs(spark, d), _docs(spark, d), "doc_id", "text")
 
 
 def fragment_search(spark, d):

@@ -84,3 +84,21 @@ def test_values_are_made_once_for_texts_with_equal_shingles(monkeypatch):
         monkeypatch.setattr(clones, "KNOWN", known)
         monkeypatch.setattr(clones, "OCCUR", occur)
         assert [v.tolist() for v in clones.least_values(hashes)] == want
+
+
+def test_sets_of_pairs_are_compared_where_their_texts_meet(spark, monkeypatch):
+    """Sizes equal plain sets, also where groups are dealt in parts; no set is joined to a pair."""
+    rng = random.Random(3)
+    texts = {k: "".join(rng.choice("ab \U0001f600é") for _ in range(40)) for k in range(12)}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    pairs = spark.createDataFrame([(a, b) for a in range(9) for b in range(a + 1, 9)] + [(9, 11), (10, 11)], "doc_a long, doc_b long")
+    sets = {}
+    for k, t in texts.items():
+        t = " ".join(t.split())
+        sets[k] = {t[i : i + 5] for i in range(len(t) - 4)}
+    want = sorted((r.doc_a, r.doc_b, len(sets[r.doc_a] & sets[r.doc_b]), len(sets[r.doc_a] | sets[r.doc_b])) for r in pairs.collect())
+    for together in (1024, 3):
+        monkeypatch.setattr(clones, "TOGETHER", together)
+        out = clones.exact_similarity(pairs, df, "k", "t")
+        assert sorted(tuple(r) for r in out.collect()) == want
+        assert out._jdf.queryExecution().sparkPlan().toString().lstrip().startswith("FlatMapCoGroupsInArrow")
