@@ -1,6 +1,7 @@
 """A stored inverted index with bm25: postings by term, bounds for early stopping, upkeep by document.
 
-Documents get a range when they are put: the next RANGE ones of the commit.  The postings of a term within
+Documents get a range when they are put: RANGE ones of a task, whose postings are made there and shuffled as
+such, not word by word.  The postings of a term within
 a range are one row - keys, counts, lengths, and of these the largest count and the smallest length - in
 one of PARTS folders by a hash of the term.  A search reads
 
@@ -15,12 +16,16 @@ counts and bounds are exact at every version.  Numbers of documents and words ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import half_up
 from lodestone.operators.log import Change, Kept, Snapshot, TableLog
-from lodestone.tables import in_order, written
+from lodestone.tables import written
 
 #: Folders of postings, documents of a range, ranges that set the bar.
 PARTS, RANGE, FIRST = 64, 128, 16
@@ -50,6 +55,39 @@ def _row(each: Column) -> list[Column]:
     return [F.size(each).alias("n"), F.array_max(each["count"]).alias("most"), F.array_min(each["length"]).alias("least"), each["key"].alias("keys"), each["count"].alias("counts"), each["length"].alias("lengths")]
 
 
+def _inverted(docs: pa.Table, number: int) -> pa.RecordBatch:
+    """The rows of a range, and one without a term that has its documents."""
+    docs = docs.combine_chunks().sort_by("key").combine_chunks()
+    keys, listed = docs.column("key").chunk(0), docs.column("terms").chunk(0)
+    length = np.diff(np.asarray(listed.offsets)).astype(np.int32)
+    coded = listed.flatten().dictionary_encode()
+    at, count = np.unique(np.asarray(coded.indices).astype(np.int64) * len(keys) + np.repeat(np.arange(len(keys)), length), return_counts=True)
+    doc = np.append(at % len(keys), np.arange(len(keys)))
+    ends = pa.array(np.append(np.append(0, np.cumsum(np.bincount(at // len(keys), minlength=len(coded.dictionary)))), len(doc)), pa.int32())
+    lists = lambda v: pa.ListArray.from_arrays(ends, v)
+    columns = [
+        pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
+        pa.array(np.full(len(ends) - 1, number), pa.int64()),
+        lists(keys.cast(pa.string()).take(pa.array(doc))),
+        lists(pa.array(np.append(count, np.zeros(len(keys))).astype(np.int32))),
+        lists(pa.array(length[doc])),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["term", "range", "keys", "counts", "lengths"])
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a task, RANGE at a time; ranges are numbered by task and place."""
+    rest, n = None, 0
+    for batch in batches:
+        own = pa.Table.from_batches([batch])
+        rest = own if rest is None else pa.concat_tables([rest, own])
+        while rest.num_rows >= RANGE:
+            yield _inverted(rest.slice(0, RANGE), (rest.column("task")[0].as_py() << 16) + n)
+            rest, n = rest.slice(RANGE), n + 1
+    if rest is not None and rest.num_rows:
+        yield _inverted(rest, (rest.column("task")[0].as_py() << 16) + n)
+
+
 class TextIndex(TableLog):
     TABLES = {
         "documents": Kept("part INT, key STRING, range LONG, length INT", ("part", "key"), ("part",)),
@@ -57,6 +95,11 @@ class TextIndex(TableLog):
         "totals": Kept("name STRING, documents LONG, words LONG", ("name",)),
     }
 
+    @staticmethod
+    def _documents(new: DataFrame) -> DataFrame:
+        each = new.where("term IS NULL").select("range", F.explode(F.arrays_zip("keys", "lengths")).alias("d"))
+        return each.select(_part(F.col("d.keys")).alias("part"), F.col("d.keys").alias("key"), "range", F.col("d.lengths").alias("length"))
+
     def _old(self, s: Snapshot, keys: DataFrame) -> DataFrame:
         return s.read("documents").join(keys, ["part", "key"], "left_semi")
 
@@ -82,14 +125,13 @@ class TextIndex(TableLog):
         if new is None:
             out.gone["documents"] = keys
         else:
-            ranged = new.withColumn("range", F.lit((s.version + 1) << 32) + F.shiftright(F.col("nth") - 1, RANGE.bit_length() - 1))
-            added = ranged.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+            new = new.withColumn("range", F.lit((s.version + 1) << 32) + F.col("range"))
+            docs = self._documents(new)
+            added = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
             n, words = n + added.n, words + added.words
-            # All words of a document are one task's, so they are counted before they are shuffled.
-            counted = ranged.select("range", "key", "length", F.explode("terms").alias("term")).groupBy("range", "key", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("count"))
-            each = counted.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("key", "count", "length"))).alias("each"))
-            put.append(each.select(_part(F.col("term")).alias("part"), "term", "range", *_row(F.col("each"))))
-            out.put["documents"] = ranged.select(_part(F.col("key")).alias("part"), "key", "range", "length")
+            rows = [F.size("keys").alias("n"), F.array_max("counts").alias("most"), F.array_min("lengths").alias("least"), "keys", "counts", "lengths"]
+            put.append(new.where("term IS NOT NULL").select(_part(F.col("term")).alias("part"), "term", "range", *rows))
+            out.put["documents"] = docs
         if put:
             out.put["postings"] = put[0] if len(put) == 1 else put[0].unionByName(put[1])
         out.put["totals"] = self.spark.createDataFrame([("all", n, words)], self.TABLES["totals"].schema)
@@ -98,9 +140,9 @@ class TextIndex(TableLog):
     def put(self, docs: DataFrame, key: str = "key", text: str = "text") -> int:
         """Adds documents, or puts them in place of those of their keys; of repeated keys the largest text."""
         own = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(text, F.lit("")).alias("text")).where("key IS NOT NULL")
-        own = own.groupBy("key").agg(F.max("text").alias("text")).select("key", terms(F.col("text")).alias("terms"))
-        new = in_order(own.withColumn("length", F.size("terms")), "key")
-        keys = new.select(_part(F.col("key")).alias("part"), "key")
+        own = own.groupBy("key").agg(F.max("text").alias("text")).select("key", terms(F.col("text")).alias("terms"), F.spark_partition_id().cast("long").alias("task"))
+        new = written(own.mapInArrow(_ranges, "term string, range long, keys array<string>, counts array<int>, lengths array<int>"))
+        keys = self._documents(new).select("part", "key")
         return self.change(lambda s: self._change(s, keys, new))
 
     def remove(self, keys: DataFrame, key: str = "key") -> int:

@@ -4,6 +4,7 @@ import math
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,14 @@ def test_text_index_equals_plain_scores_while_documents_change(spark, tmp_path):
     s = index.snapshot()
     assert {r.term for r in index.postings(s, ["fox", "box"]).collect()} == {"fox", "box"}
     assert re.search(r"PartitionFilters: \[[^\]]*part", plan(index.postings(s, ["fox"]))) and "PushedFilters: [" in plan(index.postings(s, ["fox"]))
+
+
+def test_postings_are_made_by_range_and_not_shuffled_word_by_word(spark, tmp_path, monkeypatch):
+    from lodestone.operators import search
+
+    monkeypatch.setattr(search, "RANGE", 2)
+    made = list(search._ranges(iter(pa.record_batch({"key": [k], "terms": pa.array([t], pa.list_(pa.string())), "task": [3]}) for k, t in (("b", ["x", "y", "x"]), ("a", ["x"]), ("c", [])))))
+    rows = [[(r["term"], r["range"], r["keys"], r["counts"], r["lengths"]) for r in m.to_pylist()] for m in made]
+    first, second = 3 << 16, (3 << 16) + 1
+    assert sorted(rows[0], key=str) == sorted([("x", first, ["a", "b"], [1, 2], [1, 3]), ("y", first, ["b"], [1], [3]), (None, first, ["a", "b"], [0, 0], [1, 3])], key=str)
+    assert rows[1] == [(None, second, ["c"], [0], [0])]
