@@ -86,7 +86,7 @@ def orders(spark: SparkSession) -> DataFrame:
 
 def replay(documents: DataFrame) -> DataFrame:
     """part, filter_order, step, the counts and shapley, for documents(part, failed, good, toxic, n)."""
-    crossed = documents.crossJoin(F.broadcast(orders(documents.sparkSession)))
+    crossed = documents.join(F.broadcast(orders(documents.sparkSession)))
     first = F.lit(len(FILTERS) + 1)
     for i in reversed(range(len(FILTERS))):
         first = F.when(F.col("failed").bitwiseAND(F.col("bits")[i]) != 0, F.lit(i + 1)).otherwise(first)
