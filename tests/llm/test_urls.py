@@ -113,6 +113,22 @@ def test_plan_is_native(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_nothing_that_grows_is_broadcast(spark, sf, monkeypatch):
+    """Neither in the result's plan, nor in those of the tables on the way, and also if Spark finds a side small."""
+    plans, real = [], u.written
+
+    def plan(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(u, "written", lambda df: plan(df) or real(df))
+    monkeypatch.setattr(u, "threshold", lambda df, f=u.threshold: plan(df) or f(df))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    plan(u.op4_url_filter(spark, sf))
+    assert sum("SortMergeJoin" in p for p in plans) == u.ORDER + 2
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_empty(spark):
     assert u.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     with pytest.raises(Exception, match="url"):
