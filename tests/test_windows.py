@@ -52,6 +52,16 @@ def test_runs_and_counts_equal_a_plain_version(spark, monkeypatch):
     assert got == {n: docs.count(n) for n in set(docs) if n > 1}
 
 
+def test_texts_of_one_block_meet_once(spark):
+    """Pairs of a block of texts and an empty block have no runs: of few texts most blocks are empty."""
+    shared = "b c d e f g h"
+    for n in (2, 3, 5):
+        df = spark.createDataFrame([(k, f"x{k} {shared} y{k}") for k in range(n)], "k long, t string")
+        want = [(a, b, 1, 1, 7) for a in range(n) for b in range(a + 1, n)]
+        for longest in (False, True):
+            assert sorted(tuple(r) for r in clones.token_clones(df, "k", "t", 4, longest=longest).collect()) == want
+
+
 def test_no_window_is_joined_and_no_run_is_shuffled(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d e y")], "k long, t string")
     for longest in (False, True):
