@@ -4,7 +4,10 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lodestone.functions import words
 from lodestone.operators import clones, windows
 
 
@@ -112,3 +115,57 @@ def test_sets_of_pairs_are_compared_where_their_texts_meet(spark, monkeypatch):
         out = clones.exact_similarity(pairs, df, "k", "t")
         assert sorted(tuple(r) for r in out.collect()) == want
         assert out._jdf.queryExecution().sparkPlan().toString().lstrip().startswith("FlatMapCoGroupsInArrow")
+
+
+def in_process(texts, size, longest):
+    """The runs of texts of word numbers, in two blocks, and how many pairs of places of both blocks meet."""
+    columns = []
+    for t, w in enumerate(texts):
+        w = np.array(w, dtype=np.uint64)
+        at = np.arange(len(w) - size + 1)
+        wide = np.concatenate([[0], w, [0]]).astype(np.uint64)
+        columns.append((windows.rolled(w, size), np.zeros(len(at), "u4"), np.full(len(at), t), at.astype("i4"), wide[:-2][at], wide[at + size + 1]))
+    ends = windows._ends(pa.table({"part": [0], **{f"c{i}": [windows._packed(np.concatenate(c))] for i, c in enumerate(zip(*columns))}}))
+    block = ends.column("t").to_numpy() % 2
+    ends = ends.append_column("key", ends.column("t")).append_column("block", pa.array(block.astype("i4")))
+    rows = [windows._block(ends.filter(pa.array(block == b))) for b in (0, 1)]
+    out = []
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        both = pa.concat_tables([rows[b] for b in {lo, hi}])
+        for b in windows._runs(both.append_column("pair", pa.array(np.full(len(both), 2 * lo + hi, "i4"))).to_batches(), size, longest, 2):
+            out += [tuple(r.values()) for r in b.to_pylist()]
+    g, before = (ends.column(c).to_numpy() for c in ("g", "before"))
+    met = windows._met(*(np.flatnonzero((before >= 0) & (block == b)) for b in (0, 1)), g, before)[-1]
+    return sorted(out), met.sum()
+
+
+def test_places_with_equal_words_before_them_do_not_meet(monkeypatch):
+    """Of n and m repeats of a line some n + m begin runs; the n * m places where it meets are not listed."""
+    line = list(range(1, 8))
+    texts = [[90, *line * 40, 91], [92, *line * 50, 93], [*line * 30], [94, *line * 3, 95, *line * 3]]
+    want, _ = plain([(k, " ".join(map(str, w))) for k, w in enumerate(texts)], 5)
+    best = {}
+    for a, b, i, j, n in want:
+        best[a, b] = min(best.get((a, b), (0, 0, 0)), (-n, i, j))
+    for levels, packed in ((8, 1 << 17), (2, 20)):  # few spans, small packs
+        monkeypatch.setattr(windows, "LEVELS", levels)
+        monkeypatch.setattr(windows, "PACKED", packed)
+        got, met = in_process(texts, 5, False)
+        assert got == want and met == sum((a + b) % 2 for a, b, *_ in want)
+        assert in_process(texts, 5, True)[0] == sorted((a, b, i, j, -n) for (a, b), (n, i, j) in best.items())
+
+
+def test_words_are_split_as_the_column_function_does(spark, monkeypatch):
+    monkeypatch.setattr(windows, "SLICE", 16)  # also a word that is longer
+    rng = random.Random(7)
+    texts = ["", " ", "a", "a b", " a\tb\n\nc\r\fd ", "x" * 50, "é é \x0b y z", "b" * 15 + " " + "c" * 16, "\U0001f600 a"]
+    texts += ["".join(rng.choice("ab \n\té") for _ in range(rng.randrange(60))) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", words(F.col("t")).alias("w"))
+    want = [r.w for r in df.orderBy("i").collect()]
+    for most in (1 << 22, 10):
+        monkeypatch.setattr(windows, "BYTES", most)
+        found = [(first, x, ends) for first, x, ends in windows._words(pa.array(["no", *texts])[1:])]
+        got = [x[ends[i] : ends[i + 1]].tolist() for _, x, ends in found for i in range(len(ends) - 1)]
+        assert [len(x) for x in got] == [len(x) for x in want] and [f for f, _, _ in found] == sorted({f for f, _, _ in found})
+        pairs = {(h, w) for x, y in zip(got, want) for h, w in zip(x, y)}
+        assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
